@@ -75,9 +75,6 @@ _LOOKALIKE |= {"ı": "i", "ɑ": "a", "ɡ": "g", "⁺": "+", "＋": "+"}
 _DASHES = "‐‑‒–—―−﹣"
 _INVISIBLE = "​‌‍⁠﻿­"
 _BLANKS = "      　"
-_NOT_ASCII = re.compile(r"[^\x00-\x7f]")
-
-
 def _glyph(c: str) -> str | None:
     """The ASCII form of a disguised character; None leaves it."""
     if c in _LOOKALIKE:
@@ -99,6 +96,10 @@ def _glyph(c: str) -> str | None:
     return None
 
 
+#: The characters that _glyph rewrites, so that ordinary accented text is passed over quickly.
+_DISGUISE = re.compile("[" + "".join(re.escape(chr(i)) for i in range(0x80, 0x10000) if not 0xD800 <= i < 0xE000 and _glyph(chr(i)) is not None) + "]")
+_STYLED = re.compile("[\U0001d400-\U0001d7ff]")
+
 # Number words of the languages handled here, by value.
 _NUMBERS = {
     "zero": 0, "oh": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9,
@@ -117,7 +118,23 @@ _DOT = re.compile(rf"(?i)\x20?{_OPEN}\x20?(?:dot|punkt|punto|point)\x20?{_CLOSE}
 _WORDS = re.compile(r"(?i)(?<![\w.%+-])[a-z0-9._%+-]{1,64}(?P<at>\x20at\x20|\x20?@\x20?)[a-z0-9-]{1,63}(?:(?:\x20dot\x20|\x20?\.\x20?)[a-z0-9-]{1,63}(?![\w]))+")
 _WORD_AT, _WORD_DOT = re.compile(r"(?i)\x20at\x20|\x20@\x20?|@\x20"), re.compile(r"(?i)\x20dot\x20")
 _IP_DOT = re.compile(r"(?i)(?<=[0-9])\x20(?:dot|point|punkt|punto)\x20(?=[0-9])")
-_HINT = re.compile(rf"(?i){_OPEN}\x20?(?:at|ät|arroba|arobase|dot|punkt|punto|point)\x20?{_CLOSE}|\x20dot\x20|\x20(?:point|punkt|punto)\x20[0-9]|(?<!\w)(?:(?:{_NUMBER})(?!\w)[\x20,-]{{1,2}}){{3}}|\x20@|@\x20")
+_BRACKETED = re.compile(rf"(?i){_OPEN}\x20?(?:at|ät|arroba|arobase|dot|punkt|punto|point)\x20?{_CLOSE}")
+_SPELLED_DOT = re.compile(r"(?i)\x20(?:dot\x20|(?:point|punkt|punto)\x20[0-9])")
+_LOOSE_AT = re.compile(r"\x20@|@\x20")
+#: The French article is too common to tell anything alone.
+_TELLING = frozenset(_NUMBERS) - {"un"}
+
+
+def disguised(text: str) -> bool:
+    """Whether a rewriting rule can apply; a plain pass over the text for most documents."""
+    if ("[" in text or "(" in text or "{" in text or "<" in text) and _BRACKETED.search(text):
+        return True
+    if "@" in text and _LOOSE_AT.search(text):
+        return True
+    low = text.lower()
+    if (" dot " in low or " point " in low or " punkt " in low or " punto " in low) and _SPELLED_DOT.search(text):
+        return True
+    return not _TELLING.isdisjoint(low.replace(",", " ").replace("-", " ").split()) and _SPELLED.search(text) is not None
 
 
 class Normalised:
@@ -142,7 +159,8 @@ class Normalised:
 
 
 def _glyph_edits(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), g) for m in _NOT_ASCII.finditer(text) if (g := _glyph(m[0])) is not None]
+    found = [(m.start(), m.end(), _glyph(m[0]) or "") for m in _DISGUISE.finditer(text)]
+    return sorted(found + [(m.start(), m.end(), _glyph(m[0]) or "") for m in _STYLED.finditer(text)])
 
 
 def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
@@ -176,7 +194,7 @@ def spans_of(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int
     """The base spans, and those that only the normalised text shows."""
     base = base_spans(text)
     glyphs = [] if text.isascii() else _glyph_edits(text)
-    if not glyphs and not _HINT.search(text):
+    if not glyphs and not disguised(text):
         return base, []
     n = normalise(text, glyphs)
     if n.text == text:

@@ -95,9 +95,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"model": pa.array([model] * len(at), pa.int32()), "at": pa.array(at, pa.int32()), "n": pa.array(n[model][at], pa.int64())})
 
 
-def log_ratios(counts: np.ndarray, prior: float = 1.0) -> np.ndarray:
-    """log P(next | last) of the random model less that of the ordinary one, both smoothed."""
-    n = counts.reshape(2, SIZE, SIZE) + prior
+def log_ratios(counts: np.ndarray, size: float = 1000.0, prior: float = 0.5) -> np.ndarray:
+    """log P(next | last) of the random model less that of the ordinary one. Rows are scaled down to
+    ``size`` transitions before smoothing, so that a transition which neither model has seen tells
+    nothing, however much more ordinary text there is."""
+    n = counts.reshape(2, SIZE, SIZE)
+    n = n * np.minimum(1, size / np.maximum(1, n.sum(axis=2, keepdims=True))) + prior
     p = np.log(n / n.sum(axis=2, keepdims=True))
     return p[1] - p[0]
 
