@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mixtura.llm.common import table
 from mixtura.llm.exact_dedup import exact_dedup
+from mixtura.llm.packing import pack
 from mixtura.llm.pii import pii_digest
 from mixtura.llm.quality_pu import quality_classifier
 from mixtura.llm.quality_rules import quality_rules
@@ -31,6 +32,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_pii": op7_pii,
+    "op8_packing": op8_packing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
 }
