@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mixtura.llm.common import table
 from mixtura.llm.exact_dedup import exact_dedup
+from mixtura.llm.html_extract import extract_text
 from mixtura.llm.jaccard_join import jaccard_components
 from mixtura.llm.packing import pack
 from mixtura.llm.pii import pii_digest
@@ -21,6 +22,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_digest(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_html_extraction": op2_html_extraction,
     "op3_secret_scan": op3_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_toxicity": op6_toxicity,
