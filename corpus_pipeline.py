@@ -1,9 +1,69 @@
-"""The corpus pipeline: quality, exact copies, near copies, personal data, packing."""
+"""The corpus pipeline: quality classifier, exact copies, near copies, personal data, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet to
+the shared folder and reads again as the next stage's documents. All but the last return the
+columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mixtura.llm.common import table, written
+from mixtura.llm.exact_dedup import exact_dedup
+from mixtura.llm.jaccard_join import jaccard_components
+from mixtura.llm.packing import pack
+from mixtura.llm.pii import mask_pii
+from mixtura.llm.quality_pu import quality_classifier
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS).join(ids, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    scored = quality_classifier(docs, table(spark, sf_dir, "labels"))
+    return _only(docs, scored.filter("predicted = 1").select("doc_id"))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the largest id."""
+    return _only(docs, exact_dedup(docs).filter("kept").select("doc_id"))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that reach each other over similar texts, the one with the smallest id."""
+    return _only(docs, jaccard_components(docs).filter("doc_id = component_id").select("doc_id"))
+
+
+def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data masked."""
+    return mask_pii(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality_classifier", good_quality),
+    ("exact_dedup", without_copies),
+    ("jaccard_join", without_near_copies),
+    ("pii", without_pii),
+    ("packing", packed),
+]
+
+#: The classifier, the masks and the tokens are beyond SQL; the stages' results are tested one by one.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
