@@ -15,6 +15,7 @@ from mixtura.llm.pii import pii_digest
 from mixtura.llm.quality_pu import quality_classifier
 from mixtura.llm.quality_rules import quality_rules
 from mixtura.llm.secrets import secrets_digest
+from mixtura.llm.sentencepiece_scan import sentencepiece_digest
 from mixtura.llm.toxicity import toxicity
 
 
@@ -30,6 +31,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_html_extraction": op2_html_extraction,
     "op3_secret_scan": op3_secret_scan,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_pii": op7_pii,
