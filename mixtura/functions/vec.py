@@ -32,6 +32,12 @@ def literal(values: Sequence[float]) -> Column:
     return F.array(*(dbl(v) for v in values))
 
 
+def let(value: Col, body) -> Column:
+    """``body(value)`` with the value worked out once, where higher-order functions would repeat it
+    for each element."""
+    return F.get(F.transform(F.array(_c(value)), body), F.lit(0))
+
+
 def total(x: Col) -> Column:
     return F.aggregate(_c(x), dbl(0), lambda a, v: a + v)
 
@@ -50,8 +56,7 @@ def argmax(x: Col) -> Column:
 
 
 def normalise(x: Col) -> Column:
-    x = _c(x)
-    return F.transform(x, lambda v: v / total(x))
+    return let(x, lambda a: let(total(a), lambda t: F.transform(a, lambda v: v / t)))
 
 
 def finite_or(x: Col, least: Col) -> Column:
@@ -61,13 +66,11 @@ def finite_or(x: Col, least: Col) -> Column:
 
 def softmax(x: Col) -> Column:
     """Shifted by the maximum; sums to 1 for any finite scores."""
-    x = _c(x)
-    return normalise(F.transform(x, lambda v: F.exp(v - F.array_max(x))))
+    return normalise(let(x, lambda a: let(F.array_max(a), lambda m: F.transform(a, lambda v: F.exp(v - m)))))
 
 
 def logsumexp(x: Col) -> Column:
-    x = _c(x)
-    return F.array_max(x) + F.log(total(F.transform(x, lambda v: F.exp(v - F.array_max(x)))))
+    return let(x, lambda a: let(F.array_max(a), lambda m: m + F.log(total(F.transform(a, lambda v: F.exp(v - m))))))
 
 
 def safe_exp(x: Col) -> Column:

@@ -5,13 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from mixtura.functions import special
 from mixtura.functions.vec import dbl, safe_log
 from mixtura.operators.ranking import running
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def midp(b: pd.Series, c: pd.Series) -> pd.Series:
     return pd.Series([special.mcnemar_midp(x, y) for x, y in zip(b, c)], dtype=float)
 

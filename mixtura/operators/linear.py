@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,11 +91,11 @@ def kmeans_criteria(df: DataFrame, centers: np.ndarray, x: str = "x") -> DataFra
     plus the entropy of the sizes."""
     d, at = nearest_center(x, centers)
     per = df.select(d.alias("d"), at.alias("k")).groupBy("k").agg(F.count("*").alias("n"), F.sum("d").alias("s"))
-    tot = per.agg(F.sum("n").alias("n"), F.sum("s").alias("sumdist"))
-    llh = per.crossJoin(F.broadcast(tot.select(F.col("n").alias("N")))).agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("N"))).alias("e"))  # one row
+    tot = per.agg(F.sum("n").alias("rows"), F.sum("s").alias("sumdist"))
+    llh = per.crossJoin(F.broadcast(tot.select("rows"))).agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("rows"))).alias("e"))  # one row
     p = float(np.asarray(centers).size)
     out = tot.crossJoin(llh).withColumn("llh", -F.col("sumdist") + F.col("e"))
-    return out.select("llh", (F.col("llh") - dbl(p)).alias("aic"), (F.col("llh") - dbl(0.5 * p) * F.log(F.col("n"))).alias("bic"), "sumdist")
+    return out.select("llh", (F.col("llh") - dbl(p)).alias("aic"), (F.col("llh") - dbl(0.5 * p) * F.log(F.col("rows"))).alias("bic"), "sumdist")
 
 
 def calinski_harabasz(df: DataFrame, label: str, x: str = "x") -> DataFrame:
@@ -130,17 +131,29 @@ def best_models(sweep: DataFrame) -> DataFrame:
 
 def responsibilities(df: DataFrame, weights: np.ndarray, means: np.ndarray, covariances: np.ndarray, kind: str = "full", x: str = "x") -> DataFrame:
     """``df`` with ``q``: posterior chances of each component; kinds full, tied, diag, spherical."""
-    k, d = np.asarray(means).shape
+    means = np.asarray(means, dtype=float)
+    k, d = means.shape
     if kind not in ("full", "tied", "diag", "spherical"):
         raise ValueError(f"unknown covariance kind {kind!r}")
-    logs = []
-    for i in range(k):
-        cov = {"full": lambda i: covariances[i], "tied": lambda i: covariances, "diag": lambda i: np.diag(covariances[i]), "spherical": lambda i: covariances[i] * np.eye(d)}[kind](i)
-        root = np.linalg.cholesky(np.linalg.inv(cov)).T  # rows r: the Mahalanobis distance is the sum of (r . (x - m))^2
-        const = float(np.log(weights[i]) - d / 2 * np.log(2 * np.pi) + np.log(np.diag(root)).sum())
-        parts = [total(F.zip_with(x, literal(row), lambda a, b: a * b)) - dbl(row @ means[i]) for row in root]
-        logs.append(dbl(const) - dbl(0.5) * sum((p * p for p in parts), dbl(0)))
-    return df.withColumn("q", softmax(F.array(*logs)))
+    if kind in ("diag", "spherical"):
+        logs = []
+        for i in range(k):
+            var = np.broadcast_to(np.asarray(covariances[i], dtype=float), d)
+            const = float(np.log(weights[i]) - d / 2 * np.log(2 * np.pi) - 0.5 * np.log(var).sum())
+            gaps = F.zip_with(F.zip_with(x, literal(means[i]), lambda a, b: a - b), literal(1 / np.sqrt(var)), lambda a, b: a * b)
+            logs.append(dbl(const) - dbl(0.5) * total(F.transform(gaps, lambda v: v * v)))
+        return df.withColumn("q", softmax(F.array(*logs)))
+    # Dense precisions: K x D x D numbers, better as matrix products on Arrow batches than as literals.
+    roots = np.array([np.linalg.cholesky(np.linalg.inv(covariances[i] if kind == "full" else covariances)) for i in range(k)])
+    const = np.log(weights) - d / 2 * np.log(2 * np.pi) + np.log(np.diagonal(roots, axis1=1, axis2=2)).sum(axis=1)
+
+    @F.pandas_udf("array<double>")
+    def log_joint(col: pd.Series) -> pd.Series:
+        m = np.stack(col.to_numpy())
+        parts = [const[i] - 0.5 * (((m - means[i]) @ roots[i]) ** 2).sum(axis=1) for i in range(k)]
+        return pd.Series(list(np.stack(parts, axis=1)))
+
+    return df.withColumn("q", softmax(log_joint(x)))
 
 
 def assign(df: DataFrame, q: str = "q") -> DataFrame:

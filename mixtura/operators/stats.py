@@ -5,18 +5,19 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from mixtura.functions import special
 from mixtura.functions.vec import dbl
 from mixtura.operators.ranking import running
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_sf(x: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or a != a else special.chi2_sf(a, d) for a, d in zip(x, dof)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_sf(x: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series([None if a != a else special.f_sf(a, b, c) for a, b, c in zip(x, d1, d2)], dtype=float)
 
@@ -112,7 +113,7 @@ def residuals(long: DataFrame, feature: str = "feature", group: str = "grp", val
 def shapiro(long: DataFrame, feature: str = "feature", value: str = "value", most: int = 5000) -> DataFrame:
     """(feature, w, p_value). The test is defined for up to ``most`` values; of more, those with the
     least hash of their value are tested."""
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+    from pyspark.sql.types import StringType, StructField, StructType
 
     sizes = long.groupBy(feature).agg(F.count("*").alias("_n"))
     kept = long.join(sizes, feature).filter(F.pmod(F.xxhash64(feature, value), F.lit(1 << 20)) < F.lit(float(most) * (1 << 20)) / F.col("_n"))
@@ -144,10 +145,10 @@ def effects(df: DataFrame, group: str, skip: set[str], use_anova: bool = False,
     else:
         tested = kruskal(numeric).select("feature", "effect", chi2_sf("h", (F.col("groups") - 1).cast("double")).alias("p_value"), F.lit("kruskal").alias("test"))
     cells = binary.groupBy("feature", "grp").agg(F.sum("value").alias("k"), F.count("*").alias("gn"))
-    tot = cells.groupBy("feature").agg(F.sum("k").alias("K"), F.sum("gn").alias("N"), F.count("*").alias("groups"))
-    cell = cells.join(tot, "feature").withColumn("e", F.col("gn") * F.col("K") / F.col("N"))
+    tot = cells.groupBy("feature").agg(F.sum("k").alias("hits"), F.sum("gn").alias("rows"), F.count("*").alias("groups"))
+    cell = cells.join(tot, "feature").withColumn("e", F.col("gn") * F.col("hits") / F.col("rows"))
     gap = F.abs(F.col("k") - F.col("e"))
     gap = F.when(F.col("groups") == 2, gap - F.least(dbl(0.5), gap)).otherwise(gap)
-    chi = cell.groupBy("feature", "N", "groups").agg(F.sum(gap * gap * (1 / F.col("e") + 1 / (F.col("gn") - F.col("e")))).alias("x"))
-    tested = tested.unionByName(chi.filter("groups >= 2").select("feature", F.sqrt(F.col("x") / F.col("N")).alias("effect"), chi2_sf("x", (F.col("groups") - 1).cast("double")).alias("p_value"), F.lit("chi2").alias("test")))
+    chi = cell.groupBy("feature", "rows", "groups").agg(F.sum(gap * gap * (1 / F.col("e") + 1 / (F.col("gn") - F.col("e")))).alias("x"))
+    tested = tested.unionByName(chi.filter("groups >= 2").select("feature", F.sqrt(F.col("x") / F.col("rows")).alias("effect"), chi2_sf("x", (F.col("groups") - 1).cast("double")).alias("p_value"), F.lit("chi2").alias("test")))
     return bh(tested.filter("p_value IS NOT NULL")).withColumn("sig", F.col("p_adj") < alpha)

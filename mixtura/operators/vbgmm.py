@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -301,8 +302,6 @@ def fit(df: DataFrame, params: Params, x: str = "x", sample: int = 20_000) -> Po
 
 def predict(df: DataFrame, post: Posterior, x: str = "x") -> DataFrame:
     """``df`` with q, log_density and the 1-based component."""
-    import pandas as pd
-
     state = df.sparkSession.sparkContext.broadcast(post)
 
     @F.pandas_udf("struct<q:array<double>,log_density:double,component:int>")
