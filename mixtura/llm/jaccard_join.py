@@ -43,6 +43,8 @@ from mixtura.llm.components import components
 WIDTH = 5
 #: Places of the table of shingle counts; a fixed 2 MB once ranked.
 PLACES = 1 << 20
+#: Places of the table that go to the driver as one row.
+STRETCH = 1 << 13
 #: Lists up to this length give all their pairs at once.
 SHORT = 8
 #: Entries of a long list that are skipped or read together.
@@ -109,11 +111,25 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(counts[part], pa.int64())], names=["place", "n"])
 
 
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranks of a partition's places, packed by stretches of the table."""
+    stretches: dict[int, np.ndarray] = {}
+    for batch in batches:
+        place, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        rank = np.minimum(65535, 2000 * np.log2(1.0 + n)).astype("<u2")
+        for i in np.unique(place // STRETCH):
+            own = place // STRETCH == i
+            stretches.setdefault(int(i), np.zeros(STRETCH, dtype="<u2"))[place[own] % STRETCH] = rank[own]
+    yield pa.RecordBatch.from_arrays([pa.array(list(stretches), pa.int32()), pa.array([v.tobytes() for v in stretches.values()], pa.binary())], names=["stretch", "ranks"])
+
+
 def shingle_ranks(docs: DataFrame) -> np.ndarray:
     """For each place of the table, how common its shingles are, on a logarithmic scale."""
-    found = docs.select("text").mapInArrow(_places, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()  # PLACES rows at most
+    counts = docs.select("text").mapInArrow(_places, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    packed = counts.repartition((F.col("place") / STRETCH).cast("int")).mapInArrow(_ranked, "stretch int, ranks binary")
     ranks = np.zeros(PLACES, dtype=np.uint16)
-    ranks[found.place.to_numpy()] = np.minimum(65535, 2000 * np.log2(1.0 + found.n.to_numpy())).astype(np.uint16)
+    for r in packed.collect():  # PLACES / STRETCH rows, 2 MB in all
+        ranks[r.stretch * STRETCH : (r.stretch + 1) * STRETCH] = np.frombuffer(r.ranks, dtype="<u2")
     return ranks
 
 
