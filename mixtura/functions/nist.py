@@ -93,7 +93,7 @@ def grid(data: DataFrame, name: str, points: int = 100) -> DataFrame:
     """The predictor on an even grid between the least and largest regressors."""
     p = problem(name)
     bounds = data.agg(*(f(c).alias(f"{n}_{c}") for c in p.regressors for n, f in (("low", F.min), ("high", F.max))))
+    even = lambda low, high: F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: low + i * (high - low) / (points - 1)))
     for c in p.regressors:
-        step = (F.col(f"high_{c}") - F.col(f"low_{c}")) / (points - 1)
-        bounds = bounds.withColumn(c, F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i, c=c, step=step: F.col(f"low_{c}") + i * step)))
+        bounds = bounds.withColumn(c, even(F.col(f"low_{c}"), F.col(f"high_{c}")))
     return bounds.select(*p.regressors, p.predictor(*(F.col(c) for c in p.regressors)).alias("predicted"))

@@ -82,12 +82,12 @@ def chi2(df: DataFrame, row: str, col: str, yates: bool = True) -> DataFrame:
     rows, cols = cells.groupBy(row).agg(F.sum("n").alias("rn")), cells.groupBy(col).agg(F.sum("n").alias("cn"))
     # All cells, empty ones too; both sides are the levels of a category.
     full = rows.crossJoin(F.broadcast(cols)).join(cells, [row, col], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    size = F.broadcast(cells.agg(F.sum("n").alias("total"), F.countDistinct(row).alias("r"), F.countDistinct(col).alias("c")))
+    size = F.broadcast(cells.agg(F.sum("n").alias("total"), F.countDistinct(row).alias("_r"), F.countDistinct(col).alias("_c")))
     full = full.crossJoin(size).withColumn("e", F.col("rn").cast("double") * F.col("cn") / F.col("total"))
     gap = F.abs(F.col("n") - F.col("e"))
-    fixed = F.when((F.col("r") == 2) & (F.col("c") == 2) & F.lit(yates), F.greatest(dbl(0), gap - F.least(dbl(0.5), gap))).otherwise(gap)
-    out = full.groupBy("total", "r", "c").agg(F.sum(fixed * fixed / F.col("e")).alias("chi2"))
-    return out.select("chi2", ((F.col("r") - 1) * (F.col("c") - 1)).cast("long").alias("dof"), F.col("total").cast("long").alias("n"), F.sqrt(F.col("chi2") / (F.col("total") * (F.least("r", "c") - 1))).alias("cramers_v"))
+    fixed = F.when((F.col("_r") == 2) & (F.col("_c") == 2) & F.lit(yates), F.greatest(dbl(0), gap - F.least(dbl(0.5), gap))).otherwise(gap)
+    out = full.groupBy("total", "_r", "_c").agg(F.sum(fixed * fixed / F.col("e")).alias("chi2"))
+    return out.select("chi2", ((F.col("_r") - 1) * (F.col("_c") - 1)).cast("long").alias("dof"), F.col("total").cast("long").alias("n"), F.sqrt(F.col("chi2") / (F.col("total") * (F.least("_r", "_c") - 1))).alias("cramers_v"))
 
 
 def bh(df: DataFrame, p: str = "p_value", key: str = "feature") -> DataFrame:
