@@ -154,12 +154,21 @@ class Cluster:
         self.ids, self.text, self.own = [doc_id], text, own
         self.members: list[tuple[int, int, np.ndarray, np.ndarray]] = []
         self.least = self.most = len(own)
-        self.keys: dict[int, int] = {}
+        self.slots: dict[int, int] = {}
+        self.at: list[int] = []
+        self.prior: list[int] = []
 
     def enter(self, keys: list[int]) -> None:
+        """Keep each key's first position, and the slot of the key before it there."""
+        before = -1
         for at, key in enumerate(keys):
-            if self.keys.get(key, at) >= at:
-                self.keys[key] = at
+            slot = self.slots.setdefault(key, len(self.at))
+            if slot == len(self.at):
+                self.at.append(at)
+                self.prior.append(before)
+            elif at < self.at[slot]:
+                self.at[slot], self.prior[slot] = at, before
+            before = slot
 
     def add(self, doc_id: int, other: np.ndarray) -> None:
         self.ids.append(doc_id)
@@ -168,10 +177,10 @@ class Cluster:
 
 
 _MEMBER = "struct<doc_id:long,n:long,added:array<long>,removed:array<long>>"
-_CLUSTER = f"cid long, text binary, doc_id long, n long, members array<{_MEMBER}>, keys array<long>, packs array<long>"
+_CLUSTER = f"cid long, text binary, doc_id long, n long, members array<{_MEMBER}>, keys array<long>, packs array<long>, priors array<int>"
 _LONGS = pa.list_(pa.int64())
 _MEMBERS = pa.list_(pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("added", _LONGS), ("removed", _LONGS)]))
-_CLUSTER_ARROW = pa.schema([("cid", pa.int64()), ("text", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("members", _MEMBERS), ("keys", _LONGS), ("packs", _LONGS)])
+_CLUSTER_ARROW = pa.schema([("cid", pa.int64()), ("text", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("members", _MEMBERS), ("keys", _LONGS), ("packs", _LONGS), ("priors", pa.list_(pa.int32()))])
 
 
 def _clusters(ranks_of, held_keys: int):
@@ -182,8 +191,8 @@ def _clusters(ranks_of, held_keys: int):
 
         def row(c: Cluster) -> tuple:
             members = [{"doc_id": i, "n": n, "added": a.view(np.int64), "removed": r.view(np.int64)} for i, n, a, r in c.members]
-            keys = np.fromiter(c.keys.keys(), dtype=np.uint64, count=len(c.keys)).view(np.int64)
-            return min(c.ids), c.text, c.ids[0], len(c.own), members, keys, [_pack(c.least, c.most, at) for at in c.keys.values()]
+            keys = np.fromiter(c.slots, dtype=np.uint64, count=len(c.slots)).view(np.int64)
+            return min(c.ids), c.text, c.ids[0], len(c.own), members, keys, [_pack(c.least, c.most, at) for at in c.at], c.prior
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _CLUSTER_ARROW)], schema=_CLUSTER_ARROW)
@@ -201,7 +210,7 @@ def _clusters(ranks_of, held_keys: int):
                 own = shingles(text)
                 n = len(own)
                 if not n or doc_id is None:
-                    alone.append((doc_id, None, doc_id, n, [], [], []))
+                    alone.append((doc_id, None, doc_id, n, [], [], [], []))
                     continue
                 keys = ordered(own, ranks)[: prefix_length(n)].tolist()
                 near = Counter(i for i in map(leader_of.get, keys) if i is not None)
@@ -244,28 +253,34 @@ _CANDIDATE_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries sorted by key: pairs of short lists, pairs of long ones with their least id, and the
-    long lists themselves."""
+    long lists themselves.
+
+    Near copies share runs of keys. Two entries with the same key before them met there already,
+    at smaller positions and so under weaker bounds; they are told of only where a run begins."""
     held: list[np.ndarray] = []
     size = 0
 
-    def pairs_of(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        ok = (a != b) & _possible(x, y)
+    def pairs_of(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, before_a: np.ndarray, before_b: np.ndarray) -> np.ndarray:
+        ok = (a != b) & ((before_a != before_b) | (before_a == 0)) & _possible(x, y)
         return np.stack([np.minimum(a, b)[ok], np.maximum(a, b)[ok]], axis=1)
 
     def made(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        key, cid, pack = rows
+        key, cid, pack, before = rows
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         lengths = np.diff(np.append(starts, len(key)))
         found, long_lists = [], []
         for n in np.unique(lengths[lengths > 1]):
             at = starts[lengths == n][:, None] + np.arange(n)[None, :]
-            c, p = cid[at], pack[at]
+            c, p, f = cid[at], pack[at], before[at]
             if n <= SHORT:
-                found += [pairs_of(c[:, i], c[:, j], p[:, i], p[:, j]) for i in range(n) for j in range(i + 1, n)]
+                found += [pairs_of(c[:, i], c[:, j], p[:, i], p[:, j], f[:, i], f[:, j]) for i in range(n) for j in range(i + 1, n)]
             else:
+                # A list whose entries all stood together in the list before is part of that one.
+                new = (f != f[:, :1]).any(axis=1) | (f[:, 0] == 0)
+                c, p, f = c[new], p[new], f[new]
                 least = c.argmin(axis=1)[:, None]
-                c0, p0 = np.take_along_axis(c, least, 1), np.take_along_axis(p, least, 1)
-                found.append(pairs_of(np.repeat(c0, n, axis=1).ravel(), c.ravel(), np.repeat(p0, n, axis=1).ravel(), p.ravel()))
+                c0, p0, f0 = (np.repeat(np.take_along_axis(v, least, 1), n, axis=1).ravel() for v in (c, p, f))
+                found.append(pairs_of(c0, c.ravel(), p0, p.ravel(), f0, f.ravel()))
                 long_lists += list(zip(c, p))
         if found and sum(map(len, found)):
             pairs, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
@@ -277,7 +292,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([null, null, null, pa.array(c, _LONGS), pa.array(p, _LONGS)], schema=_CANDIDATE_ARROW)
 
     for batch in batches:
-        held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]))
+        held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]))
         size += batch.num_rows
         if size > 1 << 19:
             rows = np.concatenate(held, axis=1)
@@ -385,7 +400,8 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     ranks = spark.sparkContext.broadcast(shingle_ranks(source))
     clusters = written(source.mapInArrow(_clusters(ranks, held_keys), _CLUSTER), "clusters")
-    entries = clusters.select("cid", F.explode(F.arrays_zip("keys", "packs")).alias("e")).select(F.col("e.keys").alias("key"), "cid", F.col("e.packs").alias("pack"))
+    before = F.transform("priors", lambda i: F.when(i >= 0, F.get("keys", i)).otherwise(F.lit(0).cast("long")))
+    entries = clusters.select("cid", "keys", "packs", before.alias("before")).select("cid", F.explode(F.arrays_zip("keys", "packs", "before")).alias("e")).select(F.col("e.keys").alias("key"), "cid", F.col("e.packs").alias("pack"), F.col("e.before").alias("before"))
     candidates = written(entries.repartition("key").sortWithinPartitions("key").mapInArrow(_lists, _CANDIDATE), "candidates")
     pairs = written(candidates.filter("a IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
     # Each cluster with the smaller partner that it shares most prefix shingles with.
