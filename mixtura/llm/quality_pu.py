@@ -140,7 +140,7 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1, threshold: float = 0.5, penalty: float = 1.0, steps: int = 10) -> DataFrame:
+def quality_classifier(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1, threshold: float = 0.5, penalty: float = 12.0, steps: int = 10) -> DataFrame:
     """doc_id, held_out, score (that the text is good), predicted, for every row of ``docs``. Labels
     of the held-out fold are not used."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

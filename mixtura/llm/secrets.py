@@ -2,7 +2,7 @@
 
 Plain patterns give the base spans. Two first-order Markov models over character classes of ASCII
 token characters are trained on the corpus itself: the random model on the strings that the base
-patterns label as secrets, the ordinary model on all other text. A further token becomes a span of
+patterns label as secrets, the ordinary model on all text but the tokens that could be secrets. A further token becomes a span of
 kind ``random`` when its log-likelihood ratio, in total and for each character, says that it looks
 drawn at random rather than written.
 
@@ -31,8 +31,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
-#: What can be a secret: long, with a digit in it. Dots and slashes join ordinary names, so they part tokens here.
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+_=-]{0,64}[0-9])[A-Za-z0-9+/_=-]{16,}")
+#: What can be a secret: long, with a digit in it. Dots, dashes and underscores join ordinary names, so they part tokens here.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/=])(?=[A-Za-z+/=]{0,64}[0-9])[A-Za-z0-9+/=]{16,}")
 _DIGITS = re.compile(r"[0-9]")
 
 #: 0 for what stands outside a token, then the token characters.
@@ -85,8 +85,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             for kind, s, e in base_spans(text):
                 _pairs(_codes(f" {_secret_part(text, kind, s, e)} "), n[1])
-                _pairs(_codes(text[s:e]), n[0])
-            plain.append(text)
+            # What may be a secret, found by a pattern or not, is no sample of ordinary text.
+            plain.append(_TOKEN.sub(" ", text))
         codes = _codes("\n".join(plain))
         for i in range(0, len(codes), 1 << 20):  # one transition of each megabyte is left out
             _pairs(codes[i : i + (1 << 20) + 1], n[0])
@@ -111,8 +111,6 @@ def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     counts = np.zeros((2, SIZE * SIZE))
     for r in found:  # 2 x SIZE x SIZE rows at most
         counts[r.model, r.at] = r.n
-    # The secrets were counted with the plain text too and are taken off there.
-    counts[0] = np.maximum(0, counts[0] - counts[1])
     return log_ratios(counts)
 
 
@@ -131,7 +129,7 @@ def random_spans(text: str, ratios: np.ndarray, taken: list[tuple[str, int, int]
     return out
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text", span_col: str = "secret_spans", least: float = 12.0, least_each: float = 0.8, ratios: np.ndarray | None = None) -> DataFrame:
+def find_secrets(docs: DataFrame, text_col: str = "text", span_col: str = "secret_spans", least: float = 10.0, least_each: float = 0.35, ratios: np.ndarray | None = None) -> DataFrame:
     """``docs`` with an array of (kind, start, end), by start, then kind. ``least`` is the total
     log-likelihood ratio that a random token needs, ``least_each`` the ratio for each character."""
     table = train(docs, text_col) if ratios is None else ratios

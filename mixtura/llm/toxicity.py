@@ -137,11 +137,11 @@ def _decay(p: np.ndarray, s: np.ndarray) -> float:
     if not (s > 0).any() or p @ s >= 0:
         return 0.0
     low, high = 0.0, 1.0
-    while p @ np.exp(high * s) < 1 and high < 1e3:
+    while p @ np.exp(np.minimum(high * s, 700)) < 1 and high < 1e3:
         high *= 2
     for _ in range(80):
         mid = (low + high) / 2
-        low, high = (mid, high) if p @ np.exp(mid * s) < 1 else (low, mid)
+        low, high = (mid, high) if p @ np.exp(np.minimum(mid * s, 700)) < 1 else (low, mid)
     return high
 
 
@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int, held_fold: int, sample
     if not found:
         return model
     # Background chances of each score: words and word beginnings overlap, so they are an upper bound.
-    p = np.array([r.other / sums.other for r in found])
+    p = np.array([(r.other + 0.5) / (sums.other + 1) for r in found])
     p *= min(1.0, 0.5 / max(p.sum(), 1e-12))
     model.decay = _decay(np.append(p, 1 - p.sum()), np.append([r.delta for r in found], -loss))
 
