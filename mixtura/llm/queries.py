@@ -13,7 +13,7 @@ from mixtura.llm.jaccard_join import jaccard_components
 from mixtura.llm.packing import pack
 from mixtura.llm.pii import pii_digest
 from mixtura.llm.quality_pu import quality_classifier
-from mixtura.llm.quality_rules import quality_rules
+from mixtura.llm.quality_rules import LADDERS, quality_rules
 from mixtura.llm.secrets import secrets_digest
 from mixtura.llm.sentencepiece_scan import sentencepiece_digest
 from mixtura.llm.toxicity import toxicity
@@ -72,7 +72,49 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
+_LADDER = ", ".join(f"('{rule}', {i}, CAST({c} AS DOUBLE))" for rule, ladder in LADDERS.items() for i, c in enumerate(ladder))
+#: Share of the risk that each rule has, as in the defaults of ``quality_rules``.
+_RISK = f"CAST({0.05 / len(LADDERS)!r} AS DOUBLE)"
+_RULES_SQL = f"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)
+), dup AS (
+  SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1
+), rep AS (
+  SELECT doc_id, sum(n) AS n FROM (SELECT doc_id, least(8, i - lag(i, 1, -8) OVER (PARTITION BY doc_id ORDER BY i)) AS n FROM dup) GROUP BY 1
+), c AS (
+  SELECT w.doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
+    CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id
+), b AS (
+  SELECT * EXCLUDE (lines), len(lines) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c
+), r AS (
+  SELECT doc_id, stratum, base_failed, 'symbol_rate' AS rule, n_symbols / CAST(greatest(n_words, 1) AS DOUBLE) AS v FROM b
+  UNION ALL SELECT doc_id, stratum, base_failed, 'dup_line_rate', n_dup_lines / CAST(greatest(n_lines, 1) AS DOUBLE) FROM b
+  UNION ALL SELECT doc_id, stratum, base_failed, 'repeat_rate', n_repeat_words / CAST(greatest(n_words, 1) AS DOUBLE) FROM b
+  UNION ALL SELECT doc_id, stratum, base_failed, 'long_word', word_chars / CAST(greatest(n_words, 1) AS DOUBLE) FROM b
+  UNION ALL SELECT doc_id, stratum, base_failed, 'short_word', -word_chars / CAST(greatest(n_words, 1) AS DOUBLE) FROM b
+), ladder(rule, step, cutoff) AS (VALUES {_LADDER}
+), good AS (
+  SELECT doc_id FROM labels GROUP BY 1 HAVING max(quality) = 1
+), k AS (
+  SELECT stratum, rule, step, cutoff, count(*) AS n, count(*) FILTER (v > cutoff) AS k FROM r JOIN good USING (doc_id) JOIN ladder USING (rule) WHERE NOT base_failed GROUP BY ALL
+), p AS (
+  SELECT *, CASE WHEN k >= n * {_RISK} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_RISK}) + (n - i) * ln(1 - {_RISK})))) END AS p FROM k
+), ok AS (
+  SELECT *, p <= CAST(0.05 AS DOUBLE) / ({len(LADDERS)} * (SELECT count(DISTINCT stratum) FROM b)) AS ok FROM p
+), cut AS (
+  SELECT stratum, rule, arg_max(cutoff, step) AS cutoff FROM (SELECT *, coalesce(min(step) FILTER (NOT ok) OVER (PARTITION BY stratum, rule), 999) AS stop FROM ok) WHERE step < stop GROUP BY 1, 2
+), bad AS (
+  SELECT DISTINCT doc_id FROM r JOIN cut USING (stratum, rule) WHERE v > cutoff
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM b
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op10_quality_rules": _RULES_SQL,
     "op1_jaccard_join": """
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
