@@ -113,12 +113,12 @@ _SPELLED = re.compile(rf"(?i)(?<!\w)(?:(?:{_NUMBER})(?!\w)[\x20,-]{{0,2}}){{3,}}
 _SPELLED_ONE = re.compile(rf"(?i)(?:{_NUMBER})(?!\w)")
 _PLUS = re.compile(rf"(?i)(?<!\w)plus\x20(?=(?:[0-9]|(?:{_NUMBER})(?!\w)))")
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-_AT = re.compile(rf"(?i)\x20?{_OPEN}\x20?(?:at|ät|arroba|arobase)\x20?{_CLOSE}\x20?")
-_DOT = re.compile(rf"(?i)\x20?{_OPEN}\x20?(?:dot|punkt|punto|point)\x20?{_CLOSE}\x20?")
-_WORDS = re.compile(r"(?i)(?<![\w.%+-])[a-z0-9._%+-]{1,64}(?P<at>\x20at\x20|\x20?@\x20?)[a-z0-9-]{1,63}(?:(?:\x20dot\x20|\x20?\.\x20?)[a-z0-9-]{1,63}(?![\w]))+")
-_WORD_AT, _WORD_DOT = re.compile(r"(?i)\x20at\x20|\x20@\x20?|@\x20"), re.compile(r"(?i)\x20dot\x20")
+_AT = re.compile(rf"(?i)\x20?{_OPEN}\x20?(?:at|ät|arroba|arobase|@)\x20?{_CLOSE}\x20?")
+_DOT = re.compile(rf"(?i)\x20?{_OPEN}\x20?(?:dot|punkt|punto|point|\.)\x20?{_CLOSE}\x20?")
+_WORDS = re.compile(r"(?i)(?<![\w.%+-])[a-z0-9._%+-]{1,64}(?P<at>\x20at\x20|\x20?@\x20?)[a-z0-9-]{1,63}(?:(?:\x20dot\x20|\x20\.\x20|\.)[a-z0-9-]{1,63}(?![\w]))+")
+_WORD_AT, _WORD_DOT = re.compile(r"(?i)\x20at\x20|\x20@\x20?|@\x20"), re.compile(r"(?i)\x20(?:dot|\.)\x20")
 _IP_DOT = re.compile(r"(?i)(?<=[0-9])\x20(?:dot|point|punkt|punto)\x20(?=[0-9])")
-_BRACKETED = re.compile(rf"(?i){_OPEN}\x20?(?:at|ät|arroba|arobase|dot|punkt|punto|point)\x20?{_CLOSE}")
+_BRACKETED = re.compile(rf"(?i){_OPEN}\x20?(?:at|ät|arroba|arobase|dot|punkt|punto|point|[@.])\x20?{_CLOSE}")
 _SPELLED_DOT = re.compile(r"(?i)\x20(?:dot\x20|(?:point|punkt|punto)\x20[0-9])")
 _LOOSE_AT = re.compile(r"\x20@|@\x20")
 #: The French article is too common to tell anything alone.
@@ -182,7 +182,7 @@ def normalise(text: str, glyphs: list[tuple[int, int, str]] | None = None) -> No
     edits = []
     for m in _WORDS.finditer(n.text):
         if m["at"] != "@" or _WORD_DOT.search(m[0]):
-            if m["at"] == " at " and not _WORD_DOT.search(m[0]):
+            if m["at"].lower() == " at " and not _WORD_DOT.search(m[0]):
                 continue  # "look at this. Then" is plain text
             edits += [(m.start() + x.start(), m.start() + x.end(), "@") for x in _WORD_AT.finditer(m[0])][:1]
             edits += [(m.start() + x.start(), m.start() + x.end(), ".") for x in _WORD_DOT.finditer(m[0])]

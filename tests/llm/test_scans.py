@@ -39,6 +39,11 @@ def test_base_pii_is_the_plain_reading(text):
         ("ｊｏｈｎ＠ｅｘａｍｐｌｅ．ｃｏｍ", "email", "ｊｏｈｎ＠ｅｘａｍｐｌｅ．ｃｏｍ"),
         ("ring plus one five five five zero one zero two zero three zero", "phone", "plus one five five five zero one zero two zero three zero"),
         ("card 4１11 1111 1111 1111 end", "card", "4１11 1111 1111 1111"),
+        ("john @ example . com is it", "email", "john @ example . com"),
+        ("JOHN AT EXAMPLE DOT COM is it", "email", "JOHN AT EXAMPLE DOT COM"),
+        ("me john(@)example[.]com", "email", "john(@)example[.]com"),
+        ("jоhn@exаmple.com in other letters", "email", "jоhn@exаmple.com"),
+        ("host 10[.]1[.]0[.]1 up", "ip", "10[.]1[.]0[.]1"),
         ("host 10 dot 0 dot 0 dot 1", "ip", "10 dot 0 dot 0 dot 1"),
     ],
 )
@@ -49,7 +54,7 @@ def test_disguises(text, kind, found):
 
 
 def test_ordinary_text_is_left_alone():
-    for text in ("look at this. Then go", "un deux trois", "dot the i", "naïve – “quoted” text", "one two three four"):
+    for text in ("look at this. Then go", "un deux trois", "dot the i", "naïve – “quoted” text", "one two three four", "meet @ noon. Then go", "mail at noon. Be there"):
         assert pii.spans_of(text) == ([], []) and pii.mask(text) == text
 
 
