@@ -36,9 +36,9 @@ def melt(df: DataFrame, id_col: str, columns: list[str], group_col: str | None =
     return df.select(*keep, cells.alias("c")).select(*keep, "c.feature", "c.value").filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def midranks(long: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
-    """(feature, value, ties, midrank, n)."""
-    r = running(long, [feature], value, {"ties": F.lit(1)})
+def midranks(long: DataFrame, feature: str = "feature", value: str = "value", count: Column | None = None) -> DataFrame:
+    """(feature, value, ties, midrank, n). ``count`` is the number of rows that each row stands for."""
+    r = running(long, [feature], value, {"ties": F.lit(1) if count is None else count})
     return r.select(feature, value, "ties", (F.col("ties_before") + (F.col("ties") + 1) / 2).alias("midrank"), F.col("ties_all").alias("n"))
 
 
@@ -52,7 +52,7 @@ def kruskal(long: DataFrame, feature: str = "feature", group: str = "grp", value
     used = _large_enough(long.select(feature, group, value), feature, group, least)
     # Rows are counted by value first; ranks are joined to distinct values, not to rows.
     cells = used.groupBy(feature, group, value).agg(F.count("*").alias("c"))
-    ranks = midranks(used, feature, value)
+    ranks = midranks(cells, feature, value, F.col("c"))
     sums = cells.join(ranks.select(feature, value, "midrank"), [feature, value]).groupBy(feature, group).agg(F.sum(F.col("c") * F.col("midrank")).alias("s"), F.sum("c").alias("n"))
     ties = ranks.groupBy(feature).agg(F.sum(F.col("ties").cast("double") * F.col("ties") * F.col("ties") - F.col("ties")).alias("t"))
     per = sums.groupBy(feature).agg(F.sum("n").alias("n"), F.count("*").alias("groups"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q")).join(ties, feature)
