@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixtura.functions.vec import dbl
-from mixtura.operators.ranking import running
+from mixtura.operators.ranking import bucketed, quantiles, running
 
 
 def missing(c: str) -> Column:
@@ -119,9 +119,9 @@ def knn_impute(df: DataFrame, id_col: str, x: str, k: int = 10, shrink: float =
 
 def describe(long: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
     """count, mean, std, min, quartiles and max of each feature."""
-    return long.groupBy(feature).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"),
-        F.percentile(value, 0.25).alias("q25"), F.percentile(value, 0.5).alias("q50"), F.percentile(value, 0.75).alias("q75"), F.max(value).alias("max"))
+    plain = long.groupBy(feature).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    cuts = quantiles(long, [feature], value, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return plain.join(cuts, feature).select(feature, "n", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def histogram(df: DataFrame, label: str, value: str, bins: int = 30) -> DataFrame:
@@ -145,6 +145,10 @@ def random_subset(df: DataFrame, n: int, seed: int) -> DataFrame:
 
 def is_ordered(df: DataFrame, index: str, value: str) -> DataFrame:
     """ordered: whether no value lies below the one before it, the last pair included."""
-    step = df.select(index, value, F.lead(value).over(Window.partitionBy(F.lit(0)).orderBy(index)).alias("_next"))
-    return step.agg(F.coalesce(F.min(F.col("_next").isNull() | (F.col("_next") >= F.col(value))), F.lit(True)).alias("ordered"))
-
+    rows = bucketed(df.select(index, value), [], index)
+    following = F.lead(value).over(Window.partitionBy("_bucket").orderBy(index))
+    inside = rows.withColumn("_next", following).groupBy("_bucket").agg(
+        F.min(F.col("_next").isNull() | (F.col("_next") >= F.col(value))).alias("ok"), F.min_by(value, index).alias("first"), F.max_by(value, index).alias("last"))
+    # A row for each bucket: the last value of one against the first of the next.
+    step = F.lead("first").over(Window.partitionBy(F.lit(0)).orderBy("_bucket"))
+    return inside.withColumn("_next", step).agg(F.coalesce(F.min(F.col("ok") & (F.col("_next").isNull() | (F.col("_next") >= F.col("last")))), F.lit(True)).alias("ordered"))

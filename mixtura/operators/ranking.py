@@ -13,15 +13,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bucketed(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 32) -> DataFrame:
-    """``df`` with ``_bucket``, which rises with ``value`` within ``keys``."""
+def bucketed(df: DataFrame, keys: Sequence[str], value: str, buckets: int | None = None) -> DataFrame:
+    """``df`` with ``_bucket``, which rises with ``value`` within ``keys``; as many buckets for each
+    key as the session has shuffle partitions, where not given."""
+    buckets = buckets or max(8, min(2000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
     at = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, at, 1000).alias("_cuts"))
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, at, max(1000, 4 * buckets)).alias("_cuts"))
     joined = df.join(cuts, list(keys)) if keys else df.crossJoin(F.broadcast(cuts))  # one row of cuts
     return joined.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
 
 
-def running(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column], buckets: int = 32) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column], buckets: int | None = None) -> DataFrame:
     """One row for each (keys, value), with the sums over its rows (``name``), over all rows with
     smaller values (``name_before``), and over all rows of the keys (``name_all``)."""
     keys = list(keys)
@@ -33,3 +35,16 @@ def running(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Colu
     offsets = totals.select(*keys, "_bucket", *(F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}_offset") for n in sums), *(F.sum(f"_{n}").over(over).alias(f"{n}_all") for n in sums))
     out = tied.join(offsets, [*keys, "_bucket"])
     return out.select(*keys, value, *sums, *((F.coalesce(F.sum(n).over(inside), F.lit(0)) + F.col(f"_{n}_offset")).alias(f"{n}_before") for n in sums), *(f"{n}_all" for n in sums))
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, at: dict[str, float]) -> DataFrame:
+    """One row for each key with exact quantiles, interpolated between neighbours, named by ``at``.
+    They are read off running counts, so no task holds all values of a key."""
+    r = running(df, keys, value, {"m": F.lit(1)})
+    picks = []
+    for name, q in at.items():
+        place = (F.col("m_all") - 1) * F.lit(float(q))
+        held = lambda k: F.max(F.when((F.col("m_before") <= k) & (k < F.col("m_before") + F.col("m")), F.col(value)))
+        low, high = held(F.floor(place)), held(F.ceil(place))
+        picks.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
+    return r.groupBy(*keys).agg(*picks)

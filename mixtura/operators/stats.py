@@ -9,7 +9,7 @@ from pyspark.sql.types import DoubleType
 
 from mixtura.functions import special
 from mixtura.functions.vec import dbl
-from mixtura.operators.ranking import running
+from mixtura.operators.ranking import quantiles, running
 
 
 @F.pandas_udf(DoubleType())
@@ -100,7 +100,7 @@ def bh(df: DataFrame, p: str = "p_value", key: str = "feature") -> DataFrame:
 
 def brown_forsythe(long: DataFrame, feature: str = "feature", group: str = "grp", value: str = "value", least: int = 3) -> DataFrame:
     """ANOVA's F on distances from the group's exact median."""
-    med = long.groupBy(feature, group).agg(F.percentile(value, 0.5).alias("_med"))
+    med = quantiles(long, [feature, group], value, {"_med": 0.5})
     away = long.join(med, [feature, group]).withColumn("_away", F.abs(F.col(value) - F.col("_med")))
     return anova(away, feature, group, "_away", least)
 
