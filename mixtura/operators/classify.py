@@ -120,6 +120,16 @@ def out_of_fold(df: DataFrame, make: Callable[[], object], k: int = 5, id_col: s
     return jobs.mapInPandas(run, f"{id_col} {kind[id_col]}, y {kind[y]}, fold int, p double")
 
 
+def perceptron(train: DataFrame, test: DataFrame, layers: list[int], id_col: str = "id", x: str = "x", y: str = "y", max_iter: int = 100, seed: int = 1) -> DataFrame:
+    """(id, p): chance of class 1 by Spark's multilayer perceptron (sigmoid layers), trained on all rows."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    ready = lambda df: df.select(id_col, array_to_vector(x).alias("features"), F.col(y).cast("double").alias("label"))
+    model = MultilayerPerceptronClassifier(layers=layers, maxIter=max_iter, seed=seed).fit(ready(train))
+    return model.transform(ready(test)).select(id_col, vector_to_array("probability")[1].alias("p"))
+
+
 def feature_evidence(df: DataFrame, columns: list[str], y: str = "y", most: int = 2000) -> DataFrame:
     """(feature, log_odds): evidence of a Gaussian process on (1, feature) over one on 1, one task a
     feature."""

@@ -117,6 +117,47 @@ def knn_impute(df: DataFrame, id_col: str, x: str, k: int = 10, shrink: float =
     return df.join(best, id_col, "left").withColumn(x, F.when(F.col("n").isNotNull(), filled).otherwise(F.col(x))).select(*df.columns)
 
 
+def treat_missing(df: DataFrame, id_col: str, columns: list[str], how: str = "impute", k: int = 10) -> DataFrame:
+    """One entry for the ways to treat missing cells: ``rows`` and ``columns`` drop what holds one,
+    ``impute`` fills from the k nearest complete rows."""
+    if how == "rows":
+        return drop_missing_rows(df, columns)
+    if how == "columns":
+        return drop_missing_columns(df, columns)
+    if how != "impute":
+        raise ValueError(f"unknown treatment {how!r}")
+    x = F.array(*(F.when(~missing(c), F.col(c).cast("double")) for c in columns))
+    filled = knn_impute(df.select(id_col, x.alias("_x")), id_col, "_x", k)
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept).join(filled, id_col).select(*kept, *(F.get("_x", F.lit(i)).alias(c) for i, c in enumerate(columns)))
+
+
+def recode_table(df: DataFrame, id_col: str, kinds: dict[str, str], declared_missing: set[str] = frozenset(), least: float = 0.5, how: str = "impute", k: int = 10) -> DataFrame:
+    """A mixed table as numbers: continuous and integer columns are cast (what is no number is
+    missing), categorical and binary ones are recoded by their sorted levels, or dropped where they
+    are declared to have missing values; then thin columns go and missing cells are treated."""
+    out = df.select(id_col, *kinds)
+    for c, kind in kinds.items():
+        if kind in ("continuous", "integer"):
+            out = out.withColumn(c, to_double(c))
+        elif kind not in ("categorical", "binary"):
+            raise ValueError(f"unknown kind {kind!r} of {c}")
+        elif c in declared_missing:
+            out = out.drop(c)
+        else:
+            levels = sorted(r[0] for r in out.select(c).distinct().collect() if r[0] is not None)  # levels of a category
+            out = recode(out, c, levels)
+    out = condense(out, [c for c in out.columns if c != id_col], least)
+    columns = [c for c in out.columns if c != id_col]
+    return treat_missing(out, id_col, columns, how, k)
+
+
+def sample_words(words: DataFrame, share: float, repeats: int, seed: int) -> DataFrame:
+    """A sample with replacement, ``repeats`` of its words once more, in random order."""
+    drawn = words.sample(withReplacement=True, fraction=share, seed=seed)
+    return drawn.unionByName(drawn.limit(repeats)).orderBy(F.rand(seed))
+
+
 def describe(long: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
     """count, mean, std, min, quartiles and max of each feature."""
     plain = long.groupBy(feature).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))

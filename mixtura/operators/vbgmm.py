@@ -311,3 +311,22 @@ def predict(df: DataFrame, post: Posterior, x: str = "x") -> DataFrame:
         return pd.DataFrame({"q": list(q), "log_density": state.value.predict_log_density(m), "component": (q.argmax(1) + 1).astype("int32")})
 
     return df.withColumn("_p", run(F.col(x))).select("*", "_p.q", "_p.log_density", "_p.component").drop("_p")
+
+
+def majority_map(df: DataFrame, true: str = "true", pred: str = "component") -> DataFrame:
+    """(true, component): for each true label the component that most of its rows have, the lowest of
+    equals. Two labels may share a component."""
+    counts = df.groupBy(true, pred).agg(F.count("*").alias("n"))
+    return counts.groupBy(true).agg(F.max_by(pred, F.struct("n", -F.col(pred))).alias(pred))
+
+
+def model_stats(df: DataFrame, post: Posterior, x: str = "x") -> DataFrame:
+    """One row for each component: rows, weight, mean, log determinant, condition number and rank of
+    its precision, and the log density at its mean."""
+    counts = {r.component: r.n for r in predict(df.select(x), post, x).groupBy("component").agg(F.count("*").alias("n")).collect()}
+    out = []
+    for i in range(post.params.k):
+        precision = post.precision(i)
+        peak = float(post.predict_log_density(post.mean[i][None])[0])
+        out.append((i + 1, counts.get(i + 1, 0), float(post.delta[i] / post.delta.sum()), post.mean[i].tolist(), float(np.linalg.slogdet(precision)[1]), float(np.linalg.cond(precision)), int(np.linalg.matrix_rank(precision)), peak))
+    return df.sparkSession.createDataFrame(out, "component int, n long, weight double, mean array<double>, log_det double, cond double, rank int, peak double")

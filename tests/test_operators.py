@@ -183,3 +183,24 @@ def test_stream_scoring(spark, tmp_path):
     q = scoring.start(scoring.scored(stream, np.array([0.5, 0.5]), np.array([[0.0, 0], [3, 3]]), np.array([1.0, 1.0]), "spherical"), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert {r.cluster for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {0, 1}
+
+
+def test_mixed_table_as_numbers(spark):
+    rows = [(i, str(float(i)) if i != 3 else "?", "ab"[i % 2], "xyz"[i % 3], None, "m" if i else None) for i in range(12)]
+    df = spark.createDataFrame(rows, "id long, num string, two string, three string, thin string, gone string")
+    kinds = {"num": "continuous", "two": "binary", "three": "categorical", "thin": "continuous", "gone": "categorical"}
+    out = prep.recode_table(df, "id", kinds, {"gone"}, k=3).orderBy("id").collect()
+    assert out[0].asDict().keys() == {"id", "num", "two", "three_0", "three_1", "three_2"}
+    assert [r.two for r in out[:2]] == [0.5, -0.5] and [r.three_1 for r in out[:3]] == [0, 1, 0] and out[3].num is not None
+    with pytest.raises(ValueError):
+        prep.treat_missing(df, "id", ["num"], "odd")
+
+
+def test_component_statistics(spark):
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(three_gaussians())], "id long, x array<double>")
+    post = vbgmm.fit_local(three_gaussians(), vbgmm.Params(k=2, max_iter=20))
+    stats_ = vbgmm.model_stats(df, post).collect()
+    assert sum(r.n for r in stats_) == 200 and sum(r.weight for r in stats_) == pytest.approx(1) and {r.rank for r in stats_} == {2}
+    pred = vbgmm.predict(df, post).withColumn("true", F.col("component") + 5)
+    assert {(r.true, r.component) for r in vbgmm.majority_map(pred).collect()} <= {(6, 1), (7, 2)}
+    assert clusters.label_pairs(pred, "component").count() <= 1
