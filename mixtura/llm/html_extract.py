@@ -5,9 +5,10 @@ inferred by aligning page after page: neighbours of one label become a repeated
 that only some pages have become optional, and texts that differ become slots. Wrappers merge with
 wrappers as pages do, so each task folds its own pages of a host and only small wrappers meet, in
 two steps, however many pages a host has. The wrapper then tells which part is the article, for
-all pages of the host alike; each page's text is read there, without what its labels mark as
-menus, notices, adverts, forms, comments and the like. A page without that part is taken as its
-own template.
+all pages of the host alike; each page's text is read there, without the texts that are the same on
+all pages that have the element (two or more), and without what its labels mark as menus, notices,
+adverts, forms, comments and the like. A page that then has no text keeps the template's; one without
+that part is taken as its own template.
 
 Cases: a null or empty page has the empty text. A page without a usable url belongs to the host "".
 Repeated rows give repeated results, null ids are passed on, other columns are not read, an empty
@@ -79,7 +80,8 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([json.dumps(tree.main_path(json.loads(w))) for w in batch.column(1).to_pylist()], pa.string())], names=["host", "path"])
+        wrappers = map(json.loads, batch.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([json.dumps([tree.main_path(w), tree.template_texts(w)]) for w in wrappers], pa.string())], names=["host", "path"])
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
@@ -99,7 +101,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     joined = named.join(F.broadcast(paths) if size <= BROADCAST_BYTES else paths, "host", "left")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[str]] = {}
+        known: dict[str, tuple[list[str], frozenset[int]]] = {}
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
@@ -111,9 +113,10 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                     if path not in known:
                         if len(known) > 10_000:
                             known.clear()
-                        known[path] = json.loads(path)
+                        labels, template = json.loads(path)
+                        known[path] = labels, frozenset(template)
                     root = tree.parse(page)
-                    text = tree.text_at(root, known[path])
+                    text = tree.text_at(root, *known[path]) or tree.text_at(root, known[path][0])
                     if not text:
                         text = tree.text_at(root, tree.main_path(tree.wrapper_of(root)))
                     out.append(text or "")

@@ -1,8 +1,12 @@
 """Small trees of web pages and the wrappers inferred from them.
 
 A node is a dict: ``l`` label, ``c`` children. In a page, ``c`` holds strings (text) and nodes. In a
-wrapper, a node also has ``o`` (optional) and ``r`` (repeated), ``t`` (a hash while all its texts were
-the same, 0 once they differed: a slot), ``n`` (characters of text), ``a`` (of these, in links).
+wrapper, a node also has ``o`` (optional) and ``r`` (repeated), ``t`` (hashes of its texts while all pages
+that have it had the same, 0 once they differed: a slot), ``k`` (pages that have it), ``n`` (characters
+of text), ``a`` (of these, in links).
+
+Texts that several pages share at one place are the template's: they do not count as the main part's
+and are left out of each page's text. Names only tell apart what the texts leave open.
 """
 
 from __future__ import annotations
@@ -91,40 +95,50 @@ def parse(page: str) -> dict:
 
 def dropped(label: str, inside: bool) -> bool:
     """Whether a label says that the element is no article text. Within the main part, a header
-    holds the title."""
+    holds the title. The names of html and body tell how the page looks, not what it holds."""
     tag, _, names = label.partition(" ")
     if tag in DROPPED_TAGS or (tag == "header" and not inside):
         return True
+    if tag in ("html", "body"):
+        return False
     return bool(names) and _DROPPED_NAMES.search(names) is not None or (not inside and re.search(r"(?:^|\s)(?:site-)?(?:header|masthead)(?:$|\s)", names) is not None)
 
 
 def wrapper_of(node: dict) -> dict:
     """A page's tree as a wrapper of that page alone: neighbours of one label become a repeated group."""
     texts = "".join(x for x in node["c"] if isinstance(x, str)).strip()
-    out = {"l": node["l"], "o": 0, "r": 0, "t": (xxhash.xxh3_64_intdigest(texts) | 1) if texts else None, "n": len(texts), "a": min(node["a"], len(texts)), "c": []}
+    out = {"l": node["l"], "o": 0, "r": 0, "k": 1, "t": [_hash(texts)] if texts else None, "n": len(texts), "a": min(node["a"], len(texts)), "c": []}
     for child in node["c"]:
         if isinstance(child, dict):
             one = wrapper_of(child)
             if out["c"] and out["c"][-1]["l"] == one["l"]:
-                out["c"][-1] = merged(out["c"][-1], one) | {"r": 1}
+                out["c"][-1] = merged(out["c"][-1], one, True) | {"r": 1}
             else:
                 out["c"].append(one)
     return out
 
 
-def merged(x: dict, y: dict) -> dict:
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) >> 16
+
+
+def merged(x: dict, y: dict, within: bool = False) -> dict:
     """The wrapper of both: their children are aligned; what only one has becomes optional, and
-    texts that differ become a slot."""
+    texts that differ become a slot. ``within`` a page, neighbours join their texts."""
+    if within:
+        t = sorted({*(x["t"] or ()), *(y["t"] or ())}) or None
+    else:
+        t = x["t"] if x["t"] == y["t"] else 0
     return {
         "l": x["l"], "o": x["o"] | y["o"], "r": x["r"] | y["r"], "n": x["n"] + y["n"], "a": x["a"] + y["a"],
-        "t": x["t"] if x["t"] == y["t"] else 0,
-        "c": _aligned(x["c"], y["c"]),
+        "k": max(x["k"], y["k"]) if within else x["k"] + y["k"], "t": t,
+        "c": _aligned(x["c"], y["c"], within),
     }
 
 
-def _aligned(xs: list[dict], ys: list[dict]) -> list[dict]:
+def _aligned(xs: list[dict], ys: list[dict], within: bool) -> list[dict]:
     if len(xs) == len(ys) and all(x["l"] == y["l"] for x, y in zip(xs, ys)):
-        return [merged(x, y) for x, y in zip(xs, ys)]
+        return [merged(x, y, within) for x, y in zip(xs, ys)]
     n, m = len(xs), len(ys)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -134,14 +148,14 @@ def _aligned(xs: list[dict], ys: list[dict]) -> list[dict]:
 
     def put(node: dict) -> None:
         if out and out[-1]["l"] == node["l"]:  # alignment may bring equal neighbours together
-            out[-1] = merged(out[-1], node) | {"r": 1}
+            out[-1] = merged(out[-1], node, within) | {"r": 1}
         else:
             out.append(node)
 
     i = j = 0
     while i < n and j < m:
         if xs[i]["l"] == ys[j]["l"]:
-            put(merged(xs[i], ys[j]))
+            put(merged(xs[i], ys[j], within))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
             put(xs[i] | {"o": 1})
@@ -154,22 +168,76 @@ def _aligned(xs: list[dict], ys: list[dict]) -> list[dict]:
     return out
 
 
+def _constant(node: dict) -> bool:
+    """Whether several pages have the node, all with the same text of its own."""
+    return node["k"] > 1 and bool(node["t"])
+
+
+def _slots(node: dict) -> dict:
+    """The wrapper without the template's texts."""
+    return node | ({"n": 0, "a": 0} if _constant(node) else {}) | {"c": [_slots(c) for c in node["c"]]}
+
+
+def _copy(node: dict) -> dict:
+    return node | {"c": [_copy(c) for c in node["c"]]}
+
+
+def _texts(node: dict) -> int:
+    """Characters outside links and elements that never hold article text, whatever the names."""
+    return 0 if node["l"].partition(" ")[0] in DROPPED_TAGS else node["n"] - node["a"] + sum(map(_texts, node["c"]))
+
+
+def _named(node: dict, least: float) -> bool:
+    """Marks (``x``) the elements whose names do not count, since they hold an article or nearly all
+    text; returns whether the node is or holds an article."""
+    inner = [_named(c, least) for c in node["c"]]
+    tag = node["l"].partition(" ")[0]
+    node["x"] = tag not in DROPPED_TAGS and (any(inner) or _texts(node) >= least)
+    return tag not in DROPPED_TAGS and (any(inner) or (tag in ("article", "main") and not dropped(node["l"], True)))
+
+
+def _gone(node: dict, inside: bool) -> bool:
+    return not node.get("x") and dropped(node["l"], inside)
+
+
 def _mass(node: dict, inside: bool = False) -> int:
     """Characters outside links and dropped elements, below a wrapper node."""
-    if dropped(node["l"], inside):
+    if _gone(node, inside):
         return 0
     return node["n"] - node["a"] + sum(_mass(c, inside) for c in node["c"])
 
 
+def template_texts(wrapper: dict) -> list[int]:
+    """Keys of the texts that belong to the template, each with the labels above it."""
+    out: set[int] = set()
+
+    def walk(node: dict, at: int) -> None:
+        if _constant(node):
+            out.update(at ^ t for t in node["t"])
+        for c in node["c"]:
+            walk(c, _below(at, c["l"]))
+
+    walk(wrapper, 0)
+    return sorted(out)
+
+
+def _below(at: int, label: str) -> int:
+    return _hash(f"{at} {label}")
+
+
 def main_path(wrapper: dict) -> list[str]:
     """Labels from the root to the main part. An ``article`` or ``main`` element with enough of the
-    text is taken; then elements named so; else one descends as long as one child holds most."""
+    text is taken; then elements named so; else one descends as long as one child holds most. The
+    template's texts count only where pages have no others."""
+    slots = _slots(wrapper)
+    wrapper = slots if _texts(slots) else _copy(wrapper)
+    _named(wrapper, 0.8 * max(1, _texts(wrapper)))
     total = max(1, _mass(wrapper))
     found: list[tuple[int, int, list[str]]] = []
 
     def walk(node: dict, path: list[str]) -> None:
         for c in node["c"]:
-            if dropped(c["l"], False):
+            if _gone(c, False):
                 continue
             here = [*path, c["l"]]
             tag, _, names = c["l"].partition(" ")
@@ -193,26 +261,28 @@ def main_path(wrapper: dict) -> list[str]:
     return path
 
 
-def text_at(page: dict, path: list[str]) -> str | None:
-    """The text of the page's elements at ``path``; None if it has none there."""
-    nodes = [page]
+def text_at(page: dict, path: list[str], template: frozenset[int] = frozenset()) -> str | None:
+    """The text of the page's elements at ``path`` but for the template's; None if it has none there."""
+    nodes, root = [page], 0
     for label in path:
+        root = _below(root, label)
         nodes = [c for node in nodes for c in node["c"] if isinstance(c, dict) and c["l"] == label]
     if not nodes:
         return None
     parts: list[str] = []
 
-    def walk(node: dict) -> None:
+    def walk(node: dict, at: int) -> None:
+        constant = template and at ^ _hash("".join(x for x in node["c"] if isinstance(x, str)).strip()) in template
         for c in node["c"]:
             if isinstance(c, str):
-                parts.append(c)
+                parts.append(" " if constant else c)
             elif not dropped(c["l"], bool(path)):
                 block = c["l"].partition(" ")[0] not in INLINE
                 parts.append(" " * block)
-                walk(c)
+                walk(c, _below(at, c["l"]) if template else 0)
                 parts.append(" " * block)
 
     for node in nodes:
-        walk(node)
+        walk(node, root)
         parts.append(" ")
     return " ".join("".join(parts).split())
