@@ -64,7 +64,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([features(t or "") for t in part.column(1).to_pylist()], pa.list_(pa.float64()))], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([features(t or "") for t in part.column(1).to_pylist()], pa.list_(pa.float64())), *part.columns[2:]], names=["doc_id", "x", *part.schema.names[2:]])
 
 
 def _hinged(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -140,23 +140,25 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1, threshold: float = 0.5, penalty: float = 12.0, steps: int = 10) -> DataFrame:
-    """doc_id, held_out, score (that the text is good), predicted, for every row of ``docs``. Labels
-    of the held-out fold are not used."""
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(named.mapInArrow(_featured, "doc_id long, x array<double>"), "quality-features")
+def quality_classifier(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1, threshold: float = 0.5, penalty: float = 12.0, steps: int = 10, key_col: str | None = None) -> DataFrame:
+    """doc_id, held_out, score (that the text is good), predicted, for every row of ``docs``, and the
+    row's ``key_col`` (a long), where given. Labels of the held-out fold are not used."""
+    keys = [key_col] if key_col else []
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keys)
+    kept = "".join(f", {k} long" for k in keys)
+    rows = written(named.mapInArrow(_featured, f"doc_id long, x array<double>{kept}"), "quality-features")
     known = labels.filter(~in_fold(F.col("doc_id").cast("long"), folds, held_fold)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("quality") == 1).alias("positive"))
-    rows = written(rows.join(known, "doc_id", "left").select("doc_id", "x", F.coalesce("positive", F.lit(False)).alias("positive")), "quality-rows")
+    rows = written(rows.join(known, "doc_id", "left").select("doc_id", "x", F.coalesce("positive", F.lit(False)).alias("positive"), *keys), "quality-rows")
     w, mean, scale = fit(rows.select("x", "positive"), penalty, steps)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column(1))
             score = sigmoid(_hinged(x, mean, scale) @ w) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), *batch.columns[2:]], names=["doc_id", "score", *keys])
 
-    out = rows.select("doc_id", "x").mapInArrow(scored, "doc_id long, score double")
-    return out.select("doc_id", in_fold(F.col("doc_id"), folds, held_fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    out = rows.select("doc_id", "x", *keys).mapInArrow(scored, f"doc_id long, score double{kept}")
+    return out.select("doc_id", in_fold(F.col("doc_id"), folds, held_fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *keys)
 
 
 def fit(rows: DataFrame, penalty: float, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
