@@ -9,12 +9,17 @@ documents reachable over links form a component.
 2. Each map task clusters its own documents: a set that links with a leader found over its prefix
    joins it, stored as its difference from the leader. A cluster enters each prefix shingle once,
    with the range of its sizes and its first position. So a group of copies adds one index entry
-   for each task and shingle, however many copies there are.
-3. Index lists by shingle are sorted by position and cut into blocks; a probe skips whole blocks
-   whose positions or sizes rule out the overlap it needs. Short lists give all their pairs, long
-   ones pair each cluster with the least id first.
+   for each task and shingle, however many copies there are. Each different set of a cluster leaves a
+   mark, the parities of its shingles over ``MARK_BITS`` places: two sets differ in at least as many
+   shingles as their marks do in bits, so marks rule pairs out before any set is sent.
+3. Index lists by shingle are sorted by position and cut into blocks; whole blocks are skipped whose
+   positions or sizes rule out the overlap they need. Short lists give all their pairs, long ones
+   pair each cluster with the least id first. Lists that the counts show to be very long are dealt
+   to several tasks, whose blocks meet later.
 4. Each cluster is verified against its most frequent smaller partner, then components are made.
-   Only pairs that would join two components are verified next; long lists give such pairs only.
+   Only pairs that would join two components are verified next: of a long list, first a forest of
+   the likeliest pairs over its components, and when these are joined, all that are left. No pair
+   within a component is made, so a group of near copies costs as many pairs as it has members.
 5. A pair of clusters is answered from the overlap of its leaders: a member's overlap follows from
    it by the stored differences, and is worked out only where these could reach the threshold.
 
@@ -27,8 +32,9 @@ repeat an id count as one vertex. An empty table gives an empty result. Other co
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,12 +49,20 @@ from mixtura.llm.components import components
 WIDTH = 5
 #: Places of the table of shingle counts; a fixed 2 MB once ranked.
 PLACES = 1 << 20
-#: Places of the table that go to the driver as one row.
-STRETCH = 1 << 13
+#: Bytes of a table that go to the driver as one row.
+STRETCH = 1 << 15
 #: Lists up to this length give all their pairs at once.
 SHORT = 8
 #: Entries of a long list that are skipped or read together.
 BLOCK = 32
+#: Entries of a long list that make one row.
+ROW = 4096
+#: Entries of one key that go to one task; a key with more (by the counts) is dealt to several.
+DEALT = 1 << 16
+#: Bits of a set's mark.
+MARK_BITS = 1024
+#: Different sets that a cluster holds; copies of its leader do not count.
+VARIANTS = 64
 #: Largest number of bits of the filter of ids that are to be verified (8 MB).
 FILTER_BITS = 1 << 26
 _TOP = (1 << 21) - 1
@@ -99,38 +113,92 @@ def linked(common: int, n: int, m: int) -> bool:
     return 100 * common >= 75 * (n + m - common) and common > 0
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(PLACES, dtype=np.int64)
-    for batch in batches:
-        for text in batch.column(0):
-            at = (shingles(text.as_py()) & np.uint64(PLACES - 1)).astype(np.int64)
-            np.add.at(counts, at, 1)
-    (used,) = np.nonzero(counts)
-    for i in range(0, len(used), 1 << 16):
-        part = used[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(counts[part], pa.int64())], names=["place", "n"])
-
-
-def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranks of a partition's places, packed by stretches of the table."""
-    stretches: dict[int, np.ndarray] = {}
-    for batch in batches:
-        place, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-        rank = np.minimum(65535, 2000 * np.log2(1.0 + n)).astype("<u2")
-        for i in np.unique(place // STRETCH):
-            own = place // STRETCH == i
-            stretches.setdefault(int(i), np.zeros(STRETCH, dtype="<u2"))[place[own] % STRETCH] = rank[own]
-    yield pa.RecordBatch.from_arrays([pa.array(list(stretches), pa.int32()), pa.array([v.tobytes() for v in stretches.values()], pa.binary())], names=["stretch", "ranks"])
+def _gathered(df: DataFrame, own, fold: np.ufunc, dtype: str, places: int, last=None) -> np.ndarray:
+    """One table of ``places`` from all tasks: ``own`` makes a task's, ``fold`` joins two, ``last``
+    shrinks what goes to the driver. Tables travel as stretches, those of zeros only not at all."""
+    step = STRETCH // np.dtype(dtype).itemsize
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = own(batches)
+        used = [i for i in range(0, places, step) if table[i : i + step].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i // step for i in used], pa.int32()), pa.array([zlib.compress(table[i : i + step].tobytes(), 1) for i in used], pa.binary())], names=["stretch", "part"])
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = np.frombuffer(zlib.decompress(part.as_buffer()), dtype=dtype)
+                held[i] = fold(held[i], part) if i in held else part
+        out = [(last(v) if last else v).tobytes() for v in held.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(out, pa.binary())], names=["stretch", "part"])
+
+    final = np.dtype("<u2") if last else np.dtype(dtype)
+    table = np.zeros(places, dtype=final)
+    for r in df.mapInArrow(made, "stretch int, part binary").repartition("stretch").mapInArrow(folded, "stretch int, part binary").collect():  # the table's size
+        part = np.frombuffer(r.part, dtype=final)
+        table[r.stretch * step : r.stretch * step + len(part)] = part
+    return table
+
+
+def _rank(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(65535, 2000 * np.log2(1.0 + counts)).astype("<u2")
 
 
 def shingle_ranks(docs: DataFrame) -> np.ndarray:
     """For each place of the table, how common its shingles are, on a logarithmic scale."""
-    counts = docs.select("text").mapInArrow(_places, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
-    packed = counts.repartition((F.col("place") / STRETCH).cast("int")).mapInArrow(_ranked, "stretch int, ranks binary")
-    ranks = np.zeros(PLACES, dtype=np.uint16)
-    for r in packed.collect():  # PLACES / STRETCH rows, 2 MB in all
-        ranks[r.stretch * STRETCH : (r.stretch + 1) * STRETCH] = np.frombuffer(r.ranks, dtype="<u2")
-    return ranks
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        table, held, size = np.zeros(PLACES, dtype="<i8"), [], 0
+        for batch in batches:
+            for text in batch.column(0):
+                at = (shingles(text.as_py()) & np.uint64(PLACES - 1)).astype(np.int64)
+                held.append(at)
+                size += len(at)
+                if size > 4 * PLACES:
+                    table += np.bincount(np.concatenate(held), minlength=PLACES)
+                    held, size = [], 0
+        return table + (np.bincount(np.concatenate(held), minlength=PLACES) if held else 0)
+
+    return _gathered(docs.select("text"), counts, np.add, "<i8", PLACES, _rank)
+
+
+def mark_of(shingle_set: np.ndarray) -> bytes:
+    """The set's size and the parities of its shingles over the mark's places."""
+    odd = np.bincount((shingle_set >> np.uint64(64 - MARK_BITS.bit_length() + 1)).astype(np.int64), minlength=MARK_BITS) & 1
+    return len(shingle_set).to_bytes(8, "little") + np.packbits(odd.astype(bool)).tobytes()
+
+
+def _marks(packed: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of packed marks: how many each holds, and sizes and bits of all."""
+    counts = np.array([len(p) for p in packed], dtype=np.int64) // (8 + MARK_BITS // 8)
+    words = np.frombuffer(b"".join(packed), dtype="<u8").reshape(-1, 1 + MARK_BITS // 64)
+    return counts, words[:, 0].astype(np.int64), words[:, 1:]
+
+
+def _excess(left: tuple, right: tuple, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs (i, j) of clusters: seven times the least number of shingles in which sets of the
+    two surely differ, less the sizes together, and the same for the likely number. Linked sets of n
+    and m differ in (n + m) / 7 at most."""
+    (counts, sizes, bits), (counts_r, sizes_r, bits_r) = left, right
+    first, first_r = np.cumsum(counts) - counts, np.cumsum(counts_r) - counts_r
+    sure, likely = np.zeros(len(i)), np.zeros(len(i))
+    each = counts[i] * counts_r[j]
+    at = 0
+    while at < len(i):
+        # So many pairs at once as have half a million pairs of sets.
+        upto = at + max(1, int(np.searchsorted(np.cumsum(each[at:]), 1 << 19, "right")))
+        a, b, n = i[at:upto], j[at:upto], each[at:upto]
+        starts = np.cumsum(n) - n
+        k = np.arange(n.sum()) - np.repeat(starts, n)
+        width = np.repeat(counts_r[b], n)
+        x, y = np.repeat(first[a], n) + k // width, np.repeat(first_r[b], n) + k % width
+        apart = np.bitwise_count(bits[x] ^ bits_r[y]).sum(axis=1, dtype=np.int64)
+        both = sizes[x] + sizes_r[y]
+        sure[at:upto] = np.minimum.reduceat(7 * apart - both, starts)
+        guess = np.log(np.maximum(1 - 2 * apart / MARK_BITS, 1e-9)) / np.log(1 - 2 / MARK_BITS)
+        likely[at:upto] = np.minimum.reduceat(7 * guess - both, starts)
+        at = upto
+    return sure, likely
 
 
 def ordered(shingle_set: np.ndarray, ranks: np.ndarray) -> np.ndarray:
@@ -153,6 +221,7 @@ class Cluster:
     def __init__(self, doc_id: int, text: bytes, own: np.ndarray):
         self.ids, self.text, self.own = [doc_id], text, own
         self.members: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        self.marks = {mark_of(own): None}
         self.least = self.most = len(own)
         self.slots: dict[int, int] = {}
         self.at: list[int] = []
@@ -173,17 +242,18 @@ class Cluster:
     def add(self, doc_id: int, other: np.ndarray) -> None:
         self.ids.append(doc_id)
         self.least, self.most = min(self.least, len(other)), max(self.most, len(other))
+        self.marks[mark_of(other)] = None
         self.members.append((doc_id, len(other), np.setdiff1d(other, self.own, assume_unique=True), np.setdiff1d(self.own, other, assume_unique=True)))
 
 
 _MEMBER = "struct<doc_id:long,n:long,added:array<long>,removed:array<long>>"
-_CLUSTER = f"cid long, text binary, doc_id long, n long, members array<{_MEMBER}>, keys array<long>, packs array<long>, priors array<int>"
+_CLUSTER = f"cid long, text binary, doc_id long, n long, members array<{_MEMBER}>, keys array<long>, packs array<long>, priors array<int>, marks binary"
 _LONGS = pa.list_(pa.int64())
 _MEMBERS = pa.list_(pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("added", _LONGS), ("removed", _LONGS)]))
-_CLUSTER_ARROW = pa.schema([("cid", pa.int64()), ("text", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("members", _MEMBERS), ("keys", _LONGS), ("packs", _LONGS), ("priors", pa.list_(pa.int32()))])
+_CLUSTER_ARROW = pa.schema([("cid", pa.int64()), ("text", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("members", _MEMBERS), ("keys", _LONGS), ("packs", _LONGS), ("priors", pa.list_(pa.int32())), ("marks", pa.binary())])
 
 
-def _clusters(ranks_of, held_keys: int):
+def _clusters(ranks_of, held_keys: int, variants: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = ranks_of.value
         open_: list[Cluster] = []
@@ -192,7 +262,7 @@ def _clusters(ranks_of, held_keys: int):
         def row(c: Cluster) -> tuple:
             members = [{"doc_id": i, "n": n, "added": a.view(np.int64), "removed": r.view(np.int64)} for i, n, a, r in c.members]
             keys = np.fromiter(c.slots, dtype=np.uint64, count=len(c.slots)).view(np.int64)
-            return min(c.ids), c.text, c.ids[0], len(c.own), members, keys, [_pack(c.least, c.most, at) for at in c.at], c.prior
+            return min(c.ids), c.text, c.ids[0], len(c.own), members, keys, [_pack(c.least, c.most, at) for at in c.at], c.prior, b"".join(c.marks)
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _CLUSTER_ARROW)], schema=_CLUSTER_ARROW)
@@ -210,13 +280,14 @@ def _clusters(ranks_of, held_keys: int):
                 own = shingles(text)
                 n = len(own)
                 if not n or doc_id is None:
-                    alone.append((doc_id, None, doc_id, n, [], [], [], []))
+                    alone.append((doc_id, None, doc_id, n, [], [], [], [], None))
                     continue
                 keys = ordered(own, ranks)[: prefix_length(n)].tolist()
                 near = Counter(i for i in map(leader_of.get, keys) if i is not None)
                 for i, _ in near.most_common(3):
                     c = open_[i]
-                    if linked(overlap(own, c.own), n, len(c.own)):
+                    common = overlap(own, c.own)
+                    if linked(common, n, len(c.own)) and (len(c.marks) < variants or common == n == len(c.own)):
                         c.add(doc_id, own)
                         c.enter(keys)
                         break
@@ -224,7 +295,8 @@ def _clusters(ranks_of, held_keys: int):
                     c = Cluster(doc_id, text, own)
                     c.enter(keys)
                     for key in keys:
-                        leader_of.setdefault(key, len(open_))
+                        if (i := leader_of.get(key)) is None or len(open_[i].marks) >= variants:
+                            leader_of[key] = len(open_)
                     open_.append(c)
                     if len(leader_of) > held_keys:
                         yield from flushed()
@@ -247,89 +319,158 @@ def _possible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return free | ((4 * ma >= 3 * lb) & (4 * mb >= 3 * la) & (7 * np.minimum(ma - pa_, mb - pb) >= 3 * (la + lb)))
 
 
-_CANDIDATE = "a long, b long, n long, cids array<long>, packs array<long>"
-_CANDIDATE_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("cids", _LONGS), ("packs", _LONGS)])
+_CANDIDATE = "a long, b long, n long, key long, block long, alone boolean, cids array<long>, packs array<long>, befores array<long>"
+_CANDIDATE_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("block", pa.int64()), ("alone", pa.bool_()), ("cids", _LONGS), ("packs", _LONGS), ("befores", _LONGS)])
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries sorted by key: pairs of short lists, pairs of long ones with their least id, and the
-    long lists themselves.
+def _candidates(**columns: list) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * n), type=f.type) for f in _CANDIDATE_ARROW], schema=_CANDIDATE_ARROW)
+
+
+def _lists(short: int, row: int):
+    """Entries sorted by key and deal: pairs of short lists, pairs of long ones with their least id,
+    and the long lists themselves, sorted by position and cut into rows.
 
     Near copies share runs of keys. Two entries with the same key before them met there already,
     at smaller positions and so under weaker bounds; they are told of only where a run begins."""
-    held: list[np.ndarray] = []
-    size = 0
-
-    def pairs_of(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, before_a: np.ndarray, before_b: np.ndarray) -> np.ndarray:
-        ok = (a != b) & ((before_a != before_b) | (before_a == 0)) & _possible(x, y)
-        return np.stack([np.minimum(a, b)[ok], np.maximum(a, b)[ok]], axis=1)
-
-    def made(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        key, cid, pack, before = rows
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        lengths = np.diff(np.append(starts, len(key)))
-        found, long_lists = [], []
-        for n in np.unique(lengths[lengths > 1]):
-            at = starts[lengths == n][:, None] + np.arange(n)[None, :]
-            c, p, f = cid[at], pack[at], before[at]
-            if n <= SHORT:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def pairs_of(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, before_a: np.ndarray, before_b: np.ndarray) -> np.ndarray:
+            ok = (a != b) & ((before_a != before_b) | (before_a == 0)) & _possible(x, y)
+            return np.stack([np.minimum(a, b)[ok], np.maximum(a, b)[ok]], axis=1)
+
+        def made(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            key, cid, pack, before, deal = rows
+            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (deal[1:] != deal[:-1])]))
+            lengths = np.diff(np.append(starts, len(key)))
+            size_of = np.where(deal[starts] == 0, lengths, short + 1)  # of a dealt list, each part is kept
+            found, long_lists = [], []
+            for n in np.unique(lengths[(size_of > 1) & (size_of <= short)]):
+                at = starts[(lengths == n) & (size_of == n)][:, None] + np.arange(n)[None, :]
+                c, p, f = cid[at], pack[at], before[at]
                 found += [pairs_of(c[:, i], c[:, j], p[:, i], p[:, j], f[:, i], f[:, j]) for i in range(n) for j in range(i + 1, n)]
-            else:
+            for start, n in zip(starts[size_of > short], lengths[size_of > short]):
+                c, p, f = (v[start : start + n] for v in (cid, pack, before))
                 # A list whose entries all stood together in the list before is part of that one.
-                new = (f != f[:, :1]).any(axis=1) | (f[:, 0] == 0)
-                c, p, f = c[new], p[new], f[new]
-                least = c.argmin(axis=1)[:, None]
-                c0, p0, f0 = (np.repeat(np.take_along_axis(v, least, 1), n, axis=1).ravel() for v in (c, p, f))
-                found.append(pairs_of(c0, c.ravel(), p0, p.ravel(), f0, f.ravel()))
-                long_lists += list(zip(c, p))
-        if found and sum(map(len, found)):
-            pairs, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
-            none = pa.array([None] * len(n), _LONGS)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(n, pa.int64()), none, none], schema=_CANDIDATE_ARROW)
-        for i in range(0, len(long_lists), 256):
-            c, p = zip(*long_lists[i : i + 256])
-            null = pa.array([None] * len(c), pa.int64())
-            yield pa.RecordBatch.from_arrays([null, null, null, pa.array(c, _LONGS), pa.array(p, _LONGS)], schema=_CANDIDATE_ARROW)
+                if not deal[start] and f[0] and (f == f[0]).all():
+                    continue
+                least = np.full(n, c.argmin())
+                found.append(pairs_of(c[least], c, p[least], p, f[least], f))
+                order = np.argsort(p & _TOP, kind="stable")
+                for i in range(0, n, row):
+                    o = order[i : i + row]
+                    long_lists.append((key[start], (deal[start] << 32) + i // row, n <= row and not deal[start], c[o], p[o], f[o]))
+            if found and sum(map(len, found)):
+                pairs, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
+                yield _candidates(a=pairs[:, 0], b=pairs[:, 1], n=n)
+            for i in range(0, len(long_lists), 256):
+                yield _candidates(**dict(zip(("key", "block", "alone", "cids", "packs", "befores"), map(list, zip(*long_lists[i : i + 256])))))
 
-    for batch in batches:
-        held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]))
-        size += batch.num_rows
-        if size > 1 << 19:
-            rows = np.concatenate(held, axis=1)
-            cut = np.flatnonzero(rows[0] != rows[0, -1])
-            cut = int(cut[-1]) + 1 if len(cut) else 0
-            if cut:
-                yield from made(rows[:, :cut])
-            held, size = [rows[:, cut:]], rows.shape[1] - cut
-    if size:
-        yield from made(np.concatenate(held, axis=1))
-
-
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From long lists with the label of each entry: the possible pairs across labels. A list is
-    sorted by position; blocks that no entry of which can reach the probe's overlap are skipped."""
-    for batch in batches:
-        found = []
-        for entries in batch.column(0).to_pylist():
-            e = np.array([(x["cid"], x["pack"], x["label"]) for x in entries], dtype=np.int64)
-            if (e[:, 2] == e[0, 2]).all():
+        for batch in batches:
+            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]))
+            size += batch.num_rows
+            if size > 1 << 19:
+                rows = np.concatenate(held, axis=1)
+                cut = np.flatnonzero((rows[0] != rows[0, -1]) | (rows[4] != rows[4, -1]))
+                cut = int(cut[-1]) + 1 if len(cut) else 0
+                if cut:
+                    yield from made(rows[:, :cut])
+                held, size = [rows[:, cut:]], rows.shape[1] - cut
+        if size:
+            yield from made(np.concatenate(held, axis=1))
+
+    return run
+
+
+class _Entries:
+    """Entries of a row, by position, and the bounds of each block of them."""
+
+    def __init__(self, entries: pa.StructArray):
+        *columns, marks = entries.flatten()
+        order = np.argsort(columns[1].to_numpy() & _TOP, kind="stable")
+        self.cid, self.pack, self.before, self.label = (c.to_numpy()[order] for c in columns)
+        self.marks = _marks(marks.take(pa.array(order)).to_pylist())
+        self.least, self.most, self.at = _unpack(self.pack)
+        edges = np.arange(0, len(order), BLOCK)
+        self.edges, self.n = edges, len(order)
+        self.free = np.maximum.reduceat(self.most, edges) == _TOP
+        self.reach = np.maximum.reduceat(self.most - self.at, edges)
+        self.low, self.high = np.minimum.reduceat(self.least, edges), np.maximum.reduceat(self.most, edges)
+        self.one = np.where(np.minimum.reduceat(self.label, edges) == np.maximum.reduceat(self.label, edges), self.label[edges], -1)
+
+
+def _crossing(x: _Entries, y: _Entries, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of entries with different labels that sizes and positions leave possible. Blocks
+    no entry of which can reach the overlap that the other block needs are skipped."""
+    for k, edge in enumerate(x.edges):
+        open_ = x.free[k] | y.free | ((7 * np.minimum(y.reach, x.reach[k]) >= 3 * (y.low + x.low[k])) & (4 * y.high >= 3 * x.low[k]) & (4 * x.high[k] >= 3 * y.low))
+        open_ &= (y.one != x.one[k]) | (x.one[k] == -1)
+        if same:
+            open_[:k] = False
+        for some in np.array_split(np.flatnonzero(open_), max(1, open_.sum() // 64)):
+            if not len(some):
                 continue
-            e = e[np.argsort(e[:, 1] & _TOP, kind="stable")]
-            cid, pack, label = e.T
-            least, most, at = _unpack(pack)
-            edges = range(0, len(e), BLOCK)
-            reach = np.array([(most - at)[i : i + BLOCK].max() for i in edges])
-            low, high = np.array([least[i : i + BLOCK].min() for i in edges]), np.array([most[i : i + BLOCK].max() for i in edges])
-            for i in range(len(e)):
-                open_ = np.array([most[i] == _TOP]) | (high == _TOP) | ((7 * np.minimum(reach, most[i] - at[i]) >= 3 * (low + least[i])) & (4 * high >= 3 * least[i]) & (4 * most[i] >= 3 * low))
-                for k in np.flatnonzero(open_):
-                    j = np.arange(max(k * BLOCK, i + 1), min(len(e), (k + 1) * BLOCK))
-                    j = j[(label[j] != label[i]) & (cid[j] != cid[i])] if len(j) else j
-                    if len(j) and len(j := j[_possible(np.repeat(pack[i], len(j)), pack[j])]):
-                        found.append(np.stack([np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])], axis=1))
-        if found:
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            j = (y.edges[some][:, None] + np.arange(BLOCK)).ravel()
+            j = j[j < y.n]
+            i = np.arange(edge, min(x.n, edge + BLOCK))
+            i, j = np.repeat(i, len(j)), np.tile(j, len(i))
+            ok = (x.label[i] != y.label[j]) & (x.cid[i] != y.cid[j]) & ((x.before[i] != y.before[j]) | (x.before[i] == 0))
+            if same:
+                ok &= i < j
+            i, j = i[ok], j[ok]
+            ok = _possible(x.pack[i], y.pack[j])
+            yield i[ok], j[ok]
+
+
+def _across(whole: bool):
+    """From rows of long lists with the label of each entry: the pairs across labels that sizes,
+    positions and marks leave possible; if not ``whole``, only the likely ones of a forest over labels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right in zip(*batch.columns):
+                x = _Entries(left.values)
+                y = _Entries(right.values) if right.is_valid else x
+                found = []
+                for i, j in _crossing(x, y, not right.is_valid):
+                    sure, likely = _excess(x.marks, y.marks, i, j)
+                    ok = (sure if whole else likely) <= 0
+                    found.append((i[ok], j[ok], likely[ok]))
+                i, j, likely = (np.concatenate(v) for v in zip(*found)) if found else ((), (), ())
+                if not len(i):
+                    continue
+                if not whole:
+                    order = np.argsort(likely, kind="stable")
+                    i, j = i[order], j[order]
+                    tree = _forest(x.label[i], y.label[j])
+                    i, j = i[tree], j[tree]
+                pairs = np.unique(np.sort(np.stack([x.cid[i], y.cid[j]], axis=1), axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return run
+
+
+def _forest(left: np.ndarray, right: np.ndarray) -> list[int]:
+    """The places, in order, at which two labels meet that no earlier ones have joined."""
+    root: dict[int, int] = {}
+
+    def of(v: int) -> int:
+        while (up := root.get(v, v)) != v:
+            root[v] = root.get(up, up)
+            v = up
+        return v
+
+    kept = []
+    for k, (v, w) in enumerate(zip(left.tolist(), right.tolist())):
+        v, w = of(v), of(w)
+        if v != w:
+            root[v] = w
+            kept.append(k)
+    return kept
 
 
 def _answers(a: tuple, b: tuple) -> bool:
@@ -339,7 +480,7 @@ def _answers(a: tuple, b: tuple) -> bool:
     if linked(common, len(own_a), len(own_b)):
         return True
     of = lambda m, k: np.array(m[k], dtype=np.int64).view(np.uint64)
-    side = lambda own, members: [(len(own), 0, None), *((m["n"], len(m["added"]), m) for m in members)]
+    side = lambda own, members: [(len(own), 0, None), *((m["n"], len(m["added"]), m) for m in members if m["added"] or m["removed"])]
     left, right = side(own_a, members_a), side(own_b, members_b)
     n, more = np.array([x[0] for x in right]), np.array([x[1] for x in right])
     for size, added, m in left:
@@ -377,15 +518,20 @@ def _verify(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
     ids = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
     bits = 1 << min(FILTER_BITS.bit_length() - 1, max(10, (16 * pairs.count()).bit_length()))
     place = F.pmod(F.xxhash64("cid"), F.lit(bits))
-    words = ids.select(place.alias("p")).groupBy(F.expr("p div 32").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 32 AS int)))").alias("bits")).toPandas()
-    table = np.zeros(bits // 32 + 1, dtype=np.int64)  # of FILTER_BITS at most
-    table[words.w.to_numpy(dtype=np.int64)] = words.bits.to_numpy(dtype=np.int64)
-    asked = clusters.sparkSession.sparkContext.broadcast(table)
+
+    def asked_bits(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        table = np.zeros(bits // 8, dtype=np.uint8)
+        for batch in batches:
+            at = batch.column(0).to_numpy(zero_copy_only=False)
+            np.bitwise_or.at(table, at // 8, (1 << (at % 8)).astype(np.uint8))
+        return table
+
+    asked = clusters.sparkSession.sparkContext.broadcast(_gathered(ids.select(place.alias("p")), asked_bits, np.bitwise_or, "u1", bits // 8))  # of FILTER_BITS at most
 
     @F.pandas_udf("boolean")
     def may_be_asked(p: pd.Series) -> pd.Series:
         v = p.to_numpy()
-        return pd.Series((asked.value[v // 32] >> (v % 32)) & 1 == 1)
+        return pd.Series((asked.value[v // 8] >> (v % 8).astype(np.uint8)) & 1 == 1)
 
     # Most clusters are in no pair; the filter keeps their texts out of the shuffles.
     some = clusters.filter("cid IS NOT NULL AND text IS NOT NULL").select("cid", "text", "members").filter(may_be_asked(place))
@@ -394,32 +540,63 @@ def _verify(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
     return met.select("a", "b", "text_a", "members_a", "text_b", "members_b").mapInArrow(_verified, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", held_keys: int = 600_000) -> DataFrame:
+def _unmarked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b, n, marks_a, marks_b) that the marks do not rule out."""
+    for batch in batches:
+        if batch.num_rows:
+            at = np.arange(batch.num_rows)
+            sure, _ = _excess(*(_marks(batch.column(i).to_pylist()) for i in (3, 4)), at, at)
+            yield batch.select([0, 1, 2]).filter(pa.array(sure <= 0))
+
+
+def _crossing_pairs(lists: DataFrame, labels: DataFrame, marks: DataFrame, whole: bool) -> DataFrame:
+    """(a, b) from the long lists' rows (key, block, alone, cid, pack, before), across labels."""
+    labelled = lists.join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+    entry = F.struct("cid", "pack", "before", "label", "marks").alias("e")
+    rows = labelled.join(mixed, "key").join(marks, "cid").select("key", "block", "alone", entry).groupBy("key", "block", "alone").agg(F.collect_list("e").alias("entries"))
+    none = F.lit(None).cast(rows.schema["entries"].dataType)
+    own = rows.select("entries", none.alias("others"))
+    # Rows of one list meet two by two.
+    parts = rows.filter("NOT alone").select("key", "block", "entries")
+    met = parts.join(parts.toDF("key", "other", "others"), "key").filter("block < other").select("entries", "others")
+    return own.union(met).mapInArrow(_across(whole), "a long, b long").distinct()
+
+
+def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", held_keys: int = 600_000, short: int = SHORT, row: int = ROW, dealt: int = DEALT, variants: int = VARIANTS) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs``."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     ranks = spark.sparkContext.broadcast(shingle_ranks(source))
-    clusters = written(source.mapInArrow(_clusters(ranks, held_keys), _CLUSTER), "clusters")
+    clusters = written(source.mapInArrow(_clusters(ranks, held_keys, variants), _CLUSTER), "clusters")
+    marks = clusters.filter("marks IS NOT NULL").select("cid", "marks")
     before = F.transform("priors", lambda i: F.when(i >= 0, F.get("keys", i)).otherwise(F.lit(0).cast("long")))
     entries = clusters.select("cid", "keys", "packs", before.alias("before")).select("cid", F.explode(F.arrays_zip("keys", "packs", "before")).alias("e")).select(F.col("e.keys").alias("key"), "cid", F.col("e.packs").alias("pack"), F.col("e.before").alias("before"))
-    candidates = written(entries.repartition("key").sortWithinPartitions("key").mapInArrow(_lists, _CANDIDATE), "candidates")
-    pairs = written(candidates.filter("a IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
+    # A key's rank tells how many documents hold it, with what else falls on its place.
+    others = 4 * float(np.exp2(ranks.value / 2000).mean())
+    deals = F.ceil((F.pow(F.lit(2.0), F.shiftrightunsigned("key", 48) / 2000) - others) / dealt)
+    entries = entries.withColumn("deal", F.when(deals > 1, 1 + F.pmod(F.xxhash64("cid"), deals)).otherwise(F.lit(0).cast("long")))
+    candidates = written(entries.repartition("key", "deal").sortWithinPartitions("key", "deal").mapInArrow(_lists(short, row), _CANDIDATE), "candidates")
+    met = candidates.filter("a IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    met = met.join(marks.toDF("b", "marks_b"), "b").join(marks.toDF("a", "marks_a"), "a")
+    pairs = written(met.select("a", "b", "n", "marks_a", "marks_b").mapInArrow(_unmarked, "a long, b long, n long"), "pairs")
     # Each cluster with the smaller partner that it shares most prefix shingles with.
-    first = written(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), "first-pairs")
-    links = written(_verify(first, clusters), "first-links")
+    done = written(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), "first-pairs")
+    links = written(_verify(done, clusters), "first-links")
     labels = written(components(links), "first-labels")
-
-    of = lambda k: labels.select(F.col("v").alias(k), F.col("label").alias(f"label_{k}"))
-    open_pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
-    long_lists = candidates.filter("cids IS NOT NULL").select(F.monotonically_increasing_id().alias("list"), "cids", "packs")
-    entries = written(long_lists.select("list", F.explode(F.arrays_zip("cids", "packs")).alias("e")).select("list", F.col("e.cids").alias("cid"), F.col("e.packs").alias("pack")), "long-lists")
-    labelled = entries.join(labels.withColumnRenamed("v", "cid"), "cid", "left").select("list", F.struct("cid", "pack", F.coalesce("label", "cid").alias("label")).alias("e"))
-    crossing = labelled.groupBy("list").agg(F.collect_list("e").alias("entries"), F.min("e.label").alias("low"), F.max("e.label").alias("high")).filter("low <> high").select("entries").mapInArrow(_across, "a long, b long")
-    second = written(open_pairs.union(crossing).distinct().join(first, ["a", "b"], "left_anti"), "second-pairs")
-    if not second.isEmpty():
-        more = written(_verify(second, clusters), "second-links")
+    entry = F.explode(F.arrays_zip("cids", "packs", "befores")).alias("e")
+    lists = written(candidates.filter("cids IS NOT NULL").select("key", "block", "alone", entry).select("key", "block", "alone", F.col("e.cids").alias("cid"), F.col("e.packs").alias("pack"), F.col("e.befores").alias("before")), "long-lists")
+    for whole in (False, True):
+        of = lambda k: labels.select(F.col("v").alias(k), F.col("label").alias(f"label_{k}"))  # noqa: B023, E731
+        open_pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+        asked = written(open_pairs.union(_crossing_pairs(lists, labels, marks, whole)).distinct().join(done, ["a", "b"], "left_anti"), "open-pairs")
+        if asked.isEmpty():
+            continue
+        more = written(_verify(asked, clusters), "more-links")
+        done = done.union(asked)
         if not more.isEmpty():
-            labels = components(links.union(more))
+            links = links.union(more)
+            labels = written(components(links), "labels")
     member = F.explode(F.concat(F.array(F.struct("doc_id", "n")), F.transform(F.coalesce("members", F.array().cast(f"array<{_MEMBER}>")), lambda m: F.struct(m["doc_id"].alias("doc_id"), m["n"].alias("n")))))
     rows = clusters.select("cid", member.alias("m")).select("cid", F.col("m.doc_id").alias("doc_id"), F.col("m.n").alias("n_shingles"))
     return rows.join(labels.withColumnRenamed("v", "cid"), "cid", "left").select("doc_id", "n_shingles", F.coalesce("label", "cid", "doc_id").alias("component_id"))

@@ -73,18 +73,17 @@ def test_large_group_of_near_copies(spark):
     assert got == brute(rows)
 
 
-def test_small_ranks_give_the_same_answer(spark, monkeypatch):
+def test_long_lists_of_few_entries(spark):
     rows = dict(enumerate(texts(9, 120)))
-    monkeypatch.setattr(jj, "SHORT", 2)
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(20)
-    assert {r.doc_id: r.component_id for r in jj.jaccard_components(df).collect()} == brute(rows)
+    assert {r.doc_id: r.component_id for r in jj.jaccard_components(df, short=2).collect()} == brute(rows)
 
 
 def test_pair_lists_sort_out_runs():
     entries = [(5, 1, 0), (5, 2, 0), (9, 1, 5), (9, 2, 5)]
-    rows = [(k, c, jj._pack(10, 10, 0 if k == 5 else 1), b) for k, c, b in entries]
-    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["key", "cid", "pack", "before"])
-    out = [r for b in jj._lists(iter([batch])) for r in b.to_pylist()]
+    rows = [(k, c, jj._pack(10, 10, 0 if k == 5 else 1), b, 0) for k, c, b in entries]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["key", "cid", "pack", "before", "deal"])
+    out = [r for b in jj._lists(jj.SHORT, jj.ROW)(iter([batch])) for r in b.to_pylist()]
     assert [(r["a"], r["b"], r["n"]) for r in out] == [(1, 2, 1)]
 
 
@@ -121,3 +120,36 @@ def test_dedup_hard_cases(docs, empty):
     assert {r.keep_id for r in blank} == {1} and sum(r.kept for r in blank) == 1 and {r.group_size for r in blank} == {3}
     assert [r.kept for r in got if r.doc_id is None] == [False] or [r.keep_id for r in got if r.doc_id is None] == [None]
     assert exact_dedup(empty).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 12])
+def test_dealt_lists_and_small_rows(spark, parts):
+    """Long lists dealt to several tasks, rows of few entries, clusters of few sets."""
+    rng = random.Random(parts)
+    base = rng.choices(WORDS, k=90)
+    rows = {}
+    for i in range(240):
+        w = list(base)
+        for _ in range(rng.randint(1, 9)):
+            w[rng.randrange(90)] = f"u{rng.randrange(400)}"
+        rows[i] = " ".join(w)
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(parts)
+    want = brute(rows)
+    assert len(set(want.values())) > 20
+    assert {r.doc_id: r.component_id for r in jj.jaccard_components(df, row=16, dealt=40, variants=3).collect()} == want
+
+
+def test_marks_never_rule_out_a_link():
+    rng = random.Random(3)
+    for _ in range(300):
+        n = rng.randint(1, 400)
+        base = [rng.getrandbits(64) for _ in range(n)]
+        edited = [x if rng.random() < 0.88 else rng.getrandbits(64) for x in base]
+        a, b = (jj.np.unique(jj.np.array(x, dtype=jj.np.uint64)) for x in (base, edited))
+        left, right = jj._marks([jj.mark_of(a)]), jj._marks([jj.mark_of(b)])
+        zero = jj.np.zeros(1, dtype=int)
+        sure, _ = jj._excess(left, right, zero, zero)
+        differ = len(a) + len(b) - 2 * jj.overlap(a, b)
+        assert sure[0] <= 7 * differ - len(a) - len(b)
+        if jj.linked(jj.overlap(a, b), len(a), len(b)):
+            assert sure[0] <= 0
