@@ -10,7 +10,12 @@ Each naming is one round trip. Every map task first makes a dictionary of its ow
 so a key that a third of all documents hold travels once for each task, not once for each
 document; the keys are dealt by hash, sorted and named, and the names go back to the task's rows.
 Only the first round moves text; later ones move pairs of integers, and only of documents that
-still have more than one name.
+still have more than one name. In these, a task deals its documents to ``SLICES`` dictionaries, so
+what many small tasks hold of them is not gathered again in few.
+
+Keys are numbered in the order of a task's rows, and keys and documents reach their tasks by separate
+ways. So that order must be the same whenever an executor is lost and a task runs again: it is that
+of a file in the first round, and by all that a row holds in later ones, never that of arrival.
 
 Cases: a null text counts as empty, and empty texts are equal to each other. Rows with a null
 ``doc_id`` take part; they stay only if no row of the group has an id. Of rows that agree in text
@@ -22,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -36,6 +42,8 @@ from mixtura.llm.common import written
 _ROW = "task long, kind int, idx long, key binary, a long, b long, doc_id long, sha string, blocks long, names array<long>"
 _ARROW = pa.schema([("task", pa.int64()), ("kind", pa.int32()), ("idx", pa.int64()), ("key", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("sha", pa.string()), ("blocks", pa.int64()), ("names", pa.list_(pa.int64()))])
 _OUT = 4096
+#: Dictionaries of a task after the first round.
+SLICES = 8
 
 
 def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
@@ -57,29 +65,34 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
     return zip(*(c.to_pylist() for c in batch.columns))
 
 
-def _local(keys_of: Callable, limit: int) -> Callable:
-    """A map step: number the distinct keys of the task's documents. When they exceed ``limit``
-    bytes, a new dictionary begins, so memory stays bounded whatever a task reads."""
+def _slice(doc_id: int | None, sha: str, slices: int) -> int:
+    return zlib.crc32(f"{doc_id} {sha}".encode()) % slices if slices > 1 else 0
+
+
+def _local(keys_of: Callable, limit: int, slices: int) -> Callable:
+    """A map step: number the distinct keys of the task's documents, slice by slice. When they exceed
+    ``limit`` bytes, new dictionaries begin, so memory stays bounded whatever a task reads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId() << 24
+        first = TaskContext.get().partitionId() << 24
 
         def rows() -> Iterator[tuple]:
-            nonlocal task
-            seen: dict[bytes, int] = {}
+            nonlocal first
+            seen: list[dict[bytes, int]] = [{} for _ in range(slices)]
             held = 0
             for batch in batches:
                 for doc_id, sha, blocks, keys in keys_of(batch):
-                    numbers = []
+                    at = _slice(doc_id, sha, slices)
+                    own, task, numbers = seen[at], first + at, []
                     for key in keys:
-                        if (i := seen.get(key)) is None:
-                            i = seen[key] = len(seen)
+                        if (i := own.get(key)) is None:
+                            i = own[key] = len(own)
                             held += len(key)
                             yield task, 1, i, key, None, None, None, None, None, None
                         numbers.append(i)
                     yield task, 0, None, None, None, None, doc_id, sha, blocks, numbers
                     if held > limit:
-                        seen, held, task = {}, 0, task + 1
+                        seen, held, first = [{} for _ in range(slices)], 0, first + slices
 
         yield from _batches(rows())
 
@@ -121,12 +134,13 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _batches(rows())
 
 
-def _name_round(df: DataFrame, keys_of: Callable, limit: int) -> DataFrame:
+def _name_round(df: DataFrame, keys_of: Callable, limit: int, slices: int) -> DataFrame:
+    # Rows that agree in all that the last sort looks at are equal.
     route = F.when(F.col("kind") == 1, F.xxhash64("key")).otherwise(F.xxhash64("task", "doc_id"))
     return (
-        df.mapInArrow(_local(keys_of, limit), _ROW)
+        df.mapInArrow(_local(keys_of, limit, slices), _ROW)
         .repartition(route).sortWithinPartitions("kind", "key").mapInArrow(_named, _ROW)
-        .repartition("task").sortWithinPartitions("task", F.desc("kind")).mapInArrow(_answered, _ROW)
+        .repartition("task").sortWithinPartitions("task", F.desc("kind"), "doc_id", "sha", "blocks", "names").mapInArrow(_answered, _ROW)
     )
 
 
@@ -148,18 +162,20 @@ def _pairs_of(batch: pa.RecordBatch) -> Iterator[tuple]:
 
 
 def _identities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A key for each identity in the task, with its largest doc_id and count."""
-    task = TaskContext.get().partitionId()
+    """A key for each identity in the task's slices, with its largest doc_id and count."""
+    first = TaskContext.get().partitionId() * SLICES
 
     def rows() -> Iterator[tuple]:
-        found: dict[bytes, list] = {}
+        found: list[dict[bytes, list]] = [{} for _ in range(SLICES)]
         for batch in batches:
             for doc_id, sha, blocks, names in _rows(batch):
-                one = found.setdefault(struct.pack(">qq", blocks, names[0]), [len(found), None, 0])
+                at = _slice(doc_id, sha, SLICES)
+                one = found[at].setdefault(struct.pack(">qq", blocks, names[0]), [len(found[at]), None, 0])
                 one[1], one[2] = max((x for x in (one[1], doc_id) if x is not None), default=None), one[2] + 1
-                yield task, 0, None, None, None, None, doc_id, sha, None, [one[0]]
-        for key, (i, most, count) in found.items():
-            yield task, 1, i, key, most, count, None, None, None, None
+                yield first + at, 0, None, None, None, None, doc_id, sha, None, [one[0]]
+        for at, own in enumerate(found):
+            for key, (i, most, count) in own.items():
+                yield first + at, 1, i, key, most, count, None, None, None, None
 
     yield from _batches(rows())
 
@@ -218,12 +234,12 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     group_size, kept, text_sha256 (of the whole text in UTF-8)."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     state = ["doc_id", "sha", "blocks", "names"]
-    open_ = written(_name_round(source, _blocks_of(block), local_bytes).select(*state), "block-names")
+    open_ = written(_name_round(source, _blocks_of(block), local_bytes, 1).select(*state), "block-names")
     done = [open_.filter(F.size("names") == 1)]
     open_ = open_.filter(F.size("names") > 1)
     depth = open_.agg(F.max("blocks")).first()[0] or 1
     for _ in range((depth - 1).bit_length()):
-        open_ = _name_round(open_.select(*state), _pairs_of, local_bytes).select(*state)
+        open_ = _name_round(open_.select(*state), _pairs_of, local_bytes, SLICES).select(*state)
     if depth > 1:
         done.append(open_)
     named = done[0] if len(done) == 1 else done[0].unionByName(done[1])
