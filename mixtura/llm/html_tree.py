@@ -5,6 +5,10 @@ wrapper, a node also has ``o`` (optional) and ``r`` (repeated), ``t`` (hashes of
 that have it had the same, 0 once they differed: a slot), ``k`` (pages that have it), ``n`` (characters
 of text), ``a`` (of these, in links).
 
+A tree is ``DEPTH`` levels deep at most: as in browsers, what is nested deeper belongs to the last of
+these levels. A wrapper node with more than ``WIDE`` children takes those of one label as one repeated
+group, and the rarest labels beyond as one optional slot, so wrappers do not grow with a host's pages.
+
 Texts that several pages share at one place are the template's: they do not count as the main part's
 and are left out of each page's text. Names only tell apart what the texts leave open.
 """
@@ -13,9 +17,16 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import xxhash
 
+#: Levels of a tree.
+DEPTH = 128
+#: Children of a wrapper node, and different texts of a repeated one, that are told apart.
+WIDE = 256
+TEXTS = 4096
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|object|canvas)\b.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9-]*+)(?P<attrs>(?:[^\"'>]++|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
@@ -50,7 +61,14 @@ def parse(page: str) -> dict:
     no article text; unclosed and misplaced tags are tolerated."""
     root = {"l": "", "c": [], "a": 0}
     stack = [root]
+    open_: Counter[str] = Counter()
     links = 0
+
+    def close(at: int) -> None:
+        for node in stack[at:]:
+            open_[node["l"].partition(" ")[0]] -= 1
+        del stack[at:]
+
     for m in _TOKEN.finditer(page):
         if (text := m["text"]) is not None:
             text = html.unescape(text) if "&" in text else text
@@ -66,9 +84,9 @@ def parse(page: str) -> dict:
         if tag == "br":
             stack[-1]["c"].append(" ")
         if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if open_[tag] else ():
                 if stack[i]["l"].partition(" ")[0] == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if tag in INLINE:
                     break
@@ -84,12 +102,17 @@ def parse(page: str) -> dict:
             for i in range(len(stack) - 1, 0, -1):
                 above = stack[i]["l"].partition(" ")[0]
                 if above in _CLOSED_BY_BLOCK or above in _PEERS.get(tag, ()):
-                    del stack[i:]
+                    close(i)
                 elif above in _SCOPE or above not in INLINE:
                     break
         node = {"l": f"{tag} {names}{' hidden' * hidden}".strip(), "c": [], "a": 0}
-        stack[-1]["c"].append(node)
+        if len(stack) <= DEPTH:
+            stack[-1]["c"].append(node)
+        elif not dropped(node["l"], True):  # else its own children, which no one reads
+            node["c"] = stack[-1]["c"]
+            node["c"].append(" ")
         stack.append(node)
+        open_[tag] += 1
     return root
 
 
@@ -108,16 +131,28 @@ def wrapper_of(node: dict) -> dict:
     """A page's tree as a wrapper of that page alone: neighbours of one label become a repeated group."""
     texts = "".join(x for x in node["c"] if isinstance(x, str)).strip()
     out = {"l": node["l"], "o": 0, "r": 0, "k": 1, "t": [_hash(texts)] if texts else None, "n": len(texts), "a": min(node["a"], len(texts)), "c": []}
+    run: list[dict] = []
     for child in node["c"]:
         if isinstance(child, dict):
-            one = wrapper_of(child)
-            if out["c"] and out["c"][-1]["l"] == one["l"]:
-                out["c"][-1] = merged(out["c"][-1], one, True) | {"r": 1}
-            else:
-                out["c"].append(one)
+            if run and run[-1]["l"] != child["l"]:
+                out["c"].append(_group(run))
+                run = []
+            run.append(wrapper_of(child))
+    if run:
+        out["c"].append(_group(run))
+    if len(out["c"]) > WIDE:
+        out["c"] = _narrow(_by_label(out["c"]), {}, True)
     return out
 
 
+def _group(nodes: list[dict]) -> dict:
+    """Nodes of one label within a page as one, merged two by two."""
+    repeated = len(nodes) > 1
+    while len(nodes) > 1:
+        nodes = [merged(*nodes[i : i + 2], True) if i + 1 < len(nodes) else nodes[i] for i in range(0, len(nodes), 2)]
+    return nodes[0] | {"r": 1} if repeated else nodes[0]
+
+
 def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) >> 16
 
@@ -126,7 +161,8 @@ def merged(x: dict, y: dict, within: bool = False) -> dict:
     """The wrapper of both: their children are aligned; what only one has becomes optional, and
     texts that differ become a slot. ``within`` a page, neighbours join their texts."""
     if within:
-        t = sorted({*(x["t"] or ()), *(y["t"] or ())}) or None
+        t = 0 if 0 in (x["t"], y["t"]) else sorted({*(x["t"] or ()), *(y["t"] or ())}) or None
+        t = t if not t or len(t) <= TEXTS else 0
     else:
         t = x["t"] if x["t"] == y["t"] else 0
     return {
@@ -139,6 +175,8 @@ def merged(x: dict, y: dict, within: bool = False) -> dict:
 def _aligned(xs: list[dict], ys: list[dict], within: bool) -> list[dict]:
     if len(xs) == len(ys) and all(x["l"] == y["l"] for x, y in zip(xs, ys)):
         return [merged(x, y, within) for x, y in zip(xs, ys)]
+    if len(xs) > WIDE or len(ys) > WIDE:
+        return _narrow(_by_label(xs), _by_label(ys), within)
     n, m = len(xs), len(ys)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -165,9 +203,35 @@ def _aligned(xs: list[dict], ys: list[dict], within: bool) -> list[dict]:
             j += 1
     for node in [*xs[i:], *ys[j:]]:
         put(node | {"o": 1})
+    return out if len(out) <= WIDE else _narrow(_by_label(out), {}, within)
+
+
+def _by_label(nodes: list[dict]) -> dict[str, dict]:
+    """The nodes by label; those of one label, wherever they stand, as one repeated group."""
+    out: dict[str, list[dict]] = {}
+    for node in nodes:
+        out.setdefault(node["l"], []).append(node)
+    return {label: _group(own) for label, own in out.items()}
+
+
+def _narrow(xs: dict[str, dict], ys: dict[str, dict], within: bool) -> list[dict]:
+    """Both groups by label; the labels of the fewest pages beyond ``WIDE`` as one optional slot."""
+    out = [merged(x, ys[label], within) if label in ys else x | {"o": 1} for label, x in xs.items()]
+    out += [y | {"o": 1} for label, y in ys.items() if label not in xs]
+    if len(out) > WIDE:
+        order = sorted(range(len(out)), key=lambda i: (out[i]["l"] == "", -out[i]["k"], i))
+        kept = sorted(order[:WIDE])
+        rest = [out[i] for i in order[WIDE:]]
+        n = sum(map(_size, rest))
+        out = [out[i] for i in kept] + [{"l": "", "o": 1, "r": 1, "k": max(x["k"] for x in rest), "t": 0, "n": n, "a": 0, "c": []}]
     return out
 
 
+def _size(node: dict) -> int:
+    """Characters of text outside links, below a node."""
+    return node["n"] - node["a"] + sum(map(_size, node["c"]))
+
+
 def _constant(node: dict) -> bool:
     """Whether several pages have the node, all with the same text of its own."""
     return node["k"] > 1 and bool(node["t"])
