@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -69,12 +70,20 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-# Letters of other scripts that look like ASCII ones.
-_LOOKALIKE = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухԁѡΑΒΕΖΗΙΚΜΝΟΡΤΥΧον", "ABESIJKMHOPCTYXaesijopcyxdwABEZHIKMNOPTYXov"))
-_LOOKALIKE |= {"ı": "i", "ɑ": "a", "ɡ": "g", "⁺": "+", "＋": "+"}
+# Letters of other scripts that look like ASCII ones, by script.
+_LOOKALIKE = dict(zip("АВЕЅІЈКМНОРСТУХҮӀԚԜаеѕіјорсухһӏԁԛԝүѡп", "ABESIJKMHOPCTYXYIQWaesijopcyxhldqwywn"))  # Cyrillic
+_LOOKALIKE |= dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγικνορυχωϲϳ", "ABEZHIKMNOPTYXayiknopuxwcj"))  # Greek
+_LOOKALIKE |= dict(zip("ՍՕհոսցօզյ", "UOhnugoqj"))  # Armenian
+_LOOKALIKE |= dict(zip("ꓐꓚꓓꓖꓝꓙꓗꓡꓟꓠꓳꓑꓢꓔꓴꓥꓪꓫꓬꓜ", "BCDGFJKLMNOPSTUVWXYZ"))  # Lisu
+_LOOKALIKE |= dict(zip("ıɑɡɩƅʋɪ∗⁺。⁃", "iagibvi*+.-"))  # other signs
 _DASHES = "‐‑‒–—―−﹣"
-_INVISIBLE = "​‌‍⁠﻿­"
-_BLANKS = "      　"
+_INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
+_BLANKS = "\u00a0\u2002\u2003\u2007\u2009\u202f\u3000"
+#: Letters that Unicode names as forms of an ASCII letter, without an accent.
+_FORM = re.compile(r"(?:MODIFIER LETTER |LATIN )(CAPITAL |SMALL )?(?:LETTER (?:SMALL CAPITAL )?)?(?:CAPITAL |SMALL )?([A-Z])$")
+_WRITTEN = re.compile(r"[A-Za-z0-9@.+()_%-]")
+
+
 def _glyph(c: str) -> str | None:
     """The ASCII form of a disguised character; None leaves it."""
     if c in _LOOKALIKE:
@@ -85,22 +94,34 @@ def _glyph(c: str) -> str | None:
         return ""
     if c in _BLANKS:
         return " "
-    if "！" <= c <= "～":
-        return chr(ord(c) - 0xFEE0)
     if (n := unicodedata.decimal(c, None)) is not None:
         return str(n)
     if (d := unicodedata.digit(c, None)) is not None:
         return str(d)
-    if 0x1D400 <= ord(c) <= 0x1D7FF:
-        return unicodedata.normalize("NFKC", c)
+    if unicodedata.decomposition(c).startswith("<"):
+        plain = unicodedata.normalize("NFKC", c)
+        plain = "." if plain == "。" else plain
+        return plain if _WRITTEN.fullmatch(plain) else None
+    if found := _FORM.match(unicodedata.name(c, "")):
+        return found[2] if (found[1] or "").startswith("CAPITAL") else found[2].lower()
     return None
 
 
+def _ranges(codes: list[int]) -> str:
+    """A character class of code points."""
+    out: list[list[int]] = []
+    for i in codes:
+        if out and out[-1][1] == i - 1:
+            out[-1][1] = i
+        else:
+            out.append([i, i])
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in out)
+
+
 #: The characters that _glyph rewrites, so that ordinary accented text is passed over quickly.
-_DISGUISE = re.compile("[" + "".join(re.escape(chr(i)) for i in range(0x80, 0x10000) if not 0xD800 <= i < 0xE000 and _glyph(chr(i)) is not None) + "]")
-_STYLED = re.compile("[\U0001d400-\U0001d7ff]")
+_DISGUISE = re.compile("[" + _ranges([i for i in [*range(0x80, 0xD800), *range(0xE000, 0x20000)] if _glyph(chr(i)) is not None]) + "]")
 
-# Number words of the languages handled here, by value.
+# Number words of the languages handled here, by value.
 _NUMBERS = {
     "zero": 0, "oh": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9,
     "null": 0, "eins": 1, "zwei": 2, "drei": 3, "vier": 4, "fünf": 5, "sechs": 6, "sieben": 7, "acht": 8, "neun": 9,
@@ -108,108 +129,169 @@ _NUMBERS = {
     "cero": 0, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9,
 }
 _NUMBER = "|".join(sorted(_NUMBERS, key=len, reverse=True))
-#: A plus sign may be spelled too. A dot or dash between digits stays one.
-_SPELLED = re.compile(rf"(?i)(?<!\w)(?:(?:{_NUMBER})(?!\w)[\x20,-]{{0,2}}){{3,}}")
-_SPELLED_ONE = re.compile(rf"(?i)(?:{_NUMBER})(?!\w)")
-_PLUS = re.compile(rf"(?i)(?<!\w)plus\x20(?=(?:[0-9]|(?:{_NUMBER})(?!\w)))")
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-_AT = re.compile(rf"(?i)\x20?{_OPEN}\x20?(?:at|ät|arroba|arobase|@)\x20?{_CLOSE}\x20?")
-_DOT = re.compile(rf"(?i)\x20?{_OPEN}\x20?(?:dot|punkt|punto|point|\.)\x20?{_CLOSE}\x20?")
-_WORDS = re.compile(r"(?i)(?<![\w.%+-])[a-z0-9._%+-]{1,64}(?P<at>\x20at\x20|\x20?@\x20?)[a-z0-9-]{1,63}(?:(?:\x20dot\x20|\x20\.\x20|\.)[a-z0-9-]{1,63}(?![\w]))+")
-_WORD_AT, _WORD_DOT = re.compile(r"(?i)\x20at\x20|\x20@\x20?|@\x20"), re.compile(r"(?i)\x20(?:dot|\.)\x20")
-_IP_DOT = re.compile(r"(?i)(?<=[0-9])\x20(?:dot|point|punkt|punto)\x20(?=[0-9])")
-_BRACKETED = re.compile(rf"(?i){_OPEN}\x20?(?:at|ät|arroba|arobase|dot|punkt|punto|point|[@.])\x20?{_CLOSE}")
-_SPELLED_DOT = re.compile(r"(?i)\x20(?:dot\x20|(?:point|punkt|punto)\x20[0-9])")
-_LOOSE_AT = re.compile(r"\x20@|@\x20")
-#: The French article is too common to tell anything alone.
-_TELLING = frozenset(_NUMBERS) - {"un"}
-
-
-def disguised(text: str) -> bool:
-    """Whether a rewriting rule can apply; a plain pass over the text for most documents."""
-    if ("[" in text or "(" in text or "{" in text or "<" in text) and _BRACKETED.search(text):
-        return True
-    if "@" in text and _LOOSE_AT.search(text):
-        return True
-    low = text.lower()
-    if (" dot " in low or " point " in low or " punkt " in low or " punto " in low) and _SPELLED_DOT.search(text):
-        return True
-    return not _TELLING.isdisjoint(low.replace(",", " ").replace("-", " ").split()) and _SPELLED.search(text) is not None
+_DOTS = "dot|punkt|punto|point"
+_AT_SIGN = rf"\x20?{_OPEN}\x20?(?:at|ät|arroba|arobase|@)\x20?{_CLOSE}\x20?"
+_DOT_SIGN = rf"\x20?{_OPEN}\x20?(?:{_DOTS}|\.)\x20?{_CLOSE}\x20?"
+#: Number words and digits in a row; dots between them may be spelled or bracketed.
+_ELEMENT = rf"(?:(?:{_NUMBER})(?!\w)|[0-9]++)"
+_STEP = rf"(?:{_DOT_SIGN}|\x20(?:{_DOTS})\x20|[\x20,-]{{1,3}}+|\.)"
+_RUN = re.compile(rf"(?i)(?<!\w){_ELEMENT}(?:{_STEP}{_ELEMENT})++")
+_PART = re.compile(rf"(?i)(?P<word>(?:{_NUMBER})(?!\w))|(?P<digits>[0-9]++)|(?P<dot>{_DOT_SIGN}|\x20(?:{_DOTS})\x20)|(?P<gap>[\x20,-]{{1,3}}+|\.)")
+_PLUS = re.compile(rf"(?i)(?<!\w)plus\x20(?=[0-9]|(?:{_NUMBER})(?!\w))")
+#: What can stand for the sign of an address; the words say how its dots may be spelled.
+_AT = re.compile(rf"(?i)(?P<sign>{_AT_SIGN})|\x20(?P<word>at|ät|arroba|arobase)\x20|\x20?@\x20?")
+_SPOKEN = {"at": "dot", "ät": "punkt|dot", "arroba": "punto|dot", "arobase": "point|dot", None: _DOTS}
+_LABEL = r"[a-z0-9-]++"
+_AFTER = {at: re.compile(rf"(?i){_LABEL}(?:(?:{_DOT_SIGN}|\x20(?:{dots})\x20|\x20\.\x20|\.)(?={_LABEL}(?!\w)){_LABEL})++") for at, dots in _SPOKEN.items()}
+_DOT = re.compile(rf"(?i){_DOT_SIGN}|\x20(?:{_DOTS})\x20|\x20\.\x20")
+_BEFORE = re.compile(rf"(?i)(?:{_DOT_SIGN}|\x20(?:{_DOTS})\x20|\x20\.\x20)\Z")
+#: A spelled dot with its signs is so long at most.
+_LONGEST = 12
+#: Last labels of domains that are no English words.
+_TOP = frozenset("com org net edu gov mil int info biz name dev app io co uk de fr es pt nl be ch at eu ca au nz jp cn kr ru pl cz se dk fi ie gr tr br mx ar cl za".split())
+#: Words before "at" that begin no address.
+_PLAIN = frozenset("a an and are arrive arrived at available back be been being both buy call came come developed do everyone find found free get go going good had hard has have he her here him hosted i is it join just later live lives living located look looked looking looks made me meet more not now of off on one only or order out people posted published read see seen she shop sold stand started stay still stop that the them then there they this those time today tomorrow up us visit was we were work worked working works you".split())
 
 
 class Normalised:
-    """A text under rewriting; starts and ends give the source range of each character, changed
-    tells whether it was rewritten."""
+    """A text under rewriting. Each pass is a transducer from the text of the pass before: it keeps
+    its edits only, so a place maps back through the passes by search, whatever the text's length."""
 
     def __init__(self, text: str):
-        self.text, self.starts, self.ends, self.changed = text, list(range(len(text))), list(range(1, len(text) + 1)), [False] * len(text)
+        self.text = text
+        self.passes: list[tuple[list[int], list[int], list[int], list[int]]] = []
 
     def replace(self, edits: list[tuple[int, int, str]]) -> None:
         """Put a string in place of each (start, end) of the current text, in order."""
         if not edits:
             return
-        parts, starts, ends, changed, at = [], [], [], [], 0
-        for s, e, new in [*edits, (len(self.text), len(self.text), "")]:
-            parts += [self.text[at:s], new]
-            starts += self.starts[at:s] + [self.starts[s] if s < e else 0] * len(new)
-            ends += self.ends[at:s] + [self.ends[e - 1] if s < e else 0] * len(new)
-            changed += self.changed[at:s] + [True] * len(new)
+        parts, at, size = [], 0, 0
+        new, new_end, old, old_end = [], [], [], []
+        for s, e, put in edits:
+            parts += [self.text[at:s], put]
+            size += s - at
+            new.append(size)
+            size += len(put)
+            new_end.append(size)
+            old.append(s)
+            old_end.append(e)
             at = e
-        self.text, self.starts, self.ends, self.changed = "".join(parts), starts, ends, changed
+        self.text = "".join([*parts, self.text[at:]])
+        self.passes.append((new, new_end, old, old_end))
+
+    def source(self, start: int, end: int) -> tuple[int, int, bool]:
+        """The range of the first text that a range comes from, and whether any of it was rewritten."""
+        changed = False
+        for new, new_end, old, old_end in reversed(self.passes):
+            i, j = bisect_right(new, start) - 1, bisect_left(new, end) - 1
+            # Edits that put nothing count where they stand inside the range.
+            changed |= j > i or (i >= 0 and start < new_end[i])
+            start = start if i < 0 else old[i] if start < new_end[i] else old_end[i] + start - new_end[i]
+            end = end if j < 0 else old_end[j] if end <= new_end[j] else old_end[j] + end - new_end[j]
+        return start, end, changed
 
 
 def _glyph_edits(text: str) -> list[tuple[int, int, str]]:
-    found = [(m.start(), m.end(), _glyph(m[0]) or "") for m in _DISGUISE.finditer(text)]
-    return sorted(found + [(m.start(), m.end(), _glyph(m[0]) or "") for m in _STYLED.finditer(text)])
+    return [(m.start(), m.end(), _glyph(m[0]) or "") for m in _DISGUISE.finditer(text)]
+
+
+def _number_edits(text: str) -> list[tuple[int, int, str]]:
+    """Spelled digits in runs of numbers become digits that stand together; spelled dots between
+    numbers become dots; a spelled plus before a number becomes its sign."""
+    edits = [(m.start(), m.end(), "+") for m in _PLUS.finditer(text)]
+    for run in _RUN.finditer(text):
+        parts = list(_PART.finditer(text, run.start(), run.end()))
+        for k, m in enumerate(parts):
+            if m["word"]:
+                edits.append((m.start(), m.end(), str(_NUMBERS[m[0].lower()])))
+            elif m["dot"]:
+                edits.append((m.start(), m.end(), "."))
+            elif m["gap"] and m[0] != "." and (parts[k - 1]["word"] or parts[k + 1]["word"]):
+                edits.append((m.start(), m.end(), ""))
+    return sorted(edits)
+
+
+def _address_edits(text: str) -> list[tuple[int, int, str]]:
+    """Disguised signs and dots of addresses. An "at" that is a word needs a dot that is spelled, or
+    a name before it and a domain after it that only an address has."""
+    edits, free = [], 0
+    for m in _AT.finditer(text):
+        at, end = m.start(), m.end()
+        word = m["word"].lower() if m["word"] else None
+        found = _AFTER[word].match(text, end)
+        if not found or at < free:
+            continue
+        start, dots = _local(text, at, free)
+        if start == at:
+            continue
+        inner = [(d.start(), d.end(), ".") for d in _DOT.finditer(text, end, found.end())]
+        if word and not dots:
+            local, top = text[start:at].lower(), re.split(r"[^a-z0-9-]+", found[0].lower())[-1]
+            if not (top in _TOP or any(c in "._+" for c in local)) or (local in _PLAIN and not inner):
+                continue
+        if m[0] != "@":
+            dots.append((at, end, "@"))
+        edits += dots + inner
+        free = found.end()
+    return edits
 
 
-def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
-    edits = []
-    for m in _SPELLED.finditer(text):
-        ones = [x for x in _SPELLED_ONE.finditer(text, m.start(), m.end())]
-        edits.append((m.start(), ones[-1].end(), "".join(str(_NUMBERS[x[0].lower()]) for x in ones)))
-    return edits
+def _local(text: str, at: int, free: int) -> tuple[int, list[tuple[int, int, str]]]:
+    """Where the name before an address's sign starts, and its spelled dots."""
+    dots: list[tuple[int, int, str]] = []
+    start = at
+    while True:
+        begin = start
+        while begin > free and text[begin - 1] in _LOCAL_CHARS:
+            begin -= 1
+        if begin == start:  # a dot that nothing stands before is no part of the name
+            return (dots.pop(0)[1] if dots else at), dots
+        start = begin
+        low = max(free, begin - _LONGEST)
+        dot = _BEFORE.search(text[low:begin])
+        if not dot:
+            return start, dots
+        dots.insert(0, (low + dot.start(), begin, "."))
+        start = low + dot.start()
 
 
 def normalise(text: str, glyphs: list[tuple[int, int, str]] | None = None) -> Normalised:
     n = Normalised(text)
     n.replace(_glyph_edits(text) if glyphs is None else glyphs)
-    n.replace(_spelled_edits(n.text))
-    n.replace([(m.start(), m.end(), "+") for m in _PLUS.finditer(n.text)])
-    n.replace([(m.start(), m.end(), "@") for m in _AT.finditer(n.text)])
-    n.replace([(m.start(), m.end(), ".") for m in _DOT.finditer(n.text)])
-    n.replace([(m.start(), m.end(), ".") for m in _IP_DOT.finditer(n.text)])
-    edits = []
-    for m in _WORDS.finditer(n.text):
-        if m["at"] != "@" or _WORD_DOT.search(m[0]):
-            if m["at"].lower() == " at " and not _WORD_DOT.search(m[0]):
-                continue  # "look at this. Then" is plain text
-            edits += [(m.start() + x.start(), m.start() + x.end(), "@") for x in _WORD_AT.finditer(m[0])][:1]
-            edits += [(m.start() + x.start(), m.start() + x.end(), ".") for x in _WORD_DOT.finditer(m[0])]
-    n.replace(sorted(edits))
+    if _NUMBER_WORD.search(n.text):
+        n.replace(_number_edits(n.text))
+    if "@" in n.text or _AT_WORD.search(n.text):
+        n.replace(_address_edits(n.text))
     return n
 
 
+#: A word that a number pass or an address pass can begin from, so most texts are passed over quickly.
+_NUMBER_WORD = re.compile(rf"(?i)(?<!\w)(?:{_NUMBER})(?:\x20|[,-]|\.)|[0-9]\x20?[\[({{<\x20]\x20?(?:{_DOTS}|\.)")
+_AT_WORD = re.compile(r"(?i)\x20(?:at|ät|arroba|arobase)\x20|[\[({<]\x20?(?:at|ät|arroba|arobase)\x20?[\])}>]")
+
+
 def spans_of(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """The base spans, and those that only the normalised text shows."""
     base = base_spans(text)
-    glyphs = [] if text.isascii() else _glyph_edits(text)
-    if not glyphs and not disguised(text):
-        return base, []
-    n = normalise(text, glyphs)
-    if n.text == text:
+    n = normalise(text, [] if text.isascii() else None)
+    if not n.passes:
         return base, []
     taken = {k: [(s, e) for kind, s, e in base if kind == k] for k in KINDS}
     added = []
     for kind, s, e in base_spans(n.text):
-        if any(n.changed[s:e]):
-            start, end = n.starts[s], n.ends[e - 1]
-            if not any(start < y and x < end for x, y in taken[kind]):
-                taken[kind].append((start, end))
-                added.append((kind, start, end))
+        start, end, changed = n.source(s, e)
+        if changed and not _meets(taken[kind], start, end):
+            added.append((kind, start, end))
     return base, added
 
 
+def _meets(spans: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether a range meets one of some spans that lie in order."""
+    i = bisect_left(spans, (end, 0)) - 1
+    return i >= 0 and spans[i][1] > start
+
+
 def joined(spans: list[tuple[str, int, int]], key=None) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=key or (lambda x: (KINDS.index(x[0]), x[1], x[2]))))
 
