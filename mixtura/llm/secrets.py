@@ -1,10 +1,12 @@
 """Secret scan with character Markov models.
 
-Plain patterns give the base spans. Two first-order Markov models over character classes of ASCII
-token characters are trained on the corpus itself: the random model on the strings that the base
-patterns label as secrets, the ordinary model on all text but the tokens that could be secrets. A further token becomes a span of
-kind ``random`` when its log-likelihood ratio, in total and for each character, says that it looks
-drawn at random rather than written.
+Plain patterns give the base spans. Two first-order Markov models over ASCII token characters are
+trained on labelled samples that the corpus itself gives: the random model on the strings that the
+base patterns label as secrets, the ordinary model on identifiers outside these strings: runs of
+token characters that are made of words, abbreviations and numbers, joined by signs or by case. Every run of
+``LEAST`` token characters or more, whatever it consists of, becomes a span of kind ``random`` when its
+log-likelihood ratio, in total and for each character, says that it looks drawn at random rather than
+written. Runs on both sides of a dot are judged apart, and joined if both are random.
 
 Transition counts cover every whole text; what comes to the driver is one table of fixed size
 (2 models x 66 x 66), whatever the corpus holds.
@@ -31,9 +33,11 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
-#: What can be a secret: long, with a digit in it. Dots, dashes and underscores join ordinary names, so they part tokens here.
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/=])(?=[A-Za-z+/=]{0,64}[0-9])[A-Za-z0-9+/=]{16,}")
-_DIGITS = re.compile(r"[0-9]")
+#: Characters of a run that is judged.
+LEAST = 16
+#: What can be a secret, and what the ordinary model is trained on.
+_RUN = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{16,}+")
+_IDENTIFIER = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/=_-]{3})(?:(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[0-9]++)[+/=_-]?)++(?![A-Za-z0-9+/=_-])")
 
 #: 0 for what stands outside a token, then the token characters.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_="
@@ -52,7 +56,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         out += [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
     if "AKIA" in text:
         out += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
-    if _DIGITS.search(text) or len(text) >= 32:
+    if len(text) >= 32:
         out += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
     return sorted(out, key=_order)
 
@@ -76,20 +80,26 @@ def _secret_part(text: str, kind: str, start: int, end: int) -> str:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Transition counts of a task: model 1 for strings that the base patterns label, 0 for the rest."""
+    """Transition counts of a task: model 1 for strings that the base patterns label, 0 for identifiers."""
     n = np.zeros((2, SIZE * SIZE), dtype=np.int64)
     for batch in batches:
-        plain = []
-        for text in batch.column(0).to_pylist():
-            if not text:
+        plain, size = [], 0
+        for text in batch.column(0):
+            if not (text := text.as_py()):
                 continue
-            for kind, s, e in base_spans(text):
+            at, found = 0, base_spans(text)
+            for kind, s, e in found:
                 _pairs(_codes(f" {_secret_part(text, kind, s, e)} "), n[1])
-            # What may be a secret, found by a pattern or not, is no sample of ordinary text.
-            plain.append(_TOKEN.sub(" ", text))
-        codes = _codes("\n".join(plain))
-        for i in range(0, len(codes), 1 << 20):  # one transition of each megabyte is left out
-            _pairs(codes[i : i + (1 << 20) + 1], n[0])
+            # What the patterns label is no sample of ordinary text.
+            for _, s, e in [*found, ("", len(text), len(text))]:
+                if s > at:
+                    plain += _IDENTIFIER.findall(text, at, s)
+                at = max(at, e)
+            size += len(text)
+            if size > 1 << 20:
+                _pairs(_codes(" ".join(["", *plain, ""])), n[0])
+                plain, size = [], 0
+        _pairs(_codes(" ".join(["", *plain, ""])), n[0])
     for model in (0, 1):
         (at,) = np.nonzero(n[model])
         yield pa.RecordBatch.from_pydict({"model": pa.array([model] * len(at), pa.int32()), "at": pa.array(at, pa.int32()), "n": pa.array(n[model][at], pa.int64())})
@@ -115,16 +125,17 @@ def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def random_spans(text: str, ratios: np.ndarray, taken: list[tuple[str, int, int]], least: float, least_each: float) -> list[tuple[str, int, int]]:
-    if len(text) < 16 or not _DIGITS.search(text):
-        return []
-    out = []
-    for m in _TOKEN.finditer(text):
+    out: list[tuple[str, int, int]] = []
+    ends = sorted((x, y) for _, x, y in taken)
+    for m in _RUN.finditer(text):
         s, e = m.span()
-        if any(s < y and x < e for _, x, y in taken):
-            continue
         codes = _codes(f" {m[0]} ").astype(np.int64)
         score = ratios[codes[:-1], codes[1:]].sum()
-        if score >= least and score >= least_each * (e - s):
+        if score < least or score < least_each * (e - s) or any(s < y and x < e for x, y in ends):
+            continue
+        if out and out[-1][2] == s - 1 and text[s - 1] == ".":
+            out[-1] = ("random", out[-1][1], e)
+        else:
             out.append(("random", s, e))
     return out
 
