@@ -6,14 +6,15 @@ use. Terms whose log-odds are significant score these; every other token scores
 single linear pass over a text finds all its maximal scoring segments. Their scores are judged by
 extreme-value statistics: with the decay L of the score distribution (the root of sum p e^(Ls) = 1)
 and the scale K fitted on texts that are not toxic, a segment of score S in a text of n tokens is
-expected K n e^(-LS) times by chance. A text's evidence, the summed -log of the expectations of
-its significant segments and the -log of its best one, is turned into a probability on the training
-labels.
+expected K n e^(-LS) times by chance. Segments expected less than ``significant`` times are the text's
+toxic passages, given with their place (code points, ends exclusive), score and expectation. A text's
+evidence, its best segment's score and -log expectation and the sum of the latter over its segments, is
+turned into a probability on the training labels.
 
 Training reads a sample of labelled rows: each row of the training fold with a probability that
 makes ``sample`` rows in the mean, chosen by a hash of the id. Near copies among them would count
 as evidence many times over, so texts that share the least hash of their five-word passages share
-one weight. The term table is bounded by ``max_terms``.
+one weight. All terms of the sample that are significant are used, so the sample bounds their number.
 
 Cases: a null or empty text has no segments and gets the score of a text without evidence. Without
 labels of both classes every score is 0. A null id is never a training row and is scored; repeated
@@ -23,6 +24,7 @@ read.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,6 +39,7 @@ from mixtura.llm.logistic import sigmoid
 from mixtura.llm.quality_pu import in_fold
 
 _STRIP = ".,;:!?\"()'*#$%&|<>[]{}"
+_WORD = re.compile(r"\S+")
 #: Lengths of the word beginnings that are terms of their own.
 STEMS = (3, 4, 5)
 
@@ -56,7 +59,9 @@ def _signature(words: list[str]) -> int:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_signature(tokens(t or "")) for t in batch.column(1).to_pylist()], pa.int64())], names=["doc_id", "sig"])
+        for i in range(0, batch.num_rows, 512):
+            part = batch.slice(i, 512)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([_signature(tokens(t or "")) for t in part.column(0).to_pylist()], pa.int64())], names=["text", "toxic", "sig"])
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,10 +128,20 @@ class Model:
         return len(words), [score for _, _, score in self.segments(words)]
 
     def evidence(self, n: int, scores: list[float]) -> tuple[float, float, float, float]:
-        """Constant, best score, -log expectation of the best, log of the sum over significant ones."""
+        """Constant, best score, -log expectation of the best and summed over those below one, as logarithms."""
         base = np.log(self.scale * max(1, n))
         bits = [max(0.0, self.decay * s - base) for s in scores]
-        return 1.0, min(max(scores, default=0.0), 20.0), min(max(bits, default=0.0), 20.0), float(np.log1p(sum(bits)))
+        return 1.0, *np.log1p([max(scores, default=0.0), max(bits, default=0.0), sum(bits)]).tolist()
+
+    def passages(self, text: str, significant: float) -> list[dict]:
+        """The significant segments: start, end, score, expectation."""
+        words = tokens(text)
+        kept = [(s, e, score, self.scale * len(words) * float(np.exp(-self.decay * score))) for s, e, score in self.segments(words)]
+        kept = [x for x in kept if x[3] < significant]
+        if not kept:
+            return []
+        places = [(m.start() + len(m[0]) - len(m[0].lstrip(_STRIP)), m.start() + len(m[0].rstrip(_STRIP))) for m in _WORD.finditer(text) if m[0].strip(_STRIP)]
+        return [{"start": places[s][0], "end": places[e - 1][1], "score": score, "expectation": x} for s, e, score, x in kept]
 
     def probability(self, found: list[tuple[int, list[float]]]) -> np.ndarray:
         return sigmoid(np.array([self.evidence(*f) for f in found]).reshape(-1, 4) @ np.array(self.weights))
@@ -145,16 +160,15 @@ def _decay(p: np.ndarray, s: np.ndarray) -> float:
     return high
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int, held_fold: int, sample: int, loss: float, least_z: float, max_terms: int) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, folds: int, held_fold: int, sample: int, loss: float, least_z: float) -> Model | None:
     spark = docs.sparkSession
     known = written(labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~in_fold(F.col("doc_id"), folds, held_fold)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "toxic-labels")
     share = min(1.0, sample / max(1, known.count()))
     # Bounded by ``sample``, so it may go to every executor.
     known = F.broadcast(known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id")
-    signed = written(texts.select("doc_id", "text").mapInArrow(_signatures, "doc_id long, sig long"), "toxic-signatures")
-    weights = signed.join(signed.groupBy("sig").agg((1 / F.count("*")).alias("weight")), "sig").groupBy("doc_id").agg(F.max("weight").alias("weight"))
-    used = texts.join(F.broadcast(weights), "doc_id").select("text", "toxic", "weight")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id").select("text", "toxic")
+    signed = written(texts.mapInArrow(_signatures, "text string, toxic int, sig long"), "toxic-sample")
+    used = signed.join(F.broadcast(signed.groupBy("sig").agg((1 / F.count("*")).alias("weight"))), "sig").select("text", "toxic", "weight")
     counts = written(used.mapInArrow(_term_counts, "term string, other double, toxic double").groupBy("term").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")), "toxic-terms")
     sums = counts.filter(~F.col("term").endswith("*")).agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).first()
     if not sums.other or not sums.toxic:
@@ -165,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int, held_fold: int, sample
     odds = lambda y, n: F.log((y + prior) / (F.greatest(n - y, F.lit(0.0)) + strength))
     delta = odds(F.col("toxic"), F.lit(sums.toxic)) - odds(F.col("other"), F.lit(sums.other))
     z = delta / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("other") + prior))
-    found = counts.filter("toxic > 0").withColumns({"delta": delta, "z": z}).filter((F.col("z") >= least_z) & (F.col("delta") > 0)).orderBy(F.desc("z"), "term").limit(max_terms).collect()
+    found = counts.filter("toxic > 0").withColumns({"delta": delta, "z": z}).filter((F.col("z") >= least_z) & (F.col("delta") > 0)).orderBy("term").collect()  # of the sample's terms
     model = Model({r.term: r.delta for r in found}, loss)
     if not found:
         return model
@@ -174,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int, held_fold: int, sample
     p *= min(1.0, 0.5 / max(p.sum(), 1e-12))
     model.decay = _decay(np.append(p, 1 - p.sum()), np.append([r.delta for r in found], -loss))
 
-    seen = spark.sparkContext.broadcast(model)  # at most ``max_terms`` terms
+    seen = spark.sparkContext.broadcast(model)  # terms of the sample
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,19 +218,25 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3
     return w
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2, threshold: float = 0.3, sample: int = 100_000, loss: float = 0.2, least_z: float = 4.0, max_terms: int = 20_000) -> DataFrame:
-    """doc_id, held_out, score, predicted, and the number of toxic passages, for every row of ``docs``."""
+def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2, threshold: float = 0.3, sample: int = 100_000, loss: float = 0.2, least_z: float = 4.0, significant: float = 0.01) -> DataFrame:
+    """doc_id, held_out, score, predicted, and the toxic passages (an array of start, end, score,
+    expectation in the text's order), for every row of ``docs``."""
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(train(docs, labels, folds, held_fold, sample, loss, least_z, max_terms))
+    model = spark.sparkContext.broadcast(train(docs, labels, folds, held_fold, sample, loss, least_z))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            if m is None:
-                score = np.zeros(batch.num_rows)
-            else:
-                score = m.probability([m.found(t or "") for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], names=["doc_id", "score"])
-
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, score double")
-    return out.select("doc_id", in_fold(F.col("doc_id"), folds, held_fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            score = np.zeros(len(texts)) if m is None else m.probability([m.found(t) for t in texts])
+            # A text with a significant segment has evidence, and so a score above the least.
+            least = 0.0 if m is None else m.probability([(1, [])])[0]
+            passages = [m.passages(t, significant) if m is not None and s != least else [] for t, s in zip(texts, score)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(passages, _PASSAGES_ARROW)], names=["doc_id", "score", "passages"])
+
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, f"doc_id long, score double, passages {_PASSAGES}")
+    return out.select("doc_id", in_fold(F.col("doc_id"), folds, held_fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "passages")
+
+
+_PASSAGES = "array<struct<start:int,end:int,score:double,expectation:double>>"
+_PASSAGES_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expectation", pa.float64())]))
