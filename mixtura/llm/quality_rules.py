@@ -1,19 +1,22 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
 Base counts are taken of every whole text. Beyond the fixed base rule, each further rule is a rate
-of the text with a ladder of cutoffs, from lenient to strict. Cutoffs are chosen from labelled
-holdout rows: for each stratum (language) and rule, a cutoff is tested against the hypothesis that
-it falsely rejects more than ``risk`` of the good texts. The p-value is the exact binomial tail
-P(Bin(n, risk) <= k), with k of n good holdout texts rejected. Rules and strata share the error
-rate ``delta`` by Bonferroni's correction; within a ladder the cutoffs are tested in fixed order
-from lenient to strict and testing stops at the first that is not significant, so a ladder needs no
-further correction. ``risk`` is split evenly over the rules, so all rules together reject at most
-``risk`` of a stratum's good texts, with probability 1 - delta over all strata.
-
-A stratum without enough labelled texts gets no cutoff, and there only the base rule decides. A
+of the text with a ladder of cutoffs, from lenient to strict. The rungs of all ladders are taken in
+one fixed order, the lenient ones of every rule first; step s applies the base rule and the first s
+rungs together. Labelled holdout rows tell, for each stratum (language), how far to go: a step is
+tested against the hypothesis that all it rejects is more than ``risk`` of the stratum's good texts.
+The p-value is the exact binomial tail P(Bin(n, risk) <= k), where the base rule and the rungs reject
+k of n good holdout texts. Steps are tested in their fixed order and testing stops at the first that
+is not significant, so the steps of a stratum need no further correction; the strata share the error
+rate ``delta`` by Bonferroni's correction. So with probability 1 - delta, in every stratum with a step
+no more than ``risk`` of the good texts are rejected, by the base rule or any other.
+
+A stratum without enough labelled texts (59 at the default risk and one stratum, 86 with four), or one
+where the base rule alone rejects too many, gets no step, and there only the base rule decides. A
 null text has no words and fails the base rule. A null stratum is a stratum of its own. Repeated
 labels count once for each document (the largest label); documents that repeat are each judged.
-Empty tables give empty results. Other columns are not read.
+Windows of words are compared by 64-bit hashes. Empty tables give empty results. Other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -90,34 +93,46 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * F.lit(p), F.lit(1.0)).when(k == 0, F.exp(first)).otherwise(total)
 
 
-def choose_cutoffs(counted: DataFrame, labels: DataFrame, stratum: str, strata: int, risk: float, delta: float, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """(stratum, rule, cutoff): the strictest cutoff that the holdout allows, where one is.
-    ``strata`` is the number of strata that share ``delta``."""
+def _steps() -> list[tuple[str, float]]:
+    """The rungs of all ladders in the order in which they are tried."""
+    rungs = [(i / len(ladder), place, rule, cutoff) for place, (rule, ladder) in enumerate(LADDERS.items()) for i, cutoff in enumerate(ladder)]
+    return [(rule, cutoff) for _, _, rule, cutoff in sorted(rungs)]
+
+
+#: Step s applies the first s of these.
+STEPS = _steps()
+
+
+def first_step() -> Column:
+    """The first step that rejects a text: 0 for the base rule, one beyond the last if none does."""
+    rate = rates()
+    never = len(STEPS) + 1
+    # Cutoffs of a rule get stricter, so its first rung that a rate exceeds is its last chance to pass.
+    each = [F.when(rate[rule] > F.lit(cutoff), F.lit(s)).otherwise(F.lit(never)) for s, (rule, cutoff) in enumerate(STEPS, 1)]
+    return F.when(F.col("base_failed"), F.lit(0)).otherwise(F.least(*each))
+
+
+def choose_steps(judged: DataFrame, labels: DataFrame, strata: int, risk: float, delta: float, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """(stratum, step): how far the holdout lets each stratum go, where it lets it go at all.
+    ``judged`` has ``stratum`` and ``first_step``; ``strata`` is the number of strata that share ``delta``."""
     good = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_good")).filter("_good = 1").select("_id")
-    held = counted.filter(~F.col("base_failed")).select(F.col(id_col).alias("_id"), F.col(stratum).alias("stratum"), *(v.alias(k) for k, v in rates().items())).join(good, "_id")
-    # One aggregate for all cutoffs: the number of good texts that each would reject.
-    tallies = [F.sum((F.col(rule) > F.lit(c)).cast("long")).alias(f"{rule}_{i}") for rule, ladder in LADDERS.items() for i, c in enumerate(ladder)]
-    tally = held.groupBy("stratum").agg(F.count("*").alias("n"), *tallies)
-    steps = F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("step"), F.lit(float(c)).alias("cutoff"), F.col(f"{rule}_{i}").alias("k")) for rule, ladder in LADDERS.items() for i, c in enumerate(ladder)))
-    tested = tally.select("stratum", "n", F.explode(steps).alias("x")).select("stratum", "n", "x.*")
-    tested = tested.withColumn("p", binomial_tail(F.col("k"), F.col("n"), risk / len(LADDERS)))
-    passed = F.col("p") <= F.lit(delta / (len(LADDERS) * max(1, strata)))
-    rules = tested.groupBy("stratum", "rule").agg(F.min(F.when(~passed, F.col("step"))).alias("stop"), F.collect_list(F.struct("step", "cutoff")).alias("ladder"))
-    reached = F.array_max(F.filter("ladder", lambda x: F.col("stop").isNull() | (x["step"] < F.col("stop"))))["cutoff"]
-    return rules.select("stratum", "rule", reached.alias("cutoff")).filter("cutoff IS NOT NULL")
+    held = judged.select(F.col(id_col).alias("_id"), "stratum", "first_step").join(good, "_id")
+    # One aggregate for all steps: the number of good texts that each rejects.
+    tally = held.groupBy("stratum").agg(F.count("*").alias("n"), *(F.sum((F.col("first_step") <= s).cast("long")).alias(f"k{s}") for s in range(1, len(STEPS) + 1)))
+    tested = tally.select("stratum", "n", F.explode(F.array(*(F.struct(F.lit(s).alias("step"), F.col(f"k{s}").alias("k")) for s in range(1, len(STEPS) + 1)))).alias("x")).select("stratum", "n", "x.*")
+    # Later steps reject no less, so the last significant one is before the first that is not.
+    passed = binomial_tail(F.col("k"), F.col("n"), risk) <= F.lit(delta / max(1, strata))
+    return tested.filter(passed).groupBy("stratum").agg(F.max("step").alias("step"))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """One row for each document: doc_id, the base counts, base_failed and kept."""
+    """One row for each document: doc_id, the base counts, base_failed, first_step (the first step that
+    rejects it) and kept."""
     counted = base_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), "text")).drop("text")
-    counted = written(counted, "rule-counts")  # the texts are read once; a row of counts is a few bytes
-    strata = counted.select("stratum").distinct().count()
-    cut = choose_cutoffs(counted, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality"), "stratum", strata, risk, delta)
-    wide = cut.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"_{rule}") for rule in LADDERS))
-    if strata <= BROADCAST_STRATA:  # a row of a few numbers each
-        wide = F.broadcast(wide)
-    judged = counted.join(wide, "stratum", "left")
-    fails = F.lit(False)
-    for rule, rate in rates().items():
-        fails = fails | F.coalesce(rate > F.col(f"_{rule}"), F.lit(False))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~fails).alias("kept"))
+    judged = written(counted.withColumn("first_step", first_step()).drop("_n_lines"), "rule-counts")  # the texts are read once; a row of counts is a few bytes
+    strata = judged.select("stratum").distinct().count()
+    steps = choose_steps(judged, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality"), strata, risk, delta)
+    if strata <= BROADCAST_STRATA:  # two values each
+        steps = F.broadcast(steps)
+    kept = F.col("first_step") > F.coalesce(F.col("step"), F.lit(0))
+    return judged.join(steps, "stratum", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "first_step", kept.alias("kept"))

@@ -14,7 +14,7 @@ from mixtura.llm.jaccard_join import jaccard_components
 from mixtura.llm.packing import pack
 from mixtura.llm.pii import pii_digest
 from mixtura.llm.quality_pu import quality_classifier
-from mixtura.llm.quality_rules import LADDERS, quality_rules
+from mixtura.llm.quality_rules import STEPS, quality_rules
 from mixtura.llm.secrets import secrets_digest
 from mixtura.llm.sentencepiece_scan import sentencepiece_digest
 from mixtura.llm.toxicity import toxicity
@@ -74,9 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-_LADDER = ", ".join(f"('{rule}', {i}, CAST({c} AS DOUBLE))" for rule, ladder in LADDERS.items() for i, c in enumerate(ladder))
-#: Share of the risk that each rule has, as in the defaults of ``quality_rules``.
-_RISK = f"CAST({0.05 / len(LADDERS)!r} AS DOUBLE)"
+_LADDER = ", ".join(f"('{rule}', {s}, CAST({c} AS DOUBLE))" for s, (rule, c) in enumerate(STEPS, 1))
+#: As in the defaults of ``quality_rules``.
+_RISK = "CAST(0.05 AS DOUBLE)"
 _RULES_SQL = f"""
 WITH w AS (
   SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
@@ -99,20 +99,18 @@ WITH w AS (
   UNION ALL SELECT doc_id, stratum, base_failed, 'long_word', word_chars / CAST(greatest(n_words, 1) AS DOUBLE) FROM b
   UNION ALL SELECT doc_id, stratum, base_failed, 'short_word', -word_chars / CAST(greatest(n_words, 1) AS DOUBLE) FROM b
 ), ladder(rule, step, cutoff) AS (VALUES {_LADDER}
+), f AS (
+  SELECT doc_id, stratum, CAST(CASE WHEN base_failed THEN 0 ELSE coalesce(min(step) FILTER (v > cutoff), {len(STEPS) + 1}) END AS INTEGER) AS first_step FROM r JOIN ladder USING (rule) GROUP BY doc_id, stratum, base_failed
 ), good AS (
   SELECT doc_id FROM labels GROUP BY 1 HAVING max(quality) = 1
 ), k AS (
-  SELECT stratum, rule, step, cutoff, count(*) AS n, count(*) FILTER (v > cutoff) AS k FROM r JOIN good USING (doc_id) JOIN ladder USING (rule) WHERE NOT base_failed GROUP BY ALL
+  SELECT stratum, step, count(*) AS n, count(*) FILTER (first_step <= step) AS k FROM f JOIN good USING (doc_id) CROSS JOIN (SELECT unnest(range(1, {len(STEPS) + 1})) AS step) GROUP BY ALL
 ), p AS (
   SELECT *, CASE WHEN k >= n * {_RISK} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_RISK}) + (n - i) * ln(1 - {_RISK})))) END AS p FROM k
-), ok AS (
-  SELECT *, p <= CAST(0.05 AS DOUBLE) / ({len(LADDERS)} * (SELECT count(DISTINCT stratum) FROM b)) AS ok FROM p
-), cut AS (
-  SELECT stratum, rule, arg_max(cutoff, step) AS cutoff FROM (SELECT *, coalesce(min(step) FILTER (NOT ok) OVER (PARTITION BY stratum, rule), 999) AS stop FROM ok) WHERE step < stop GROUP BY 1, 2
-), bad AS (
-  SELECT DISTINCT doc_id FROM r JOIN cut USING (stratum, rule) WHERE v > cutoff
+), far AS (
+  SELECT stratum, min(step) - 1 AS far FROM (SELECT stratum, step FROM p WHERE p > CAST(0.05 AS DOUBLE) / (SELECT count(DISTINCT stratum) FROM b) UNION ALL SELECT DISTINCT stratum, {len(STEPS) + 1} FROM p) GROUP BY 1
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM b
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, first_step, first_step > coalesce(far, 0) AS kept FROM b JOIN f USING (doc_id) LEFT JOIN far ON far.stratum = f.stratum
 """
 
 ORACLE_SQL: dict[str, str] = {
