@@ -38,7 +38,8 @@ class Lattice:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def _fits(self, last: str, piece: str) -> bool:
+    def fits(self, last: str, piece: str) -> bool:
+        """Whether a piece, after ``last`` if that is not empty, is what the merges make."""
         if not self.bpe:
             return True
         if (ok := self._alone.get(piece)) is None:
@@ -64,7 +65,7 @@ class Lattice:
             total, _, before = best[at]
             for end in range(at + 1, min(len(text), at + self.longest) + 1):
                 piece = text[at:end]
-                if (end == at + 1 or piece in self.pieces) and self._fits(before, piece):
+                if (end == at + 1 or piece in self.pieces) and self.fits(before, piece):
                     w = total + self._weight(piece)
                     if end not in best or w > best[end][0]:
                         best[end] = (w, at, piece)

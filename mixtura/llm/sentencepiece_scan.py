@@ -1,10 +1,14 @@
-"""SentencePiece encoding and decoding, with a parallel max-plus scan for giant documents.
+"""SentencePiece encoding and decoding by a parallel max-plus scan.
 
-A document above ``giant`` characters is cut into chunks of ``chunk`` characters, anywhere. Each
-chunk gives its boundary-state transfer matrix (see ``lattice``); matrices are multiplied in blocks,
-then over the blocks of a document, and the best states go back to the blocks and chunks. Each chunk
-is then backtraced on its own, from its entry state to its exit state. Only states and matrices
-meet, never the text. Other documents are encoded in one task, word by word with a memory of words.
+Paths of pieces meet at each word's start, so a text's scan joins the best paths of its words, found
+many at once and remembered (see ``word_paths``). A document above ``giant`` characters is cut into
+chunks of ``chunk`` characters, anywhere, so that no task has to scan it alone. Each chunk gives its
+boundary-state transfer matrix (see ``lattice``); matrices are multiplied in blocks, then over the
+blocks of a document, and the best states go back to the blocks and chunks. Each chunk is then
+backtraced on its own, from its entry state to its exit state. Only states and matrices meet, never
+the text. The ids are the same either way.
+
+Decoding maps each id on its own to bytes.
 
 The model file is a parameter and is not trained. Its kind decides the weights: piece scores for a
 unigram model, the merges' consistency for a BPE model, so that the ids are the model's own.
@@ -17,7 +21,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,13 +33,20 @@ from pyspark.sql import functions as F
 
 from mixtura.llm.common import written
 from mixtura.llm.lattice import SPACE, Lattice, Matrix, State, best_states, product
+from mixtura.llm.word_paths import WordPaths
 
 #: Chunks of a document whose matrices are multiplied together first.
 BLOCK = 64
 
 
+#: Texts of so many characters have their words' paths found together.
+TOGETHER = 8 << 20
+#: A word with the space marks before it.
+_MARKED = re.compile(f"{SPACE}+[^{SPACE}]*")
+
+
 class Model:
-    def __init__(self, name: str, words: int = 300_000):
+    def __init__(self, name: str, words: int = 500_000):
         import public_tokenizers
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
@@ -45,38 +58,74 @@ class Model:
             proto.ParseFromString(f.read())
         plain = [i for i in range(sp.vocab_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.lattice = Lattice({sp.id_to_piece(i): sp.get_score(i) for i in plain}, proto.trainer_spec.model_type == proto.trainer_spec.BPE)
-        self._ids = {sp.id_to_piece(i): [i] for i in plain}
+        self._ids = {sp.id_to_piece(i): i for i in plain}
+        self._bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.many = WordPaths(self.lattice, self._ids, self._bytes_of) if self.lattice.bpe and self.lattice.words else None
+        #: What each id stands for in a decoded text.
+        kept = frozenset(plain)
+        self.parts = [sp.id_to_piece(i).replace(SPACE, " ").encode() if i in kept else bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.decode([i]).encode() for i in range(sp.vocab_size())]
         self._memo: dict[str, bytes] = {}
         self._words = words
 
+    def _bytes_of(self, char: str) -> list[int]:
+        return [self._bytes[b] for b in char.encode("utf-8", "replace")]
+
     def ids_of(self, piece: str) -> list[int]:
         """The id of a piece; of a character outside the vocabulary, its bytes' ids."""
-        return self._ids.get(piece) or [self.sp.piece_to_id(f"<0x{b:02X}>") for b in piece.encode("utf-8", "replace")]
-
-    def word(self, word: str) -> bytes:
-        if (ids := self._memo.get(word)) is None:
-            if len(self._memo) > self._words:
-                self._memo.clear()
-            ids = self._memo[word] = np.array(self.sp.encode(word), dtype="<u4").tobytes()
-        return ids
-
-    def packed(self, text: str) -> bytes:
-        """The ids of a text. Between single spaces its words stand alone."""
-        if not text:
-            return b""
-        parts = text.split(" ")
-        if "" in parts or SPACE in text or not self.lattice.words:
-            return np.array(self.sp.encode(text), dtype="<u4").tobytes()
-        return b"".join(map(self.word, parts))
-
-    def packed_marked(self, text: str) -> bytes:
-        """The ids of whole words given with their space marks."""
-        return self.packed(text[1:].replace(SPACE, " ")) if text else b""
+        return [self._ids[piece]] if piece in self._ids else self._bytes_of(piece)
+
+    def _path(self, word: str) -> bytes:
+        pieces = self.lattice.trace(self.lattice.paths(word, 0, "", len(word)), len(word))
+        return np.array([i for p in pieces for i in self.ids_of(p)], dtype="<u4").tobytes()
+
+    def packed_marked(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts that begin with a word's space mark."""
+        if not self.lattice.words:
+            return [self._path(t) for t in texts]
+        parts = [_MARKED.findall(t) for t in texts]
+        if len(self._memo) > self._words:
+            self._memo.clear()
+        memo = self._memo
+        new = [w for w in dict.fromkeys(chain.from_iterable(parts)) if w not in memo]
+        if self.many:
+            memo.update(self.many.paths(new))
+        for w in new:
+            if w not in memo:
+                memo[w] = self._path(w)
+        return [b"".join(map(memo.__getitem__, p)) for p in parts]
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        return self.packed_marked([SPACE + t.replace(" ", SPACE) if t else "" for t in texts])
 
     def weight_marked(self, text: str) -> float:
         if self.lattice.bpe:
             return 0.0
-        return float(sum(self.sp.get_score(int(i)) for i in np.frombuffer(self.packed_marked(text), dtype="<u4")))
+        return float(sum(self.sp.get_score(int(i)) for i in np.frombuffer(self.packed_marked([text])[0], dtype="<u4")))
+
+    def text_of(self, ids: bytes) -> str:
+        return b"".join(map(self.parts.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")[1:]
+
+
+_models: dict[str, Model] = {}
+
+
+def model_of(name: str) -> Model:
+    """The model, kept by a Python worker from task to task."""
+    if name not in _models:
+        _models[name] = Model(name)
+    return _models[name]
+
+
+def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of rows of some ``most`` in all."""
+    start = held = 0
+    for i, n in enumerate(sizes):
+        held += n
+        if held >= most:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def _key(s: State) -> str:
@@ -149,11 +198,11 @@ def _chunk_states(group: pd.DataFrame) -> pd.DataFrame:
 
 def _giant_ids(giants: DataFrame, model: str, chunk: int) -> DataFrame:
     """(doc_id, ids) of giant documents, (uid, doc_id, text)."""
-    reach = Model(model).lattice.longest
+    reach = model_of(model).lattice.longest
     chunks = written(giants.mapInArrow(_chunked(chunk, reach), _CHUNK), "chunks")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(model)
+        m = model_of(model)
         for batch in batches:
             out = []
             for k, n, behind, text, size in zip(*(batch.column(c).to_pylist() for c in ("k", "chunks", "behind", "text", "size"))):
@@ -162,24 +211,33 @@ def _giant_ids(giants: DataFrame, model: str, chunk: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("k"), pa.array(out, pa.string())], names=["uid", "k", "matrix"])
 
     made = written(chunks.mapInArrow(matrices, "uid long, k long, matrix string").withColumn("block", F.expr(f"k div {BLOCK}")), "transfer-matrices")
+    # Matrices are small, but their products are work: Spark is not to bring them into few tasks.
+    made = made.repartition(int(giants.sparkSession.conf.get("spark.sql.shuffle.partitions")), "uid", "block")
     blocks = made.groupBy("uid", "block").applyInPandas(_products, "uid long, block long, matrix string")
     begins = blocks.groupBy("uid").applyInPandas(_block_states, "uid long, block long, begin string, end string")
     states = made.join(begins, ["uid", "block"]).groupBy("uid", "block").applyInPandas(_chunk_states, "uid long, k long, entry string, exit string")
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(model)
+        m = model_of(model)
         for batch in batches:
             out = []
             for behind, text, size, entry, exit_ in zip(*(batch.column(c).to_pylist() for c in ("behind", "text", "size", "entry", "exit"))):
                 ids = b""
-                for part in m.lattice.backtrace(behind, text, size, _state(entry), _state(exit_), m.packed_marked):
+                for part in m.lattice.backtrace(behind, text, size, _state(entry), _state(exit_), lambda t: m.packed_marked([t])[0]):
                     ids += part if isinstance(part, bytes) else np.array([i for p in part for i in m.ids_of(p)], dtype="<u4").tobytes()
                 out.append(ids)
             yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), batch.column("k"), pa.array(out, pa.binary())], names=["uid", "doc_id", "k", "ids"])
 
     parts = chunks.join(states, ["uid", "k"]).select("uid", "doc_id", "k", "behind", "text", "size", "entry", "exit").mapInArrow(traced, "uid long, doc_id long, k long, ids binary")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: F.hex(x["ids"]))
-    return parts.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.unhex(F.array_join(ordered, "")).alias("ids"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, own in zip(batch.column(0), batch.column(1)):
+                k, ids = own.values.flatten()
+                joined = b"".join(ids.take(pa.array(np.argsort(k.to_numpy()))).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()], pa.int64()), pa.array([joined], pa.binary())], names=["doc_id", "ids"])
+
+    return parts.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("k", "ids")).alias("parts")).select("doc_id", "parts").mapInArrow(whole, "doc_id long, ids binary")
 
 
 def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", giant: int = 32_768, chunk: int = 8_192, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -187,23 +245,23 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", giant: int = 32_
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(model)
+        m = model_of(model)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(m.packed, part.column(1).to_pylist())), pa.binary())], names=["doc_id", "ids"])
+            texts = batch.column(1).to_pylist()
+            for i, j in _slices(list(map(len, texts)), TOGETHER):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(m.packed(texts[i:j]), pa.binary())], names=["doc_id", "ids"])
 
     giants = rows.filter(F.length("text") > giant).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
-    return rows.filter(F.length("text") <= giant).mapInArrow(encoded, "doc_id long, ids binary").unionByName(_giant_ids(giants, model, chunk).select("doc_id", "ids"))
+    return rows.filter(F.length("text") <= giant).mapInArrow(encoded, "doc_id long, ids binary").unionByName(_giant_ids(giants, model, chunk))
 
 
 def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
     """doc_id and text from (doc_id, ids)."""
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(model)
+        m = model_of(model)
         for batch in batches:
-            texts = [m.sp.decode(np.frombuffer(ids, dtype="<u4").tolist()) for ids in batch.column(1).to_pylist()]
+            texts = list(map(m.text_of, batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(decoded, "doc_id long, text string")
@@ -213,10 +271,10 @@ def sentencepiece_digest(docs: DataFrame, model: str = "piece_bpe_32k.model") ->
     """doc_id, n_pieces, ids_sha256, and decoded_sha256 of the text that the ids decode to."""
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(model)
+        m = model_of(model)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            rows = [(len(ids) // 4, sha(ids), sha(m.sp.decode(np.frombuffer(ids, dtype="<u4").tolist()).encode())) for ids in batch.column(1).to_pylist()]
+            rows = [(len(ids) // 4, sha(ids), sha(m.text_of(ids).encode())) for ids in batch.column(1).to_pylist()]
             n, ids, text = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], names=["doc_id", "n_pieces", "ids_sha256", "decoded_sha256"])
 
