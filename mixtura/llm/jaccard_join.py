@@ -185,8 +185,8 @@ def _excess(left: tuple, right: tuple, i: np.ndarray, j: np.ndarray) -> tuple[np
     each = counts[i] * counts_r[j]
     at = 0
     while at < len(i):
-        # So many pairs at once as have half a million pairs of sets.
-        upto = at + max(1, int(np.searchsorted(np.cumsum(each[at:]), 1 << 19, "right")))
+        # So many pairs at once as have some thousands of pairs of sets.
+        upto = at + max(1, int(np.searchsorted(np.cumsum(each[at : at + (1 << 15)]), 1 << 15, "right")))
         a, b, n = i[at:upto], j[at:upto], each[at:upto]
         starts = np.cumsum(n) - n
         k = np.arange(n.sum()) - np.repeat(starts, n)
@@ -373,7 +373,7 @@ def _lists(short: int, row: int):
         for batch in batches:
             held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]))
             size += batch.num_rows
-            if size > 1 << 19:
+            if size > 1 << 18:
                 rows = np.concatenate(held, axis=1)
                 cut = np.flatnonzero((rows[0] != rows[0, -1]) | (rows[4] != rows[4, -1]))
                 cut = int(cut[-1]) + 1 if len(cut) else 0
@@ -479,19 +479,18 @@ def _answers(a: tuple, b: tuple) -> bool:
     common = overlap(own_a, own_b)
     if linked(common, len(own_a), len(own_b)):
         return True
-    of = lambda m, k: np.array(m[k], dtype=np.int64).view(np.uint64)
-    side = lambda own, members: [(len(own), 0, None), *((m["n"], len(m["added"]), m) for m in members if m["added"] or m["removed"])]
+    side = lambda own, members: [(len(own), 0, None, None), *((n, len(added), added, removed) for n, added, removed in members)]
     left, right = side(own_a, members_a), side(own_b, members_b)
     n, more = np.array([x[0] for x in right]), np.array([x[1] for x in right])
-    for size, added, m in left:
-        most = np.minimum(common + added + more, np.minimum(size, n))
+    for size, own_more, added, removed in left:
+        most = np.minimum(common + own_more + more, np.minimum(size, n))
         for j in np.flatnonzero(100 * most >= 75 * (size + n - most)):
             # From the leaders' overlap, by what each member adds to and leaves out of its leader.
-            x = own_a if m is None else np.union1d(np.setdiff1d(own_a, of(m, "removed"), assume_unique=True), of(m, "added"))
-            o = common if m is None else common - overlap(of(m, "removed"), own_b) + overlap(of(m, "added"), own_b)
-            other = right[j][2]
-            if other is not None:
-                o += overlap(of(other, "added"), x) - overlap(of(other, "removed"), x)
+            x = own_a if added is None else np.union1d(np.setdiff1d(own_a, removed, assume_unique=True), added)
+            o = common if added is None else common - overlap(removed, own_b) + overlap(added, own_b)
+            _, _, added_b, removed_b = right[j]
+            if added_b is not None:
+                o += overlap(added_b, x) - overlap(removed_b, x)
             if linked(o, size, int(n[j])):
                 return True
     return False
@@ -507,8 +506,20 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cache[cid] = shingles(text)
         return cache[cid]
 
+    def members(row: pa.ListScalar) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """Of the members that differ from their leader: size, shingles added, shingles left out."""
+        if not row.is_valid or not len(row):
+            return []
+        _, n, added, removed = row.values.flatten()
+        of = lambda x: x.values.to_numpy().view(np.uint64)
+        return [(k.as_py(), of(x), of(y)) for k, x, y in zip(n, added, removed) if len(x) or len(y)]
+
     for batch in batches:
-        out = [(a, b) for a, b, ta, ma, tb, mb in zip(*(c.to_pylist() for c in batch.columns)) if _answers((own(a, ta), ma), (own(b, tb), mb))]
+        out = []
+        for a, b, text_a, members_a, text_b, members_b in zip(*batch.columns):
+            a, b = a.as_py(), b.as_py()
+            if _answers((own(a, text_a.as_py()), members(members_a)), (own(b, text_b.as_py()), members(members_b))):
+                out.append((a, b))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
@@ -563,7 +574,7 @@ def _crossing_pairs(lists: DataFrame, labels: DataFrame, marks: DataFrame, whole
     return own.union(met).mapInArrow(_across(whole), "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", held_keys: int = 600_000, short: int = SHORT, row: int = ROW, dealt: int = DEALT, variants: int = VARIANTS) -> DataFrame:
+def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", held_keys: int = 400_000, short: int = SHORT, row: int = ROW, dealt: int = DEALT, variants: int = VARIANTS) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs``."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))

@@ -153,3 +153,18 @@ def test_marks_never_rule_out_a_link():
         assert sure[0] <= 7 * differ - len(a) - len(b)
         if jj.linked(jj.overlap(a, b), len(a), len(b)):
             assert sure[0] <= 0
+
+
+def test_numbering_does_not_follow_arrival(spark):
+    """Rows that reach a naming round in another order leave it with the same order and names."""
+    from mixtura.llm import exact_dedup as ed
+
+    rng = random.Random(7)
+    rows = [(rng.choice([None, i]), f"{i % 5}", 4, [rng.randrange(6) for _ in range(4)]) for i in range(60)]
+    outs = []
+    for seed in (1, 2, 3):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, sha string, blocks long, names array<long>").coalesce(1)
+        once = ed._name_round(df, ed._pairs_of, 1 << 20, ed.SLICES)
+        outs.append(once.select("task", "doc_id", "sha", "names").collect())
+    assert outs[0] == outs[1] == outs[2]

@@ -137,6 +137,21 @@ def test_schedule_sends_everything():
         assert [x[2] for x in spans][0] == 0 and spans[-1][3] == n and all(a[3] == b[2] for a, b in zip(spans, spans[1:]))
 
 
+def test_passages_have_places():
+    model = tox.Model({"vile": 3.0, "awful": 2.5}, 0.2, decay=2.0, scale=0.1)
+    text = "  A calm start, (Vile) and awful,  vile! words. Then " + "plain words " * 30 + "and 'awful' once"
+    (found,) = model.passages(text, 0.01)
+    assert text[found["start"] : found["end"]] == "Vile) and awful,  vile"
+    assert found["score"] == pytest.approx(8.3) and found["expectation"] == pytest.approx(0.1 * len(tox.tokens(text)) * np.exp(-2 * 8.3))
+    assert model.passages("", 0.01) == [] == model.passages("calm words", 0.01)
+
+
+def test_evidence_has_no_ceiling():
+    model = tox.Model({"vile": 3.0}, 0.2, decay=2.0, scale=0.1, weights=(-2.0, 0.5, 0.5, 0.1))
+    scores = model.probability([model.found("vile " * n) for n in (1, 10, 100, 1000)])
+    assert (np.diff(scores) > 0).all()
+
+
 def test_packing_hard_cases(docs, empty):
     assert pack(docs).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
     assert pack(empty).count() == 0
@@ -154,6 +169,16 @@ def test_scan_equals_the_library(spark, chunk):
     assert {r.doc_id: r.text for r in decode(got).collect()} == dict(rows)
 
 
+def test_words_take_the_librarys_pieces():
+    """Batches of words, with characters outside the vocabulary, runs of spaces and space marks."""
+    m = Model("piece_bpe_32k.model")
+    rng = random.Random(6)
+    texts = ["".join(rng.choices(["a", "e", "th", "ing", "Über", "日", "本", "𐍈", "\t", "\n", " ", "  ", "▁", ".", "12", "ß", "\u0301", "\ue000"], k=rng.randint(0, 40))) for _ in range(400)]
+    texts += ["x" * 300, "strange " * 50, "\x00", "▁", " ▁ ", " lead", "trail "]
+    assert [np.frombuffer(b, dtype="<u4").tolist() for b in m.packed(texts)] == [m.sp.encode(t) for t in texts]
+    assert [m.text_of(b) for b in m.packed(texts)] == [m.sp.decode(m.sp.encode(t)) for t in texts]
+
+
 def test_unigram_weights_and_associativity():
     """Any grouping of the products gives the weight of the best path, found by brute force."""
     rng = random.Random(4)

@@ -45,6 +45,19 @@ def test_base_pii_is_the_plain_reading(text):
         ("jоhn@exаmple.com in other letters", "email", "jоhn@exаmple.com"),
         ("host 10[.]1[.]0[.]1 up", "ip", "10[.]1[.]0[.]1"),
         ("host 10 dot 0 dot 0 dot 1", "ip", "10 dot 0 dot 0 dot 1"),
+        ("host ten, one dot two dot three dot four", "ip", "one dot two dot three dot four"),
+        ("a" * 70 + " at example dot com", "email", "a" * 70 + " at example dot com"),
+        ("to me at " + "b" * 80 + " dot com", "email", "me at " + "b" * 80 + " dot com"),
+        ("mail john at example.com now", "email", "john at example.com"),
+        ("mail jane.doe at example.museum now", "email", "jane.doe at example.museum"),
+        ("mail jane dot doe at example dot com now", "email", "jane dot doe at example dot com"),
+        ("mail jane [dot] doe [at] example [dot] com now", "email", "jane [dot] doe [at] example [dot] com"),
+        ("mail jane arroba ejemplo punto es now", "email", "jane arroba ejemplo punto es"),
+        ("ring +1 212 five five 5 01 nine nine", "phone", "+1 212 five five 5 01 nine nine"),
+        ("ring plus 44 twenty, plus 44 one two three 456 78", "phone", "plus 44 one two three 456 78"),
+        ("jᴏʜn@ⓗoһ。com", "email", "jᴏʜn@ⓗoһ。com"),
+        ("joցn@exaոple.ⅽoⅿ", "email", "joցn@exaոple.ⅽoⅿ"),
+        ("join\u200bed@exam\u200bple.com yes", "email", "join\u200bed@exam\u200bple.com"),
     ],
 )
 def test_disguises(text, kind, found):
@@ -54,7 +67,7 @@ def test_disguises(text, kind, found):
 
 
 def test_ordinary_text_is_left_alone():
-    for text in ("look at this. Then go", "un deux trois", "dot the i", "naïve – “quoted” text", "one two three four", "meet @ noon. Then go", "mail at noon. Be there"):
+    for text in ("look at this. Then go", "un deux trois", "dot the i", "naïve – “quoted” text", "one two three four", "meet @ noon. Then go", "mail at noon. Be there", "look at example.com", "we looked at the dot in the sky", "look at some point in time", "one plus one", "at one point in 2019, five of 10 came", "found it at one.two", "Œuvre ﬁne ½ straße"):
         assert pii.spans_of(text) == ([], []) and pii.mask(text) == text
 
 
@@ -62,6 +75,22 @@ def test_long_texts_take_linear_time():
     for text in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "@" * 100_000, "a@" * 100_000, "+1" + "(" * 100_000, "password" + " " * 100_000):
         pii.spans_of(text)
         secrets.base_spans(text)
+    for text in (" at " * 50_000, "a at b" * 50_000, "one " * 60_000, "dot a " * 50_000 + "at b dot c", "a dot " * 50_000 + "@", "[dot]" * 50_000, "1 dot " * 50_000, "one, " * 50_000, "x at a.b " * 30_000):
+        pii.spans_of(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "1", ".", "@", " at ", " dot ", "one ", "+", " ", "[.]", "(at)", "о", "\u200b", "com", "-", "plus 1"]), max_size=14))
+def test_offsets_hold_under_any_rewriting(parts):
+    """Each place of the normalised text maps back in order; what was not rewritten, to itself."""
+    text = "".join(parts)
+    n = pii.normalise(text)
+    last = 0
+    for i, c in enumerate(n.text):
+        s, e, changed = n.source(i, i + 1)
+        assert last <= s <= e <= len(text)
+        assert changed or text[s:e] == c
+        last = s
 
 
 def test_pii_hard_cases(docs, empty):
@@ -92,6 +121,43 @@ def test_random_tokens_are_told_from_names(spark):
     assert not got[2000] and not any(got[i] for i in range(200))
 
 
+def test_tokens_of_any_shape(spark):
+    """Dashes, underscores and dots within random strings, random letters without digits, digits far on."""
+    import random
+    import string
+
+    rng = random.Random(1)
+    of = lambda chars, n: "".join(rng.choices(chars, k=n))
+    letters, full = string.ascii_letters, string.ascii_letters + string.digits + "-_"
+    words = "get element by tag name and class number of pages from some document configuration parser file the reads value list index open close read write error".split()
+    shapes = ("_".join, "-".join, ".".join, "".join, lambda w: w[0] + "".join(x.title() for x in w[1:]), lambda w: "".join(x.title() for x in w), lambda w: "_".join(w).upper())
+    said = lambda: " ".join(rng.choice(shapes)(rng.choices(words, k=rng.randint(1, 4))) for _ in range(30))
+    rows = [(i, f"{said()} api_key={of(full, 30)} or token: {of(letters, 40)}") for i in range(300)]
+    fresh = [f"sk-{of(full, 30)}", of(letters, 90) + "7", of(letters, 48), f"x{of(full, 40)}y", f"{of(letters, 24)}.{of(letters, 40)}.{of(letters, 30)}"]
+    names = ["getElementsByTagNameAndClass", "number-of-pages-from-some-document", "configuration_of_some_parser_file", "the.parser.reads.some.number.of.pages"]
+    rows += [(1000 + i, f"see {t} there") for i, t in enumerate(fresh)] + [(2000 + i, f"see {t} there.") for i, t in enumerate(names)]
+    got = {r.doc_id: [(x.start, x.end) for x in r.secret_spans if x.kind == "random"] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in enumerate(fresh):
+        assert got[1000 + i] == [(4, 4 + len(t))], t
+    for i, t in enumerate(names):
+        assert got[2000 + i] == [], t
+
+
+BASE = (
+    ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 8),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16),
+    ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 32),
+)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["password", "Token", "api_key", "APIKEY", "=", ": ", " ", '"', "abc", "AKIA", "A1B2C3D4", "0123456789abcdef", "x", "ſecret", "\n", ".", "é"]), max_size=16))
+def test_base_secrets_are_the_plain_reading(parts):
+    text = "".join(parts)
+    want = sorted((m.start(), secrets.KINDS.index(k), m.end()) for k, p, ok in BASE for m in p.finditer(text) if ok(m))
+    assert [(s, secrets.KINDS.index(k), e) for k, s, e in secrets.base_spans(text)] == want
+
+
 def test_secrets_hard_cases(docs, empty):
     assert secrets.secrets_digest(docs).count() == docs.count()
     assert secrets.secrets_digest(empty).count() == 0
@@ -117,6 +183,18 @@ def test_pages_edge_cases(spark):
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     for broken in ("<", "<a", "<div class='x", "</p></p>", "<!-- never closed", "<script>x", "<p" * 20_000, "<div>" * 900 + "x"):
         html_tree.text_at(html_tree.parse(broken), [])
+    deep = "<div>" * 100_000 + "text" + "</div>" * 100_000
+    wide = "<html><body>" + "".join(f"<p>a{i}</p><ul><li>b{i}</ul>" for i in range(5_000)) + "</body></html>"
+    many = "<html><body>" + "".join(f"<div class='c{'abcdefghij'[i % 10]}{chr(97 + i // 10 % 26)}{chr(97 + i // 260)}'>t{i}</div>" for i in range(3_000)) + "</body></html>"
+    hidden = "<html><body>" + "<div>" * 500 + "<nav>menu <b>x</b></nav>text" + "</div>" * 500
+    rows = [(i, f"http://h{i // 2}/{i}", page) for i, page in enumerate([deep, deep.replace("text", "other"), wide, wide.replace("a", "c"), many, many.replace("class='c", "class='d"), hidden, ""])]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "text" and got[1] == "other" and got[6] == "text"
+    assert got[2].split() == [x for i in range(5_000) for x in (f"a{i}", f"b{i}")] and got[4].split() == [f"t{i}" for i in range(3_000)]
+    wrapper = html_tree.wrapper_of(html_tree.parse(many))
+    for k in range(4):
+        wrapper = html_tree.merged(wrapper, html_tree.wrapper_of(html_tree.parse(many.replace("class='c", f"class='{'defg'[k]}"))))
+    assert len(wrapper["c"][0]["c"][0]["c"]) <= html_tree.WIDE + 1
     cut = PAGE.format(i=1, open="<article>", close="</article>").split("</article>")[0]
     assert html_tree.text_at(html_tree.parse(cut), ["html", "body", "article"]) == "Title 1 First boldword & more line Second para 1"
 
@@ -169,6 +247,41 @@ def test_thresholds_control_the_risk(spark):
     assert all(kept[i] for i, *_ in good) and not any(kept[i] for i, *_ in bad) and all(kept[i] for i, *_ in rare)
 
 
+def test_steps_are_chosen_as_defined(spark):
+    """Steps, their tests and verdicts, row by row, for strata of different sizes and rates."""
+    import random
+    from math import comb
+
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(900):
+        lang = rng.choice(["a", "a", "a", "b", None])
+        good = rng.random() < 0.7
+        n = rng.randint(20, 60) if rng.random() < 0.995 else 15
+        words = [f"{rng.choice(['ab', 'cde', 'longerword'])}{rng.randrange(900)}" + ("#" if rng.random() < (0.02 if good else 0.3) else "") for _ in range(n)]
+        rows.append((i, lang, "\n".join(" ".join(words[k : k + 6]) for k in range(0, n, 6)) + ("\nsame line\nsame line" if rng.random() < 0.03 else "")))
+        labels += [(i, int(good))] * rng.randint(0, 2)
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, lang string, text string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    first = {}
+    for i, _, text in rows:
+        n, chars, symbols, dup, repeat = counts(text)
+        lines = len([x for x in text.split("\n") if x.strip()])
+        rate = {"symbol_rate": symbols / n, "dup_line_rate": dup / lines, "repeat_rate": repeat / n, "long_word": chars / n, "short_word": -chars / n}
+        over = [s for s, (rule, cutoff) in enumerate(quality_rules.STEPS, 1) if rate[rule] > cutoff]
+        first[i] = 0 if n < 20 or 100 * repeat > 30 * n else min(over, default=len(quality_rules.STEPS) + 1)
+    far = {}
+    for stratum in ("a", "b", None):
+        held = [first[i] for i, lang, _ in rows if lang == stratum and (i, 1) in labels]
+        for s in range(1, len(quality_rules.STEPS) + 1):
+            k, n = sum(x <= s for x in held), len(held)
+            if sum(comb(n, j) * 0.05**j * 0.95 ** (n - j) for j in range(k + 1)) > 0.05 / 3:
+                break
+            far[stratum] = s
+    assert "a" in far
+    for i, lang, _ in rows:
+        assert got[i].first_step == first[i] and got[i].kept == (first[i] > far.get(lang, 0))
+
+
 def test_rules_hard_cases(docs, labels, empty):
     assert quality_rules.quality_rules(docs, labels).count() == docs.count()
     assert quality_rules.quality_rules(empty, labels).count() == 0
