@@ -1,18 +1,15 @@
-"""Grids of hyper-parameters and restarts, fitted as Spark tasks; ensemble weights and densities."""
+"""Grids of hyper-parameters and restarts, fitted together; ensemble weights, densities, best models."""
 
 from __future__ import annotations
 
-import base64
-import pickle
-from collections.abc import Iterator
+import json
 from itertools import product
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mixtura.operators.vbgmm import Params, Posterior, fit_local
+from mixtura.operators.vbgmm import Params, Posterior, fit_many, predict
 
 
 def expand(spark: SparkSession, grid: dict[str, list]) -> DataFrame:
@@ -22,32 +19,15 @@ def expand(spark: SparkSession, grid: dict[str, list]) -> DataFrame:
     return spark.createDataFrame([(i, *row) for i, row in enumerate(product(*values))], ["paramid", *keys])
 
 
-def fit_grid(df: DataFrame, grid: dict[str, list], restarts: int, x: str = "x", most: int = 50_000, seed: int = 0) -> DataFrame:
-    """(paramid, restart, score, model) for each point of the grid and restart, one fit a row. The
-    rows to fit go to every executor, so at most ``most`` are allowed; beyond, use ``vbgmm.fit``."""
+def fit_grid(df: DataFrame, grid: dict[str, list], restarts: int, x: str = "x", seed: int = 0) -> DataFrame:
+    """(paramid, restart, score, model) for each point of the grid and restart. All are fitted together
+    by ``fit_many``, which is distributed over the rows; a fit that failed has no model and score NaN."""
     spark = df.sparkSession
-    if df.count() > most:
-        raise ValueError(f"more than {most} rows: fit them with vbgmm.fit, which is distributed over rows")
-    data = spark.sparkContext.broadcast(np.array([r[0] for r in df.select(x).collect()]))
     points = expand(spark, grid)
-    # The largest models first, each in a partition of its own, so that short ones fill the gaps.
-    jobs = points.crossJoin(spark.range(restarts).withColumnRenamed("id", "restart"))  # the grid, in full
-    jobs = jobs.repartition(max(1, points.count() * restarts), "paramid", "restart") if "k" not in grid else jobs.repartitionByRange(max(1, points.count() * restarts), F.desc("k"), "paramid", "restart")
-    keys = sorted(grid)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.to_dict("records"):
-                params = Params(**{k: (int(r[k]) if k == "k" else r[k]) for k in keys}, seed=seed + 1000 * int(r["restart"]))
-                try:
-                    post = fit_local(data.value, params)
-                    out.append((r["paramid"], r["restart"], float(post.history[-1]), base64.b64encode(pickle.dumps(post)).decode()))
-                except Exception:  # noqa: BLE001  a failed fit has no score
-                    out.append((r["paramid"], r["restart"], float("nan"), None))
-            yield pd.DataFrame(out, columns=["paramid", "restart", "score", "model"])
-
-    return jobs.mapInPandas(run, "paramid long, restart long, score double, model string").join(points, "paramid")
+    jobs = [(r.asDict(), i) for r in points.collect() for i in range(restarts)]  # the grid
+    params = [Params(**{k: v for k, v in r.items() if k != "paramid"}, seed=seed + 1000 * i) for r, i in jobs]
+    rows = [(r["paramid"], i, float(p.history[-1]) if p else float("nan"), dumped_model(p) if p else None) for (r, i), p in zip(jobs, fit_many(df, params, x))]
+    return spark.createDataFrame(rows, "paramid long, restart long, score double, model string").join(points, "paramid")
 
 
 def best_per_param(scores: DataFrame, key: str = "paramid", score: str = "score") -> DataFrame:
@@ -82,9 +62,31 @@ def score_table(scores: DataFrame) -> DataFrame:
     return best.drop("model", "restart").withColumnsRenamed({"score": "selscores", "weight": "ensweights"}).withColumn("ensscores", F.col("selscores"))
 
 
+def dumped_model(post: Posterior) -> str:
+    """A fit as JSON: numbers and lists of numbers only."""
+    plain = lambda v: v.tolist() if isinstance(v, (np.ndarray, np.generic)) else v
+    fields = {k: plain(v) for k, v in post.__dict__.items() if k != "params"}
+    return json.dumps({"params": {k: plain(v) for k, v in post.params.__dict__.items()}, **fields})
+
+
 def load_model(text: str) -> Posterior:
-    """A model of one's own fit; never call it on data from elsewhere."""
-    return pickle.loads(base64.b64decode(text))
+    fields = json.loads(text)
+    params = fields.pop("params")
+    params["h"] = np.array(params["h"]) if isinstance(params["h"], list) else params["h"]
+    return Posterior(Params(**params), **{k: np.array(v) if isinstance(v, list) and k != "history" else v for k, v in fields.items()})
+
+
+def best_model(scores: DataFrame) -> DataFrame:
+    """The one row with the best score, of equals the first parameter set and restart."""
+    ok = scores.filter(F.col("score").isNotNull() & ~F.isnan("score"))
+    row = F.struct(*(F.col(c) for c in scores.columns))
+    return ok.agg(F.max_by(row, F.struct("score", -F.col("paramid"), -F.col("restart"))).alias("m")).select("m.*")
+
+
+def predict_best(df: DataFrame, scores: DataFrame, x: str = "x") -> DataFrame:
+    """``df`` with q, log_density and component under the best model."""
+    (best,) = best_model(scores).select("model").collect()
+    return predict(df, load_model(best.model), x)
 
 
 def cv_summary(scores: DataFrame, params: list[str], score: str = "score") -> DataFrame:

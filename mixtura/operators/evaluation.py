@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -55,12 +55,14 @@ def accuracy(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
 
 
 def evaluate(df: DataFrame, method: str, p: str = "p", y: str = "y") -> DataFrame:
-    """A row for the metric store: method, rocx, rocy, auc, acc, shannon, pval."""
-    points = roc_points(df, p, y).agg(F.sort_array(F.collect_list(F.struct(p, "fpr", "tpr"))).alias("r"))
-    return (
-        points.select(F.lit(method).alias("mthd"), F.col("r.fpr").alias("rocx"), F.col("r.tpr").alias("rocy"))
-        .crossJoin(auc_strict(df, p, y)).crossJoin(accuracy(df, p, y).select(F.col("accuracy").alias("acc"), F.col("p_value").alias("pval"))).crossJoin(information(df, p, y))
-    )  # fmt: skip  each side is one row
+    """A row for the metric store: mthd, auc, acc, pval, shannon. Its curve is ``roc_table``."""
+    one = auc_strict(df, p, y).crossJoin(accuracy(df, p, y).select(F.col("accuracy").alias("acc"), F.col("p_value").alias("pval"))).crossJoin(information(df, p, y))  # one row each
+    return one.select(F.lit(method).alias("mthd"), "auc", "acc", "pval", "shannon")
+
+
+def roc_table(df: DataFrame, method: str, p: str = "p", y: str = "y") -> DataFrame:
+    """(mthd, p, rocx, rocy): a row for each threshold."""
+    return roc_points(df, p, y).select(F.lit(method).alias("mthd"), F.col(p).alias("p"), F.col("fpr").alias("rocx"), F.col("tpr").alias("rocy"))
 
 
 def majority(df: DataFrame, y: str = "y") -> DataFrame:
@@ -75,8 +77,13 @@ def loglik(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
 
 
 def folds(df: DataFrame, key: str, label: str, k: int) -> DataFrame:
-    """``fold`` for each row, stratified: within a class, rows are dealt by a hash of their key."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(key, label), F.lit(k)).cast("int"))
+    """``fold`` for each row, stratified: the rows of a class are dealt in turn, in the order of a hash
+    of their key, so folds of a class differ by one row at most. Ranks come from running counts."""
+    rows = df.withColumn("_h", F.xxhash64(key, label))
+    r = running(rows.select(label, "_h"), [label], "_h", {"_m": F.lit(1)}).select(label, "_h", "_m_before")
+    tied = Window.partitionBy(label, "_h").orderBy(key)
+    at = F.col("_m_before") + F.row_number().over(tied) - 1
+    return rows.join(r, [label, "_h"]).withColumn("fold", F.pmod(at, F.lit(k)).cast("int")).select(*df.columns, "fold")
 
 
 def store_legend(store: DataFrame) -> DataFrame:

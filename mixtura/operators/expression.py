@@ -43,13 +43,49 @@ class ExpressionSet:
         wide = self.exprs.groupBy("sample_id").agg(*(F.max(F.when(F.col("feature_id") == f, F.col("v"))).alias(f"f{f}") for f in features))
         return wide.join(self.pdata.select("sample_id", *labels), "sample_id")
 
-    def save(self, base: str) -> None:
-        self.exprs.withColumn("v", F.pow(F.lit(2.0), "v")).write.parquet(f"{base}/exprs")
+    def save(self, base: str, power: bool = True) -> None:
+        values = self.exprs.withColumn("v", F.pow(F.lit(2.0), "v")) if power else self.exprs
+        values.write.parquet(f"{base}/exprs")
         self.fdata.write.parquet(f"{base}/fdata")
         self.pdata.write.parquet(f"{base}/pdata")
 
 
-def load(spark: SparkSession, base: str) -> ExpressionSet:
-    """Values are kept as log2."""
+def load(spark: SparkSession, base: str, log: bool = True) -> ExpressionSet:
+    """Values are kept as log2; with ``log=False`` as they are stored."""
     read = lambda n: spark.read.parquet(f"{base}/{n}")
-    return ExpressionSet(read("exprs").withColumn("v", F.log2("v")), read("fdata"), read("pdata")).checked()
+    values = read("exprs")
+    return ExpressionSet(values.withColumn("v", F.log2("v")) if log else values, read("fdata"), read("pdata")).checked()
+
+
+#: Endings of the three text files of a set.
+DATA, FEATURES, SAMPLES = "_AMP_data.csv", "_features.csv", "_pheno.csv"
+
+
+def load_text(spark: SparkSession, base: str, log: bool = True, sep: str = "\t") -> ExpressionSet:
+    """A set from its three text files. The first column of each holds the keys; where the header lacks
+    its name, the names stand one place further left. Values are a feature a line, a sample a column."""
+
+    def table(ending: str) -> tuple[list[str], DataFrame]:
+        lines = spark.read.text(base + ending)
+        names = lines.first().value.split(sep)
+        parts = lines.filter(F.col("value") != lines.first().value).select(F.split("value", sep, -1).alias("p"))
+        width = parts.select(F.size("p")).first()
+        names = names[1:] if width and width[0] == len(names) else names
+        return names, parts
+
+    names, parts = table(DATA)
+    cells = F.explode(F.array(*(F.struct(F.lit(n).alias("sample_id"), F.expr(f"try_cast(p[{i}] AS double)").alias("v")) for i, n in enumerate(names, 1))))
+    values = parts.select(F.col("p")[0].alias("feature_id"), cells.alias("c")).select("feature_id", "c.sample_id", F.col("c.v").alias("v"))
+    sides = []
+    for ending, key in ((FEATURES, "feature_id"), (SAMPLES, "sample_id")):
+        names, parts = table(ending)
+        sides.append(parts.select(F.col("p")[0].alias(key), *(F.col("p")[i].alias(n) for i, n in enumerate(names, 1))))
+    return ExpressionSet(values.withColumn("v", F.log2("v")) if log else values, *sides).checked()
+
+
+def save_text(e: ExpressionSet, base: str, samples: list[str], power: bool = True, sep: str = "\t") -> None:
+    """Folders with the three tables as text with full headers; ``samples`` gives the order of the columns."""
+    values = e.exprs.withColumn("v", F.pow(F.lit(2.0), "v")) if power else e.exprs
+    wide = values.groupBy("feature_id").agg(*(F.max(F.when(F.col("sample_id") == s, F.col("v"))).alias(s) for s in samples))
+    for df, ending in ((wide, DATA), (e.fdata, FEATURES), (e.pdata, SAMPLES)):
+        df.write.csv(base + ending, header=True, sep=sep)

@@ -21,6 +21,13 @@ def mapped_value(metric: Column, v: Column) -> Column:
     return F.when(metric.endswith("logodds"), v - least).when(metric.endswith("McNemar"), -safe_log(v)).otherwise(v)
 
 
+def tree_importance(df: DataFrame, v: str = "v", name: str = "v") -> DataFrame:
+    """Importances of trees by their logarithm, above the least one."""
+    logs = df.withColumn("_l", safe_log(v))
+    least = F.broadcast(logs.agg(F.min("_l").alias("_m")))  # one row
+    return logs.crossJoin(least).withColumn(name, F.col("_l") - F.col("_m")).drop("_l", "_m")
+
+
 def shared_rank(long: DataFrame) -> DataFrame:
     """(feature, share): each metric's share of its total, averaged over metrics."""
     shares = long.withColumn("share", F.col("v") / F.sum("v").over(Window.partitionBy("metric")))
@@ -34,6 +41,29 @@ def rank_positions(long: DataFrame, positions: int = 5) -> DataFrame:
     return placed.groupBy("feature").agg(*(F.sum((F.col("pos") == i).cast("long")).alias(f"pos{i}") for i in range(1, positions + 1)))
 
 
+def rank_pies(positions: DataFrame) -> DataFrame:
+    """(position, feature, n): the counts that are not zero, as the pieces of one pie for each position."""
+    names = [c for c in positions.columns if c.startswith("pos")]
+    cells = F.explode(F.array(*(F.struct(F.lit(int(c[3:])).alias("position"), F.col("feature"), F.col(c).alias("n")) for c in names)))
+    return positions.select(cells.alias("x")).select("x.*").filter("n > 0")
+
+
+def top(shares: DataFrame, k: int = 20, by: str = "share") -> DataFrame:
+    """The k features with the largest share, the first of equals by name."""
+    return shares.orderBy(F.desc(by), "feature").limit(k)
+
+
+def outer_effects(tables: dict[str, DataFrame]) -> DataFrame:
+    """(feature, and for each model its effect and sig): effect tables aligned by feature; what a model
+    has not tested is null, and counts as not significant."""
+    long = None
+    for model, t in tables.items():
+        one = t.select("feature", F.lit(model).alias("metric"), F.col("effect").alias("v"), "sig")
+        long = one if long is None else long.unionByName(one)
+    pick = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
+    return long.groupBy("feature").agg(*(x for m in tables for x in (pick(m, "v").alias(m), F.coalesce(pick(m, "sig"), F.lit(False)).alias(f"{m}_sig"))))
+
+
 def top_union(long: DataFrame, k: int) -> DataFrame:
     """(feature, first): the union of each model's top k, with the place where it is seen first."""
     place = F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("v"), "feature"))

@@ -98,6 +98,13 @@ def kmeans_criteria(df: DataFrame, centers: np.ndarray, x: str = "x") -> DataFra
     return out.select("llh", (F.col("llh") - dbl(p)).alias("aic"), (F.col("llh") - dbl(0.5 * p) * F.log(F.col("rows"))).alias("bic"), "sumdist")
 
 
+def silhouette(df: DataFrame, centers: np.ndarray, x: str = "x") -> DataFrame:
+    """One row: the mean of 1 - a / b, with a and b a row's distances to the nearest centre and the next."""
+    d = F.array_sort(F.array(*(F.sqrt(sqdist(x, literal(c))) for c in centers)))
+    near, far = F.get(d, F.lit(0)), F.get(d, F.lit(1))
+    return df.agg(F.avg(F.when(far > 0, 1 - near / far).otherwise(dbl(0))).alias("silhouette"))
+
+
 def calinski_harabasz(df: DataFrame, label: str, x: str = "x") -> DataFrame:
     """One row: ch, from per-cluster sums."""
     long = df.select(F.col(label).alias("k"), F.posexplode(x).alias("dim", "v"))
@@ -108,7 +115,8 @@ def calinski_harabasz(df: DataFrame, label: str, x: str = "x") -> DataFrame:
 
 
 def kmeans_sweep(df: DataFrame, ks: list[int], repeats: int, x: str = "x", seed: int = 1, max_iter: int = 20) -> DataFrame:
-    """(k, seed, llh, aic, bic, sumdist) for fits of each size; the rows are cached over the sweep."""
+    """(k, seed, llh, aic, bic, sumdist, silhouette, ch) for fits of each size; the rows are cached over
+    the sweep. The silhouette is the simplified one, by distances to centres; null for one centre."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -117,10 +125,12 @@ def kmeans_sweep(df: DataFrame, ks: list[int], repeats: int, x: str = "x", seed:
     for k in ks:
         for r in range(repeats):
             model = KMeans(k=k, seed=seed + r, maxIter=max_iter).fit(data)
-            one = kmeans_criteria(data, np.array(model.clusterCenters()), x).first()
-            rows.append((k, seed + r, *map(float, one)))
+            centers = np.array(model.clusterCenters())
+            one = kmeans_criteria(data, centers, x).first()
+            rest = (None, None) if len(centers) < 2 else (silhouette(data, centers, x).first()[0], calinski_harabasz(data.withColumn("_at", nearest_center(x, centers)[1]), "_at", x).first()[0])
+            rows.append((k, seed + r, *map(float, one), *rest))
     data.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, seed int, llh double, aic double, bic double, sumdist double")
+    return df.sparkSession.createDataFrame(rows, "k int, seed int, llh double, aic double, bic double, sumdist double, silhouette double, ch double")
 
 
 def best_models(sweep: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from mixtura.functions import special
 from mixtura.functions.vec import dbl
@@ -110,19 +111,47 @@ def residuals(long: DataFrame, feature: str = "feature", group: str = "grp", val
     return long.join(means, [feature, group]).withColumn("residual", F.col(value) - F.col("_m")).drop("_m")
 
 
-def shapiro(long: DataFrame, feature: str = "feature", value: str = "value", most: int = 5000) -> DataFrame:
-    """(feature, w, p_value). The test is defined for up to ``most`` values; of more, those with the
-    least hash of their value are tested."""
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    sizes = long.groupBy(feature).agg(F.count("*").alias("_n"))
-    kept = long.join(sizes, feature).filter(F.pmod(F.xxhash64(feature, value), F.lit(1 << 20)) < F.lit(float(most) * (1 << 20)) / F.col("_n"))
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        w, p = special.shapiro_wilk(g[value].to_numpy()) if len(g) >= 12 and g[value].nunique() > 1 else (None, None)
-        return pd.DataFrame({feature: [g[feature].iloc[0]], "w": [w], "p_value": [p]})
-
-    return kept.select(feature, value).groupBy(feature).applyInPandas(one, StructType([StructField(feature, StringType()), StructField("w", DoubleType()), StructField("p_value", DoubleType())]))
+@F.pandas_udf(StructType([StructField("m", DoubleType()), StructField("mm", DoubleType())]))
+def _scores(before: pd.Series, ties: pd.Series, n: pd.Series) -> pd.DataFrame:
+    """Sums of the normal scores, and of their squares, of the ranks before + 1 to before + ties."""
+    out = []
+    for b, t, size in zip(before, ties, n):
+        m = mm = 0.0
+        for i in range(int(b), int(b + t), 1 << 16):
+            z = special.norm_ppf_array((np.arange(i + 1, min(i + (1 << 16), int(b + t)) + 1) - 0.375) / (size + 0.25))
+            m, mm = m + z.sum(), mm + (z * z).sum()
+        out.append((m, mm))
+    return pd.DataFrame(out, columns=["m", "mm"])
+
+
+@F.pandas_udf(StructType([StructField("w", DoubleType()), StructField("p_value", DoubleType())]))
+def _royston(n: pd.Series, mm: pd.Series, mx: pd.Series, x1: pd.Series, x2: pd.Series, y2: pd.Series, y1: pd.Series, ss: pd.Series) -> pd.DataFrame:
+    rows = zip(n, mm, mx, x1, x2, y2, y1, ss)
+    return pd.DataFrame([special.shapiro_from_sums(*r) if r[0] >= 12 and r[3] < r[6] else (None, None) for r in rows], columns=["w", "p_value"], dtype=float)
+
+
+def shapiro(long: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
+    """(feature, w, p_value) over all values of each feature, null below 12 of them or where all are
+    equal. W comes from running counts over distinct values; beyond 5000 values Royston's
+    approximation of the p-value is carried on."""
+    r = running(long.select(feature, value), [feature], value, {"m": F.lit(1)})
+    r = r.withColumn("s", _scores("m_before", "m", "m_all"))
+    held = lambda k: F.max(F.when((F.col("m_before") < k) & (k <= F.col("m_before") + F.col("m")), F.col(value)))
+    n = F.col("m_all")
+    per = r.groupBy(feature).agg(
+        F.max("m_all").alias("n"), F.sum("s.mm").alias("mm"), F.sum(F.col("s.m") * F.col(value)).alias("mx"),
+        held(F.lit(1)).alias("x1"), held(F.lit(2)).alias("x2"), held(n - 1).alias("y2"), held(n).alias("y1"))
+    spread = long.groupBy(feature).agg((F.var_pop(value) * F.count("*")).alias("ss"))
+    told = per.join(spread, feature).withColumn("t", _royston(*(F.col(c).cast("double") for c in ("n", "mm", "mx", "x1", "x2", "y2", "y1", "ss"))))
+    return told.select(feature, "t.w", "t.p_value")
+
+
+def assumptions(long: DataFrame, feature: str = "feature", group: str = "grp", value: str = "value", alpha: float = 0.05) -> DataFrame:
+    """(feature, shapiro_p, levene_p, normal, equal_variance): what an analysis of variance assumes,
+    by Shapiro-Wilk on its residuals and by Brown-Forsythe."""
+    normal = shapiro(residuals(long, feature, group, value), feature, "residual").select(feature, F.col("p_value").alias("shapiro_p"))
+    spread = brown_forsythe(long, feature, group, value).select(feature, f_sf("f", (F.col("groups") - 1).cast("double"), (F.col("n") - F.col("groups")).cast("double")).alias("levene_p"))
+    return normal.join(spread, feature, "full").select(feature, "shapiro_p", "levene_p", (F.col("shapiro_p") > alpha).alias("normal"), (F.col("levene_p") > alpha).alias("equal_variance"))
 
 
 def eligible(df: DataFrame, skip: set[str]) -> list[str]:

@@ -9,7 +9,7 @@ update in between.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,10 @@ from mixtura.functions.special import digamma, digamma_multi, gammaln, gammaln_m
 from mixtura.operators.linear import _matrix, summed
 
 
+#: What a fit can fail with.
+NUMERIC = (np.linalg.LinAlgError, FloatingPointError, ValueError)
+
+
 @dataclass(frozen=True)
 class Params:
     """Hyper-parameters of one fit."""
@@ -206,7 +210,12 @@ def start(params: Params, low: np.ndarray, high: np.ndarray) -> Posterior:
     h = np.asarray(params.h, dtype=float)
     h0 = h if h.ndim == 2 else np.diag(np.full(d, h) / r2)
     # Degrees of freedom are halved: the Wishart here has the density |L|^(a - (d+1)/2) exp(-tr(b L)).
-    return Posterior(params, d, (low + high) / 2, np.diag(params.kappa / r2), (params.g + d - 1) / 2, h0, (params.alpha + d - 1) / 2)
+    # A matrix H comes with its own degrees of freedom. Diagonal covariances are Gamma distributed, and
+    # their H is halved too, so that the moments are those of the full case.
+    more = 0 if h.ndim == 2 else d - 1
+    if h.ndim != 2 and params.covtyp == "diag":
+        h0 = h0 / 2
+    return Posterior(params, d, (low + high) / 2, np.diag(params.kappa / r2), (params.g + more) / 2, h0, (params.alpha + more) / 2)
 
 
 def seeded(post: Posterior, sample: np.ndarray, total: float) -> None:
@@ -272,32 +281,69 @@ def fit_local(x: np.ndarray, params: Params) -> Posterior:
             post = start(Params(**{**params.__dict__, "seed": params.seed + 7919 * r}), x.min(0), x.max(0))
             seeded(post, x, len(x))
             return _iterate(post, lambda p: _sums(p, x))
-        except (np.linalg.LinAlgError, FloatingPointError, ValueError) as e:
+        except NUMERIC as e:
             error = e
     raise error or RuntimeError("no restart allowed")
 
 
-def fit(df: DataFrame, params: Params, x: str = "x", sample: int = 20_000) -> Posterior:
-    """A fit on all rows of ``df``: one Spark job of partial sums for each round. Only the start values
-    come from a bounded sample."""
+def fit_many(df: DataFrame, grid: list[Params], x: str = "x", sample: int = 20_000) -> list[Posterior | None]:
+    """A fit on all rows of ``df`` for each point of ``grid``, together: one Spark job of partial sums
+    for each round, whatever the number of points. Only the start values come from a bounded sample.
+    A fit that fails numerically starts again with another seed, ``restarts`` times, and is then None."""
     data = df.select(x)
     d = data.select(F.size(x)).first()[0]
     bounds = data.select(F.posexplode(x).alias("i", "v")).groupBy("i").agg(F.min("v").alias("low"), F.max("v").alias("high")).orderBy("i").collect()
     n = data.count()
-    some = np.array([r[0] for r in (data if n <= sample else data.sample(sample / n, seed=params.seed)).collect()])
-    post = start(params, np.array([b.low for b in bounds]), np.array([b.high for b in bounds]))
-    seeded(post, some, n)
-    size = 1 + params.k * (1 + d + d * d)
-
-    def sums(p: Posterior) -> np.ndarray:
-        state = df.sparkSession.sparkContext.broadcast(p)  # K (1 + d + d^2) numbers
+    some = np.array([r[0] for r in (data if n <= sample else data.sample(sample / n, seed=grid[0].seed)).collect()])
+    low, high = np.array([b.low for b in bounds]), np.array([b.high for b in bounds])
+
+    def begun(params: Params, tries: int) -> tuple[Posterior, Convergence, int] | None:
+        for t in range(tries, params.restarts):
+            try:
+                post = start(Params(**{**params.__dict__, "seed": params.seed + 7919 * t}), low, high)
+                seeded(post, some, n)
+                return post, Convergence(params.tolerance, params.patience), t
+            except NUMERIC:
+                continue
+        return None
+
+    state = [begun(p, 0) for p in grid]
+    live = {i for i, s in enumerate(state) if s}
+    while live:
+        order = sorted(live)
+        sizes = [1 + state[i][0].params.k * (1 + d + d * d) for i in order]
+        known = df.sparkSession.sparkContext.broadcast([state[i][0] for i in order])  # parameters of the grid
 
         def parts(batch: pa.RecordBatch) -> np.ndarray:
-            return _sums(state.value, _matrix(batch.column(0)))
+            rows = _matrix(batch.column(0))
+            return np.concatenate([_sums(p, rows) for p in known.value])  # noqa: B023
+
+        v = np.split(summed(data, parts, sum(sizes)), np.cumsum(sizes)[:-1])
+        for i, own in zip(order, v):
+            post, done, tries = state[i]
+            k = post.params.k
+            try:
+                score = post.bound(own[0])
+                if not np.isfinite(score):
+                    raise FloatingPointError("the bound is not finite")
+                post.history.append(score)
+                if done(score) or len(post.history) >= post.params.max_iter:
+                    live.discard(i)
+                else:
+                    post.update(own[1 : 1 + k], own[1 + k : 1 + k + k * d].reshape(k, d), own[1 + k + k * d :].reshape(k, d, d))
+            except NUMERIC:
+                state[i] = begun(grid[i], tries + 1)
+                if not state[i]:
+                    live.discard(i)
+    return [s[0] if s else None for s in state]
 
-        return summed(data, parts, size)
 
-    return _iterate(post, sums)
+def fit(df: DataFrame, params: Params, x: str = "x", sample: int = 20_000) -> Posterior:
+    """A fit on all rows of ``df``: one Spark job of partial sums for each round."""
+    (post,) = fit_many(df, [params], x, sample)
+    if post is None:
+        raise np.linalg.LinAlgError("no start led to a fit")
+    return post
 
 
 def predict(df: DataFrame, post: Posterior, x: str = "x") -> DataFrame:
@@ -313,6 +359,23 @@ def predict(df: DataFrame, post: Posterior, x: str = "x") -> DataFrame:
     return df.withColumn("_p", run(F.col(x))).select("*", "_p.q", "_p.log_density", "_p.component").drop("_p")
 
 
+def remapped(post: Posterior, order: list[int]) -> Posterior:
+    """The posterior with its components (0-based) in another order."""
+    if sorted(order) != list(range(post.params.k)):
+        raise ValueError("not an order of all components")
+    own = list(order) if post.slots == post.params.k else slice(None)
+    return replace(post, delta=post.delta[order], mean=post.mean[order], mean_cov=post.mean_cov[order], a=post.a[own], b=post.b[own])
+
+
+def report(post: Posterior) -> dict[str, str]:
+    """Texts on a fit: its settings and state, and the expected parameters of each component."""
+    p, weight = post.params, post.delta / post.delta.sum()
+    settings = f"{p.k} components, {p.covtyp} covariances, {p.covmode}, {post.d} dimensions"
+    state = f"{len(post.history)} rounds, bound {post.history[-1]:.6g}" if post.history else "not fitted"
+    shown = [f"{i + 1}: weight {weight[i]:.4f}, mean {np.array2string(post.mean[i], precision=4)}, variances {np.array2string(np.diag(np.linalg.inv(post.precision(i))), precision=4)}" for i in range(p.k)]
+    return {"settings": settings, "state": state, "parameters": "\n".join(shown)}
+
+
 def majority_map(df: DataFrame, true: str = "true", pred: str = "component") -> DataFrame:
     """(true, component): for each true label the component that most of its rows have, the lowest of
     equals. Two labels may share a component."""

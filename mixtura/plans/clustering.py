@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from mixtura.functions.vec import dbl, literal, r6, sqdist
-from mixtura.operators import classify, clusters, ensemble, linear, vbgmm
+from mixtura.operators import classify, clusters, ensemble, evaluation, linear, mixture, vbgmm
 from mixtura.plans.fixtures import centroids, emb, emb_long, qin, table, with_
 from mixtura.plans.registry import Registry
 
@@ -40,11 +40,11 @@ def merge_small(spark, d):
 
 @query()
 def agglomerate_truncated(spark, d):
-    """Linkage over the mean of the lowest quarter of the pair divergences."""
-    q = clusters.quantile_mean(clusters.pair_metrics(qin(spark, d), "vec_id", "jeffreys", "label"), 0.25).filter("a < b")
-    sizes = qin(spark, d).groupBy("label").agg(F.count("*").alias("n"))
-    m = q.drop("n").join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
-    return clusters.linkage(spark, m.select("a", "b", "n_a", "n_b", "dist"))
+    """Agglomeration by the mean of the lowest quarter of the pair divergences, pooled anew at each step."""
+    pairs = clusters.pair_metrics(qin(spark, d), "vec_id", "jeffreys", "label").filter("label_a <> label_b").cache()
+    out = clusters.agglomerate([pairs])
+    pairs.unpersist()
+    return out
 
 
 @query()
@@ -107,9 +107,23 @@ def vbgmm_fit(spark, d):
     return out
 
 
+@query()
+def gmm_cv(spark, d):
+    """Sizes of a Gaussian mixture by their held-out likelihood over five folds."""
+    x = evaluation.folds(_reduced(spark, d, 8).select("vec_id", "label", "x"), "vec_id", "label", 5).select("x", "fold").cache()
+    out = mixture.chosen(mixture.cross_validate(x, [1, 2, 4, 8], 5, max_iter=25))
+    x.unpersist()
+    return out
+
+
+@query(with_("lng", "cent", "d2", "qin") + "SELECT count(DISTINCT vec_id) AS n, CAST(0 AS BIGINT) AS out_of_range, CAST(0 AS BIGINT) AS not_one FROM qin")
+def assignment_check(spark, d):
+    return clusters.check_assignments(qin(spark, d))
+
+
 @query()
 def vbgmm_grid(spark, d):
-    """Parallel over the grid and restarts, with ensemble weights."""
+    """All points of the grid and restarts fitted together, with ensemble weights."""
     x = _reduced(spark, d, 4)
     return ensemble.score_table(ensemble.fit_grid(x, {"k": [4, 2, 1], "covtyp": ["full", "diag"], "max_iter": [40], "inits": [1]}, 2))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mixtura.functions.vec import r6
-from mixtura.operators import ensemble, expression, importance, prep
+from mixtura.operators import ensemble, expression, importance, prep, stats
 from mixtura.operators.ranking import running
 from mixtura.plans.fixtures import emb_long, emb_missing, metrics, table, with_
 from mixtura.plans.registry import Registry
@@ -47,7 +47,7 @@ def value_counts_pct(spark, d):
 
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL")
 def crosstab(spark, d):
-    return table(spark, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+    return stats.contingency(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority")
 
 
 @query("WITH b AS (SELECT c_mktsegment AS label, min(c_acctbal) AS low, max(c_acctbal) AS high, count(*) AS total FROM customer GROUP BY 1) SELECT label, CAST(least(floor((c_acctbal - low) / ((high - low) / 30)), 29) AS INT) AS bin, count(*) AS n, round(count(*) / (total * ((high - low) / 30)), 9) AS density FROM customer JOIN b ON label = c_mktsegment GROUP BY label, bin, total, low, high")
@@ -90,16 +90,23 @@ def recode_binary(spark, d):
 _MISS = "miss AS (SELECT vec_id, feature, CASE WHEN vec_id % 7 = 0 AND feature = vec_id % 64 THEN NULL ELSE value END AS value FROM lng)"
 
 
+def _wide_missing(spark, d):
+    """The vectors with missing cells as columns, and their names."""
+    m = emb_missing(spark, d)
+    names = [str(i) for i in range(m.select(F.size("x")).first()[0])]
+    return m.select("vec_id", *(F.get("x", F.lit(int(i))).alias(i) for i in names)), names
+
+
 @query(with_("lng", more=_MISS) + "SELECT CAST(feature AS INT) AS feature, round(avg(CAST(value IS NOT NULL AS DOUBLE)), 6) AS available, round(avg(CAST(value IS NOT NULL AS DOUBLE)), 6) >= 0.99 AS kept FROM miss GROUP BY feature")
 def condense(spark, d):
-    long = emb_missing(spark, d).select(F.posexplode("x").alias("feature", "value"))
-    a = long.groupBy("feature").agg(r6(F.avg(F.col("value").isNotNull().cast("double"))).alias("available"))
-    return a.withColumn("kept", F.col("available") >= 0.99)
+    wide, names = _wide_missing(spark, d)
+    kept = set(prep.condense(wide, names, 0.99).columns)
+    return prep.availability(wide, names).select(F.col("feature").cast("int").alias("feature"), r6("available").alias("available"), F.col("feature").isin(kept).alias("kept"))
 
 
 @query(with_("lng", more=_MISS) + "SELECT vec_id FROM miss GROUP BY vec_id HAVING count(value) = count(*)")
 def drop_missing_rows(spark, d):
-    return emb_missing(spark, d).filter(F.size(F.filter("x", lambda v: v.isNull())) == 0).select("vec_id")
+    return prep.drop_missing_rows(*_wide_missing(spark, d)).select("vec_id")
 
 
 @query(with_("lng", more=_MISS) + """, comp AS (SELECT vec_id FROM miss GROUP BY vec_id HAVING count(value) = count(*)), hole AS (SELECT vec_id, feature FROM miss WHERE value IS NULL),
@@ -113,7 +120,8 @@ def knn_impute_k(spark, d):
 
 @query(with_("lng", more=_MISS) + "SELECT vec_id, count(*) - count(value) AS missing FROM miss GROUP BY vec_id")
 def missing_view(spark, d):
-    return emb_missing(spark, d).select("vec_id", F.size(F.filter("x", lambda v: v.isNull())).cast("long").alias("missing"))
+    wide, names = _wide_missing(spark, d)
+    return prep.missing_view(wide, "vec_id", names).groupBy("vec_id").agg(F.count_if("is_missing").alias("missing"))
 
 
 @query("SELECT l_shipdate, n, CAST(sum(n) OVER (ORDER BY l_shipdate) AS BIGINT) AS cumulative, round(CAST(sum(n) OVER (ORDER BY l_shipdate) AS DOUBLE) / sum(n) OVER (), 6) AS probability FROM (SELECT l_shipdate, count(*) AS n FROM lineitem GROUP BY 1)")
@@ -131,9 +139,9 @@ def is_ordered(spark, d):
 @query("SELECT DISTINCT s.o_orderstatus, p.o_orderpriority, dense_rank() OVER (ORDER BY s.o_orderstatus, p.o_orderpriority) - 1 AS paramid FROM (SELECT DISTINCT o_orderstatus FROM orders) s CROSS JOIN (SELECT DISTINCT o_orderpriority FROM orders) p")
 def grid_expand(spark, d):
     """The grid over the levels of two columns, numbered with the last running fastest."""
-    o = table(spark, d, "orders")
-    grid = o.select("o_orderstatus").distinct().crossJoin(F.broadcast(o.select("o_orderpriority").distinct()))  # levels of two categories
-    return grid.withColumn("paramid", (F.row_number().over(Window.orderBy("o_orderstatus", "o_orderpriority")) - 1).cast("long"))
+    levels = lambda c: sorted(r[0] for r in table(spark, d, "orders").select(c).distinct().collect())  # of a category
+    grid = ensemble.expand(spark, {"1": levels("o_orderstatus"), "2": levels("o_orderpriority")})
+    return grid.select(F.col("1").alias("o_orderstatus"), F.col("2").alias("o_orderpriority"), F.col("paramid").cast("long").alias("paramid"))
 
 
 @query("SELECT o_custkey AS paramid, o_orderkey AS restart, o_totalprice AS score FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1")

@@ -101,11 +101,25 @@ def shapiro_residuals(spark, d):
     return stats.shapiro(stats.residuals(emb_long(spark, d).withColumn("feature", F.col("feature").cast("string"))), value="residual")
 
 
-@query()
+_ALL = """src AS (SELECT 'c_nationkey' AS feature, c_mktsegment AS grp, CAST(c_nationkey AS DOUBLE) AS value FROM customer UNION ALL SELECT 'c_acctbal', c_mktsegment, c_acctbal FROM customer),
+cell AS (SELECT c_mktsegment AS grp, sum(CAST(c_acctbal > 5000 AS INT)) AS k, count(*) AS gn FROM customer GROUP BY 1),
+two AS (SELECT sum((k - gn * h / t) * (k - gn * h / t) * (1 / (gn * h / t) + 1 / (gn - gn * h / t))) AS x, max(t) AS t FROM cell, (SELECT CAST(sum(k) AS DOUBLE) AS h, CAST(sum(gn) AS DOUBLE) AS t FROM cell))"""
+
+
+@query(f"WITH {_ALL}, {_KW.format(src='src')}, " + """p AS (SELECT feature, greatest(0, h / (n - 1)) AS effect, exp(-h / 2) * (1 + h / 2) AS p_value, 'kruskal' AS test FROM kw UNION ALL SELECT 'rich', sqrt(x / t), exp(-x / 2) * (1 + x / 2), 'chi2' FROM two),
+adj AS (SELECT *, least(1, p_value * count(*) OVER () / row_number() OVER (ORDER BY p_value, feature)) AS p_adj FROM p)
+SELECT feature, round(effect, 6) AS effect, round(p_value, 6) AS p_value, test, round(p_adj, 6) AS p_adj, round(min(p_adj) OVER (ORDER BY p_value, feature ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS p_adj_bh, p_adj < 0.05 AS sig FROM adj""")
 def effects_all(spark, d):
     """The full effect table of the customers' numeric columns by segment."""
     c = table(spark, d, "customer").withColumn("rich", (F.col("c_acctbal") > 5000).cast("int"))
-    return stats.effects(c, "c_mktsegment", {"c_custkey"})
+    e = stats.effects(c, "c_mktsegment", {"c_custkey"})
+    return e.select("feature", r6("effect").alias("effect"), r6("p_value").alias("p_value"), "test", r6("p_adj").alias("p_adj"), r6("p_adj_bh").alias("p_adj_bh"), "sig")
+
+
+@query()
+def assumption_summary(spark, d):
+    long = emb_long(spark, d).withColumn("feature", F.col("feature").cast("string"))
+    return stats.assumptions(long)
 
 
 # -- evaluation of scores
@@ -155,15 +169,23 @@ def fold_max(spark, d):
     return table(spark, d, "labels").groupBy("quality").agg(F.count("*").alias("n")).agg(F.min("n").alias("folds"))
 
 
-@query()
+@query("WITH n AS (SELECT quality, count(*) AS n FROM labels GROUP BY 1) SELECT CAST(fold AS INT) AS fold, quality, CAST((n - fold + 4) // 5 AS BIGINT) AS n FROM n, (SELECT unnest(range(0, 5)) AS fold) WHERE n > fold")
 def stratified_folds(spark, d):
     return evaluation.folds(table(spark, d, "labels"), "doc_id", "quality", 5).groupBy("fold", "quality").agg(F.count("*").alias("n"))
 
 
-@query()
+_SCORES = with_("scores", more="pr AS (SELECT avg(y) AS m FROM scores), g AS (SELECT y, CAST(p > 0.5 AS INT) = y AS own, (CASE WHEN m < 0.5 THEN 0 ELSE 1 END) = y AS def FROM scores, pr), c AS (SELECT avg(CAST(own AS DOUBLE)) * 100 AS acc, count(*) FILTER (own AND NOT def) AS b, count(*) FILTER (def AND NOT own) AS c FROM g), w AS (SELECT *, CAST(b + c AS DOUBLE) AS n, CAST(least(b, c) AS DOUBLE) AS x FROM c)") + f"""
+, v AS (SELECT acc, CASE WHEN n = 0 THEN 1 ELSE {_MIDP} END AS pval FROM w, (SELECT CAST(unnest(range(0, CAST((SELECT x FROM w) AS BIGINT) + 1)) AS DOUBLE) AS k) GROUP BY acc, n)
+, a AS (SELECT avg(CAST(a.p > b.p AS INT)) AS auc FROM scores a, scores b WHERE a.y = 1 AND b.y = 0)
+, s AS (SELECT avg((CASE WHEN (p > 0.5) = (y = 1) THEN 1 ELSE -1 END) * (p * (log2(p) - log2(m)) + (1 - p) * (log2(1 - p) - log2(1 - m)))) AS shannon FROM scores, pr)
+SELECT 'length' AS mthd, round(auc, 6) AS auc, round(acc, 6) AS acc, round(pval, 6) AS pval, round(shannon, 6) AS shannon,
+  printf('length (AUC %.3f, acc %.2f%% %s)', auc, acc, CASE WHEN pval < 0.001 THEN '***' WHEN pval < 0.01 THEN '**' WHEN pval < 0.05 THEN '*' WHEN pval < 0.1 THEN '.' ELSE 'not sig.' END) AS legend FROM v, a, s"""
+
+
+@query(_SCORES)
 def metric_store(spark, d):
     s = evaluation.evaluate(class_scores(spark, d), "length")
-    return s.join(evaluation.store_legend(s), "mthd")
+    return s.join(evaluation.store_legend(s), "mthd").select("mthd", *(r6(c).alias(c) for c in ("auc", "acc", "pval", "shannon")), "legend")
 
 
 @query(with_("lng") + "SELECT CAST(feature AS INT) AS feature, count(*) AS n, round(avg(value), 6) + 0.0::DOUBLE AS mean, round(stddev_samp(value), 6) AS std, round(min(value), 6) + 0.0::DOUBLE AS min, round(quantile_cont(value, 0.25), 6) + 0.0::DOUBLE AS q25, round(quantile_cont(value, 0.5), 6) + 0.0::DOUBLE AS q50, round(quantile_cont(value, 0.75), 6) + 0.0::DOUBLE AS q75, round(max(value), 6) + 0.0::DOUBLE AS max FROM lng GROUP BY ALL")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -58,10 +61,11 @@ def embeddings(df: DataFrame, id_col: str, y: str, prob: str | None = None, pref
     return df.select(F.col(id_col).alias("id"), F.col(y).alias("y"), F.array(*(F.col(c).cast("double") for c in chosen)).alias("x"))
 
 
-def write_allocations(df: DataFrame, path: str, id_col: str = "id") -> None:
-    """(id, label, q); a row without assignment is an error."""
-    if not df.filter("q IS NULL").isEmpty():
-        raise ValueError("rows without assignment")
+def write_allocations(df: DataFrame, path: str, id_col: str = "id", rows: int | None = None) -> None:
+    """(id, label, q); a row without assignment is an error, and so is another number of ``rows``."""
+    n, empty = df.agg(F.count("*"), F.count_if(F.col("q").isNull())).first()
+    if empty or rows not in (None, n):
+        raise ValueError(f"{empty} of {n} rows without assignment, {rows} rows expected")
     df.select(id_col, "label", "q").write.parquet(path)
 
 
@@ -70,6 +74,23 @@ def read_allocations(spark: SparkSession, path: str) -> DataFrame:
     return df if "label" in df.columns else df.withColumn("label", F.lit(None).cast("int"))
 
 
+def renamed_either(df: DataFrame, names: dict[str, list[str]]) -> DataFrame:
+    """Columns that come under one of several names under a common one; the first that is there counts."""
+    found = {next((c for c in old if c in df.columns), None): new for new, old in names.items() if new not in df.columns}
+    return df.withColumnsRenamed({old: new for old, new in found.items() if old})
+
+
+def mentions(column: str, words: list[str]) -> Column:
+    """Whether a text holds any of the words, in either case."""
+    return reduce(or_, (F.lower(column).contains(w.lower()) for w in words), F.lit(False))
+
+
+def read_metrics(spark: SparkSession, path: str, methods: list[str] | None = None) -> DataFrame:
+    """The metric store, of some methods only where given."""
+    df = spark.read.parquet(path)
+    return df if methods is None else df.filter(F.col("mthd").isin(methods))
+
+
 def append_metrics(row: DataFrame, path: str) -> None:
     row.write.mode("append").parquet(path)
 
