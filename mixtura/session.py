@@ -26,12 +26,12 @@ def build(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSe
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Give the executors this package, once for each Spark context."""
+    """Give the executors this package and the modules beside it, once for each Spark context."""
     context = spark.sparkContext
     if not getattr(context, "_mixtura_shipped", False):
         target = Path(tempfile.mkdtemp(prefix="spark-")) / "mixtura_code.zip"
         with zipfile.ZipFile(target, "w") as z:
-            for path in [*sorted((ROOT / "mixtura").rglob("*.py")), *sorted(ROOT.glob("corpus_pipeline.py"))]:
+            for path in [*sorted((ROOT / "mixtura").rglob("*.py")), *sorted(ROOT.glob("*.py"))]:
                 z.write(path, path.relative_to(ROOT))
         context.addPyFile(str(target))
         context._mixtura_shipped = True
