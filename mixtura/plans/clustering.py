@@ -23,9 +23,23 @@ def _labelled(spark, d):
     return clusters.clean(qin(spark, d)).select("vec_id", "label", "q", "cluster")
 
 
-@query()
+#: The assignments by the columns that win a row, and dense labels.
+_CLEAN = with_("lng", "cent", "d2", "qin", more="""top AS (SELECT vec_id, arg_max(k, (p, -k)) AS k FROM qin GROUP BY 1), won AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS cluster FROM (SELECT DISTINCT k FROM top)),
+lab AS (SELECT vec_id, cluster FROM top JOIN won USING (k)), cq AS (SELECT vec_id, lab.cluster, won.cluster AS col, p FROM qin JOIN won USING (k) JOIN lab USING (vec_id))""").replace("WITH ", "WITH RECURSIVE ", 1)
+_UPGMA = _CLEAN + """, term AS (SELECT cluster, col, count(*) AS n, avg(greatest(p, 1e-300)) AS m, avg(log2(greatest(p, 1e-300))) AS l, avg(greatest(p, 1e-300) * log2(greatest(p, 1e-300))) AS h FROM cq GROUP BY ALL),
+m0 AS (SELECT x.cluster AS a, y.cluster AS b, sum(x.h + y.h - x.m * y.l - y.m * x.l) AS d, max(x.n) AS wa, max(y.n) AS wb FROM term x JOIN term y ON x.col = y.col AND x.cluster < y.cluster GROUP BY ALL),
+r AS (SELECT 0 AS step, false AS merged, a, b, d, wa, wb, 1 AS la, 1 AS lb FROM m0 UNION ALL SELECT * FROM (
+  WITH p AS (SELECT * FROM r WHERE NOT merged), m AS (SELECT a AS ma, b AS mb, d AS h, wa AS mwa, wb AS mwb, la + lb AS leaves, step AS s FROM p ORDER BY d, a, b LIMIT 1),
+  side AS (SELECT CASE WHEN a IN (ma, mb) THEN b ELSE a END AS c, CASE WHEN a IN (ma, mb) THEN a ELSE b END AS x, CASE WHEN a IN (ma, mb) THEN wb ELSE wa END AS wc, CASE WHEN a IN (ma, mb) THEN lb ELSE la END AS lc, d, ma, mwa, mwb, leaves, s FROM p, m WHERE (a IN (ma, mb)) <> (b IN (ma, mb)))
+  SELECT s + 1 AS step, true AS merged, ma AS a, mb AS b, h AS d, mwa AS wa, mwb AS wb, leaves AS la, 0 AS lb FROM m
+  UNION ALL SELECT s + 1, false, a, b, d, wa, wb, la, lb FROM p, m WHERE a NOT IN (ma, mb) AND b NOT IN (ma, mb)
+  UNION ALL SELECT max(s) + 1, false, c, (SELECT count(*) FROM won) + max(s), sum(d * CASE WHEN x = ma THEN mwa ELSE mwb END) / max(mwa + mwb), max(wc), max(mwa + mwb), max(lc), max(leaves) FROM side GROUP BY c))
+SELECT CAST(step - 1 AS INT) AS step, CAST(a AS INT) AS a, CAST(b AS INT) AS b, round(d, 9) AS dist, CAST(la AS INT) AS leaves FROM r WHERE merged"""
+
+
+@query(_UPGMA)
 def upgma_linkage(spark, d):
-    return clusters.linkage(spark, clusters.divergence_matrix(_labelled(spark, d)))
+    return clusters.linkage(spark, clusters.divergence_matrix(_labelled(spark, d))).withColumn("dist", F.round("dist", 9))
 
 
 @query()
@@ -33,16 +47,37 @@ def superclusters(spark, d):
     return clusters.superclusters(clusters.merge_small(_labelled(spark, d), 10)).groupBy("cluster", "supercluster").agg(F.count("*").alias("n"))
 
 
-@query()
+#: One row of lists: rows of each cluster, sums of assignments (a list for each), where each cluster is now.
+_MERGE = _CLEAN + """, sums AS (SELECT c.cluster, list(coalesce(s, 0) ORDER BY k.cluster) AS s, max(n) AS n FROM won c CROSS JOIN won k LEFT JOIN (SELECT cluster, col, sum(p) AS s, count(*) AS n FROM cq GROUP BY ALL) t ON t.cluster = c.cluster AND t.col = k.cluster GROUP BY 1),
+r AS (SELECT list(n ORDER BY cluster) AS n, list(s ORDER BY cluster) AS s, list(CAST(cluster + 1 AS BIGINT) ORDER BY cluster) AS t FROM sums UNION ALL SELECT
+    list_transform(range(1, len(n) + 1), lambda i: CASE WHEN i = x THEN n[x] + n[c] WHEN i = c THEN 0 ELSE n[i] END),
+    list_transform(range(1, len(n) + 1), lambda i: CASE WHEN i = x THEN list_transform(range(1, len(n) + 1), lambda j: s[x][j] + s[c][j]) ELSE s[i] END),
+    list_transform(t, lambda v: CASE WHEN v = c THEN x ELSE v END)
+  FROM (SELECT n, s, t, c, -list_reverse_sort(list_transform(list_filter(range(1, len(n) + 1), lambda i: n[i] > 0 AND i <> c), lambda i: {'v': s[c][i], 'i': -i}))[1].i AS x
+    FROM (SELECT n, s, t, -list_reverse_sort(list_transform(list_filter(range(1, len(n) + 1), lambda i: n[i] > 0 AND n[i] < 40), lambda i: {'v': n[i], 'i': -i}))[1].i AS c FROM r WHERE len(list_filter(n, lambda v: v > 0)) > 1) WHERE c IS NOT NULL)),
+last AS (SELECT n, t FROM r ORDER BY len(list_filter(n, lambda v: v > 0)) LIMIT 1)
+SELECT CAST(row_number() OVER (ORDER BY i) - 1 AS INT) AS cluster, CAST(n AS BIGINT) AS n FROM (SELECT unnest(n) AS n, unnest(range(1, len(n) + 1)) AS i FROM last) WHERE n > 0"""
+
+
+@query(_MERGE)
 def merge_small(spark, d):
     return clusters.merge_small(_labelled(spark, d), 40).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
-@query()
+_POOLED = with_("lng", "cent", "d2", "qin").replace("WITH ", "WITH RECURSIVE ", 1) + """, t AS (SELECT x.label AS la, y.label AS lb, sum((greatest(x.p, 1e-300) - greatest(y.p, 1e-300)) * (log2(greatest(x.p, 1e-300)) - log2(greatest(y.p, 1e-300)))) AS j FROM qin x JOIN qin y ON x.k = y.k AND x.vec_id < y.vec_id AND x.label <> y.label GROUP BY x.vec_id, y.vec_id, x.label, y.label),
+r AS (SELECT 0 AS step, label, label AS cur, NULL::INT AS ma, NULL::INT AS mb, NULL::DOUBLE AS h FROM (SELECT DISTINCT label FROM qin) UNION ALL SELECT * FROM (
+  WITH p AS (SELECT least(x.cur, y.cur) AS a, greatest(x.cur, y.cur) AS b, j FROM t JOIN r x ON x.label = la JOIN r y ON y.label = lb WHERE x.cur <> y.cur),
+  q AS (SELECT a, b, avg(j) AS d FROM (SELECT a, b, j, row_number() OVER (PARTITION BY a, b ORDER BY j) AS i, count(*) OVER (PARTITION BY a, b) AS n FROM p) WHERE i <= greatest(1, floor(n * 0.25)) GROUP BY ALL),
+  m AS (SELECT a, b, d FROM q ORDER BY d, a, b LIMIT 1)
+  SELECT step + 1, label, CASE WHEN cur IN (a, b) THEN (SELECT max(label) FROM qin) + 1 + step ELSE cur END, a, b, d FROM r, m))
+SELECT CAST(step - 1 AS INT) AS step, ma AS a, mb AS b, round(max(h), 9) + 0.0::DOUBLE AS height, CAST(count(*) FILTER (cur = (SELECT max(label) FROM qin) + step) AS INT) AS leaves FROM r WHERE step > 0 GROUP BY step, ma, mb"""
+
+
+@query(_POOLED)
 def agglomerate_truncated(spark, d):
     """Agglomeration by the mean of the lowest quarter of the pair divergences, pooled anew at each step."""
     pairs = clusters.pair_metrics(qin(spark, d), "vec_id", "jeffreys", "label").filter("label_a <> label_b").cache()
-    out = clusters.agglomerate([pairs])
+    out = clusters.agglomerate([pairs]).withColumn("height", F.round("height", 9) + dbl(0))
     pairs.unpersist()
     return out
 
