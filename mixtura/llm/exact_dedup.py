@@ -41,6 +41,7 @@ from mixtura.llm.common import written
 #: kind 0: a document (names: numbers of its keys in the task, or names).
 _ROW = "task long, kind int, idx long, key binary, a long, b long, doc_id long, sha string, blocks long, names array<long>"
 _ARROW = pa.schema([("task", pa.int64()), ("kind", pa.int32()), ("idx", pa.int64()), ("key", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("sha", pa.string()), ("blocks", pa.int64()), ("names", pa.list_(pa.int64()))])
+_STATE = ["doc_id", "sha", "blocks", "names"]
 _OUT = 4096
 #: Dictionaries of a task after the first round.
 SLICES = 8
@@ -134,14 +135,17 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _batches(rows())
 
 
-def _name_round(df: DataFrame, keys_of: Callable, limit: int, slices: int) -> DataFrame:
-    # Rows that agree in all that the last sort looks at are equal.
+def _exchanged(numbered: DataFrame) -> DataFrame:
+    """One round trip: keys are dealt by hash, sorted and named; the names go back to the tasks' rows,
+    for ``_answered``. Rows that agree in all that the last sort looks at are equal."""
     route = F.when(F.col("kind") == 1, F.xxhash64("key")).otherwise(F.xxhash64("task", "doc_id"))
-    return (
-        df.mapInArrow(_local(keys_of, limit, slices), _ROW)
-        .repartition(route).sortWithinPartitions("kind", "key").mapInArrow(_named, _ROW)
-        .repartition("task").sortWithinPartitions("task", F.desc("kind"), "doc_id", "sha", "blocks", "names").mapInArrow(_answered, _ROW)
-    )
+    named = numbered.repartition(route).sortWithinPartitions("kind", "key").mapInArrow(_named, _ROW)
+    return named.repartition("task").sortWithinPartitions("task", F.desc("kind"), "doc_id", "sha", "blocks", "names")
+
+
+def _then(step: Callable) -> Callable:
+    """``_answered``, and ``step`` on its documents in the same Python worker."""
+    return lambda batches: step(b.select(_STATE) for b in _answered(batches))
 
 
 def _blocks_of(block: int) -> Callable:
@@ -233,19 +237,17 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """One row for each row of ``docs``: doc_id, keep_id (the largest id among equal texts),
     group_size, kept, text_sha256 (of the whole text in UTF-8)."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    state = ["doc_id", "sha", "blocks", "names"]
-    open_ = written(_name_round(source, _blocks_of(block), local_bytes, 1).select(*state), "block-names")
-    done = [open_.filter(F.size("names") == 1)]
-    open_ = open_.filter(F.size("names") > 1)
-    depth = open_.agg(F.max("blocks")).first()[0] or 1
-    for _ in range((depth - 1).bit_length()):
-        open_ = _name_round(open_.select(*state), _pairs_of, local_bytes, SLICES).select(*state)
+    first = written(_exchanged(source.mapInArrow(_local(_blocks_of(block), local_bytes, 1), _ROW)).mapInArrow(_answered, _ROW).select(*_STATE), "block-names")
+    depth = first.agg(F.max("blocks")).first()[0] or 1
+    named = first.filter(F.size("names") == 1).mapInArrow(_identities, _ROW)
     if depth > 1:
-        done.append(open_)
-    named = done[0] if len(done) == 1 else done[0].unionByName(done[1])
+        pairs = _local(_pairs_of, local_bytes, SLICES)
+        open_ = _exchanged(first.filter(F.size("names") > 1).mapInArrow(pairs, _ROW))
+        for _ in range((depth - 1).bit_length() - 1):
+            open_ = _exchanged(open_.mapInArrow(_then(pairs), _ROW))
+        named = named.union(open_.mapInArrow(_then(_identities), _ROW))
     route = F.when(F.col("kind") == 1, F.xxhash64("key")).otherwise(F.xxhash64("task", "doc_id"))
     return (
-        named.mapInArrow(_identities, _ROW)
-        .repartition(route).sortWithinPartitions("kind", "key", F.desc_nulls_last("a"), "task").mapInArrow(_grouped, _ROW)
+        named.repartition(route).sortWithinPartitions("kind", "key", F.desc_nulls_last("a"), "task").mapInArrow(_grouped, _ROW)
         .repartition("task").sortWithinPartitions("task", F.desc("kind")).mapInArrow(_results, _RESULT)
     )
