@@ -77,7 +77,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -545,7 +545,7 @@ def _verify(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
         return pd.Series((asked.value[v // 8] >> (v % 8).astype(np.uint8)) & 1 == 1)
 
     # Most clusters are in no pair; the filter keeps their texts out of the shuffles.
-    some = clusters.filter("cid IS NOT NULL AND text IS NOT NULL").select("cid", "text", "members").filter(may_be_asked(place))
+    some = written(clusters.filter("cid IS NOT NULL AND text IS NOT NULL").select("cid", "text", "members").filter(may_be_asked(place)), "asked-clusters")
     side = lambda k: some.select(F.col("cid").alias(k), F.col("text").alias(f"text_{k}"), F.col("members").alias(f"members_{k}"))
     met = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
     return met.select("a", "b", "text_a", "members_a", "text_b", "members_b").mapInArrow(_verified, "a long, b long")
