@@ -128,10 +128,12 @@ class Model:
         return len(words), [score for _, _, score in self.segments(words)]
 
     def evidence(self, n: int, scores: list[float]) -> tuple[float, float, float, float]:
-        """Constant, best score, -log expectation of the best and summed over those below one, as logarithms."""
+        """Constant, best score and -log expectation of the best, both levelling off near 20, and the
+        logarithm of the latter's sum over segments expected less than once."""
         base = np.log(self.scale * max(1, n))
         bits = [max(0.0, self.decay * s - base) for s in scores]
-        return 1.0, *np.log1p([max(scores, default=0.0), max(bits, default=0.0), sum(bits)]).tolist()
+        level = -20 * np.expm1(-np.array([max(scores, default=0.0), max(bits, default=0.0)]) / 20)
+        return 1.0, float(level[0]), float(level[1]), float(np.log1p(sum(bits)))
 
     def passages(self, text: str, significant: float) -> list[dict]:
         """The significant segments: start, end, score, expectation."""
