@@ -118,8 +118,9 @@ def _ranges(codes: list[int]) -> str:
     return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in out)
 
 
-#: The characters that _glyph rewrites, so that ordinary accented text is passed over quickly.
-_DISGUISE = re.compile("[" + _ranges([i for i in [*range(0x80, 0xD800), *range(0xE000, 0x20000)] if _glyph(chr(i)) is not None]) + "]")
+#: The characters that _glyph rewrites.
+_GLYPHS = frozenset(chr(i) for i in [*range(0x80, 0xD800), *range(0xE000, 0x20000)] if _glyph(chr(i)) is not None)
+_DISGUISE = re.compile("[" + _ranges(sorted(map(ord, _GLYPHS))) + "]")
 
 # Number words of the languages handled here, by value.
 _NUMBERS = {
@@ -139,6 +140,8 @@ _STEP = rf"(?:{_DOT_SIGN}|\x20(?:{_DOTS})\x20|[\x20,-]{{1,3}}+|\.)"
 _RUN = re.compile(rf"(?i)(?<!\w){_ELEMENT}(?:{_STEP}{_ELEMENT})++")
 _PART = re.compile(rf"(?i)(?P<word>(?:{_NUMBER})(?!\w))|(?P<digits>[0-9]++)|(?P<dot>{_DOT_SIGN}|\x20(?:{_DOTS})\x20)|(?P<gap>[\x20,-]{{1,3}}+|\.)")
 _PLUS = re.compile(rf"(?i)(?<!\w)plus\x20(?=[0-9]|(?:{_NUMBER})(?!\w))")
+#: Where what stands for the sign of an address may begin.
+_SIGNS = ("@", "[", "(", "{", "<", " at ", " ät ", " arroba ", " arobase ")
 #: What can stand for the sign of an address; the words say how its dots may be spelled.
 _AT = re.compile(rf"(?i)(?P<sign>{_AT_SIGN})|\x20(?P<word>at|ät|arroba|arobase)\x20|\x20?@\x20?")
 _SPOKEN = {"at": "dot", "ät": "punkt|dot", "arroba": "punto|dot", "arobase": "point|dot", None: _DOTS}
@@ -193,7 +196,8 @@ class Normalised:
 
 
 def _glyph_edits(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), _glyph(m[0]) or "") for m in _DISGUISE.finditer(text)]
+    # Ordinary accented text, which has none of them, is passed over by its few different characters.
+    return [] if text.isascii() or _GLYPHS.isdisjoint(set(text)) else [(m.start(), m.end(), _glyph(m[0]) or "") for m in _DISGUISE.finditer(text)]
 
 
 def _number_edits(text: str) -> list[tuple[int, int, str]]:
@@ -216,7 +220,11 @@ def _address_edits(text: str) -> list[tuple[int, int, str]]:
     """Disguised signs and dots of addresses. An "at" that is a word needs a dot that is spelled, or
     a name before it and a domain after it that only an address has."""
     edits, free = [], 0
-    for m in _AT.finditer(text):
+    for sign in _found(_lower(text), _SIGNS):
+        # A space before it is part of it.
+        m = (_AT.match(text, sign - 1) if text[max(0, sign - 1) : sign] == " " else None) or _AT.match(text, sign)
+        if not m or m.end() <= sign:
+            continue
         at, end = m.start(), m.end()
         word = m["word"].lower() if m["word"] else None
         found = _AFTER[word].match(text, end)
@@ -237,6 +245,23 @@ def _address_edits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _lower(text: str) -> str:
+    """In small letters, place by place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+
+
+def _found(text: str, parts: tuple[str, ...]) -> list[int]:
+    """All places of some strings, in order."""
+    out = []
+    for part in parts:
+        at = text.find(part)
+        while at >= 0:
+            out.append(at)
+            at = text.find(part, at + 1)
+    return sorted(out)
+
+
 def _local(text: str, at: int, free: int) -> tuple[int, list[tuple[int, int, str]]]:
     """Where the name before an address's sign starts, and its spelled dots."""
     dots: list[tuple[int, int, str]] = []
@@ -256,25 +281,41 @@ def _local(text: str, at: int, free: int) -> tuple[int, list[tuple[int, int, str
         start = low + dot.start()
 
 
-def normalise(text: str, glyphs: list[tuple[int, int, str]] | None = None) -> Normalised:
+def normalise(text: str) -> Normalised:
     n = Normalised(text)
-    n.replace(_glyph_edits(text) if glyphs is None else glyphs)
-    if _NUMBER_WORD.search(n.text):
+    n.replace(_glyph_edits(text))
+    if _has_numbers(n.text):
         n.replace(_number_edits(n.text))
-    if "@" in n.text or _AT_WORD.search(n.text):
-        n.replace(_address_edits(n.text))
+    n.replace(_address_edits(n.text))
     return n
 
 
-#: A word that a number pass or an address pass can begin from, so most texts are passed over quickly.
-_NUMBER_WORD = re.compile(rf"(?i)(?<!\w)(?:{_NUMBER})(?:\x20|[,-]|\.)|[0-9]\x20?[\[({{<\x20]\x20?(?:{_DOTS}|\.)")
-_AT_WORD = re.compile(r"(?i)\x20(?:at|ät|arroba|arobase)\x20|[\[({<]\x20?(?:at|ät|arroba|arobase)\x20?[\])}>]")
+_WORDS_OF_NUMBERS = frozenset(_NUMBERS) | frozenset(_DOTS.split("|")) | {"plus"}
+_BRACKETED_DOT = re.compile(r"[\[({<]\x20?\.")
+_APART = ",-.[](){}<>"
+
+
+def _has_numbers(text: str) -> bool:
+    """Whether a word that the number pass reads stands next to another or to digits; a plain pass over
+    the words for most texts."""
+    low = text.lower()
+    if _BRACKETED_DOT.search(text):
+        return True
+    for c in _APART:
+        if c in low:
+            low = low.replace(c, " ")
+    words = low.split()
+    if _WORDS_OF_NUMBERS.isdisjoint(words):
+        return False
+    at = [i for i, w in enumerate(words) if w in _WORDS_OF_NUMBERS]
+    near = lambda w: w in _WORDS_OF_NUMBERS or "0" <= w[0] <= "9" or "0" <= w[-1] <= "9"
+    return any((i > 0 and near(words[i - 1])) or (i + 1 < len(words) and near(words[i + 1])) for i in at)
 
 
 def spans_of(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """The base spans, and those that only the normalised text shows."""
     base = base_spans(text)
-    n = normalise(text, [] if text.isascii() else None)
+    n = normalise(text)
     if not n.passes:
         return base, []
     taken = {k: [(s, e) for kind, s, e in base if kind == k] for k in KINDS}
