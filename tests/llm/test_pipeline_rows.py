@@ -51,3 +51,20 @@ def test_later_stages_pass_all_rows(spark, texts):
     docs = rows_of(spark, [(1, texts[0]), (1, texts[0]), (None, texts[1]), (None, texts[2])])
     assert left(cp.without_pii(spark, docs, "")) == left(docs)
     assert sum(p.length for p in cp.packed(spark, docs, "").collect() if p.doc_id is None) > 0
+
+
+def test_stages_bear_empty_tables_and_other_columns(spark, texts, tmp_path):
+    """Null, empty and long texts, columns whose names the operators use themselves, no rows at all."""
+    spark.createDataFrame([(i, 1, 0) for i in range(4)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    hard = [(0, None, None, None, None), (1, "", "en", "s", 0), (2, "word " * 20_000, "en", None, 100_000), (3, texts[0], None, "t", 1), (None, None, "de", "s", 0)]
+    docs = spark.createDataFrame([(*r, 9, "k", 0.5, 1, [1]) for r in hard], COLUMNS + ", row_key int, key string, score double, file int, names array<int>").repartition(2)
+    for name, stage in cp.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        none = stage(spark, docs.filter("1 = 0"), str(tmp_path))
+        assert none.columns == got.columns and none.count() == 0
+        if name == "packing":
+            assert got.count() >= 5
+        else:
+            assert got.columns == cp.COLUMNS and got.count() <= 5
+        if name in ("exact_dedup", "jaccard_join"):
+            assert {r.doc_id for r in got.collect()} >= {2, 3}
