@@ -177,3 +177,15 @@ def test_expression_sets_as_text(spark, tmp_path):
     expression.save_text(e, str(tmp_path / "out"), ["s1", "s2"])
     again = expression.load_text(spark, str(tmp_path / "out"))
     assert {tuple(r) for r in again.exprs.collect()} == {tuple(r) for r in e.exprs.collect()}
+
+
+def test_dense_codes_in_buckets(spark):
+    from mixtura.operators import prep
+
+    rng = np.random.default_rng(4)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 4, n)) for n in rng.integers(0, 12, 300)]
+    df = spark.createDataFrame([(w, float(v)) for w, v in zip(words, rng.integers(-9, 9, 300))] + [(None, None)], "w string, v double").repartition(4)
+    for c in ("w", "v"):
+        got = prep.dense_codes(df, c, "code").select(c, "code").collect()
+        order = {x: i for i, x in enumerate(sorted({r[c] for r in got if r[c] is not None}))}
+        assert len(got) == 301 and all(r.code == (None if r[c] is None else order[r[c]]) for r in got)
