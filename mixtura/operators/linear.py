@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixtura.functions.vec import argmax, dbl, literal, softmax, sqdist, total
+from mixtura.functions.vec import argmax, dbl, literal, softmax, sqdist
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -76,8 +76,13 @@ class Pca:
 
     def transform(self, df: DataFrame, k: int, x: str = "x", whiten: bool = False) -> DataFrame:
         w = self.components[:k] / (np.sqrt(np.maximum(self.variance[:k], 1e-300))[:, None] if whiten else 1)
-        centred = F.zip_with(F.col(x), literal(self.mean), lambda a, b: a - b)
-        return df.withColumn(x, centred).withColumn(x, F.array(*(total(F.zip_with(x, literal(row), lambda a, b: a * b)) for row in w)))
+        mean = self.mean
+
+        @F.pandas_udf("array<double>")
+        def projected(col: pd.Series) -> pd.Series:
+            return pd.Series(list((np.stack(col.to_numpy()) - mean) @ w.T)) if len(col) else pd.Series([], dtype=object)
+
+        return df.withColumn(x, projected(x))
 
 
 def nearest_center(x: str, centers: np.ndarray):
@@ -146,19 +151,15 @@ def responsibilities(df: DataFrame, weights: np.ndarray, means: np.ndarray, cova
     if kind not in ("full", "tied", "diag", "spherical"):
         raise ValueError(f"unknown covariance kind {kind!r}")
     if kind in ("diag", "spherical"):
-        logs = []
-        for i in range(k):
-            var = np.broadcast_to(np.asarray(covariances[i], dtype=float), d)
-            const = float(np.log(weights[i]) - d / 2 * np.log(2 * np.pi) - 0.5 * np.log(var).sum())
-            gaps = F.zip_with(F.zip_with(x, literal(means[i]), lambda a, b: a - b), literal(1 / np.sqrt(var)), lambda a, b: a * b)
-            logs.append(dbl(const) - dbl(0.5) * total(F.transform(gaps, lambda v: v * v)))
-        return df.withColumn("q", softmax(F.array(*logs)))
-    # Dense precisions: K x D x D numbers, better as matrix products on Arrow batches than as literals.
+        covariances, kind = np.array([np.diag(np.broadcast_to(np.asarray(covariances[i], dtype=float), d)) for i in range(k)]), "full"
+    # K x D x D numbers: better as matrix products on Arrow batches than as literals.
     roots = np.array([np.linalg.cholesky(np.linalg.inv(covariances[i] if kind == "full" else covariances)) for i in range(k)])
     const = np.log(weights) - d / 2 * np.log(2 * np.pi) + np.log(np.diagonal(roots, axis1=1, axis2=2)).sum(axis=1)
 
     @F.pandas_udf("array<double>")
     def log_joint(col: pd.Series) -> pd.Series:
+        if not len(col):
+            return pd.Series([], dtype=object)
         m = np.stack(col.to_numpy())
         parts = [const[i] - 0.5 * (((m - means[i]) @ roots[i]) ** 2).sum(axis=1) for i in range(k)]
         return pd.Series(list(np.stack(parts, axis=1)))
