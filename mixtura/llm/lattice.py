@@ -29,14 +29,21 @@ class Lattice:
 
     def merges(self, text: str) -> list[str]:
         """What BPE makes of a short string: the best-scored pair is merged first, the leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(((self.pieces[x + y], -i) for i, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in self.pieces), default=None)
-            if best is None:
-                break
-            i = -best[1]
+        parts, score = list(text), self.pieces.get
+        pairs = [score(x + y) for x, y in zip(parts, parts[1:])]
+        while True:
+            best, i = None, -1
+            for k, v in enumerate(pairs):
+                if v is not None and (best is None or v > best):
+                    best, i = v, k
+            if i < 0:
+                return parts
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = score(parts[i] + parts[i + 1])
+            if i:
+                pairs[i - 1] = score(parts[i - 1] + parts[i])
 
     def fits(self, last: str, piece: str) -> bool:
         """Whether a piece, after ``last`` if that is not empty, is what the merges make."""

@@ -46,7 +46,7 @@ _MARKED = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
 class Model:
-    def __init__(self, name: str, words: int = 500_000):
+    def __init__(self, name: str, words: int = 700_000):
         import public_tokenizers
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
@@ -220,13 +220,14 @@ def _giant_ids(giants: DataFrame, model: str, chunk: int) -> DataFrame:
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model_of(model)
         for batch in batches:
-            out = []
-            for behind, text, size, entry, exit_ in zip(*(batch.column(c).to_pylist() for c in ("behind", "text", "size", "entry", "exit"))):
-                ids = b""
-                for part in m.lattice.backtrace(behind, text, size, _state(entry), _state(exit_), lambda t: m.packed_marked([t])[0]):
-                    ids += part if isinstance(part, bytes) else np.array([i for p in part for i in m.ids_of(p)], dtype="<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), batch.column("k"), pa.array(out, pa.binary())], names=["uid", "doc_id", "k", "ids"])
+            for i, j in _slices(batch.column("size").to_pylist(), TOGETHER):
+                part = batch.slice(i, j - i)
+                rows = zip(*(part.column(c).to_pylist() for c in ("behind", "text", "size", "entry", "exit")))
+                found = [m.lattice.backtrace(behind, text, size, _state(entry), _state(exit_), str) for behind, text, size, entry, exit_ in rows]
+                # The whole words within all these chunks are found together.
+                words = iter(m.packed_marked([x for parts in found for x in parts if isinstance(x, str)]))
+                out = [b"".join(next(words) if isinstance(x, str) else np.array([k for p in x for k in m.ids_of(p)], dtype="<u4").tobytes() for x in parts) for parts in found]
+                yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("doc_id"), part.column("k"), pa.array(out, pa.binary())], names=["uid", "doc_id", "k", "ids"])
 
     parts = chunks.join(states, ["uid", "k"]).select("uid", "doc_id", "k", "behind", "text", "size", "entry", "exit").mapInArrow(traced, "uid long, doc_id long, k long, ids binary")
 

@@ -67,6 +67,12 @@ class WordPaths:
         self.width = len(chars) + 1
         edges = {nodes[p[:-1]] * self.width + int(self.codes[ord(p[-1])]): n for p, n in nodes.items() if p}
         self.edges = Table(np.array(list(edges), dtype=np.int64), np.array(list(edges.values()), dtype=np.int64))
+        self.roots = np.full(self.width, -1, dtype=np.int64)
+        self.inner = np.zeros(len(nodes), dtype=bool)
+        for edge, end in edges.items():
+            self.inner[edge // self.width] = True
+            if edge < self.width:
+                self.roots[edge] = end
         self.piece = np.full(len(nodes), -1, dtype=np.int64)
         for p, i in ids.items():
             if lattice.fits("", p):
@@ -113,15 +119,21 @@ class WordPaths:
             row = row[~outside]
             node = np.zeros(len(row), dtype=np.int64)
             for k in range(at, min(length, at + self.lattice.longest)):
-                node = self.edges.find(node * self.width + chars[row, k])  # one outside has no edge
+                # One outside has no edge.
+                node = self.roots[chars[row, k]] if k == at else self.edges.find(node * self.width + chars[row, k])
                 on = np.flatnonzero(node >= 0)
                 if not len(on):
                     break
                 row, node = row[on], node[on]
                 piece = self.piece[node]
-                is_piece = np.flatnonzero(piece >= 0)
-                is_piece = is_piece[self._fits(last[at, row[is_piece]], piece[is_piece])]
-                last[k + 1, row[is_piece]], begin[k + 1, row[is_piece]] = piece[is_piece], at
+                # A beginning of a word that has its path can have no other.
+                is_piece = np.flatnonzero((piece >= 0) & (last[k + 1, row] == -2))
+                if len(is_piece):
+                    is_piece = is_piece[self._fits(last[at, row[is_piece]], piece[is_piece])]
+                    last[k + 1, row[is_piece]], begin[k + 1, row[is_piece]] = piece[is_piece], at
+                # Only nodes that go on are followed.
+                more = np.flatnonzero(self.inner[node])
+                row, node = row[more], node[more]
         rows, pieces = [], []
         row, at = np.arange(n), np.full(n, length)
         while len(row):
