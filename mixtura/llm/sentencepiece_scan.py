@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -40,13 +40,13 @@ BLOCK = 64
 
 
 #: Texts of so many characters have their words' paths found together.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 #: A word with the space marks before it.
 _MARKED = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
 class Model:
-    def __init__(self, name: str, words: int = 700_000):
+    def __init__(self, name: str, words: int = 400_000):
         import public_tokenizers
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
@@ -196,8 +196,8 @@ def _chunk_states(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"uid": group.uid, "k": group.k, "entry": [_key(s) for s in states[:-1]], "exit": [_key(s) for s in states[1:]]})
 
 
-def _giant_ids(giants: DataFrame, model: str, chunk: int) -> DataFrame:
-    """(doc_id, ids) of giant documents, (uid, doc_id, text)."""
+def _giant_ids(giants: DataFrame, model: str, chunk: int, then: Callable, schema: str) -> DataFrame:
+    """(doc_id, ids) of giant documents, (uid, doc_id, text), as ``then`` makes them."""
     reach = model_of(model).lattice.longest
     chunks = written(giants.mapInArrow(_chunked(chunk, reach), _CHUNK), "chunks")
 
@@ -238,11 +238,15 @@ def _giant_ids(giants: DataFrame, model: str, chunk: int) -> DataFrame:
                 joined = b"".join(ids.take(pa.array(np.argsort(k.to_numpy()))).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()], pa.int64()), pa.array([joined], pa.binary())], names=["doc_id", "ids"])
 
-    return parts.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("k", "ids")).alias("parts")).select("doc_id", "parts").mapInArrow(whole, "doc_id long, ids binary")
+    return parts.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("k", "ids")).alias("parts")).select("doc_id", "parts").mapInArrow(lambda batches: then(whole(batches)), schema)
 
 
-def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", giant: int = 32_768, chunk: int = 8_192, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id and ids (unsigned 32-bit, little-endian, packed) for each row of ``docs``."""
+_IDS = "doc_id long, ids binary"
+
+
+def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", giant: int = 32_768, chunk: int = 8_192, text_col: str = "text", id_col: str = "doc_id", then: Callable = iter, schema: str = _IDS) -> DataFrame:
+    """doc_id and ids (unsigned 32-bit, little-endian, packed) for each row of ``docs``. ``then`` makes
+    batches of ``schema`` of these in the same Python worker, so that a task holds the model once."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +257,7 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", giant: int = 32_
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(m.packed(texts[i:j]), pa.binary())], names=["doc_id", "ids"])
 
     giants = rows.filter(F.length("text") > giant).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
-    return rows.filter(F.length("text") <= giant).mapInArrow(encoded, "doc_id long, ids binary").unionByName(_giant_ids(giants, model, chunk))
+    return rows.filter(F.length("text") <= giant).mapInArrow(lambda batches: then(encoded(batches)), schema).unionByName(_giant_ids(giants, model, chunk, then, schema))
 
 
 def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
@@ -279,4 +283,4 @@ def sentencepiece_digest(docs: DataFrame, model: str = "piece_bpe_32k.model") ->
             n, ids, text = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], names=["doc_id", "n_pieces", "ids_sha256", "decoded_sha256"])
 
-    return encode(docs, model).mapInArrow(digested, "doc_id long, n_pieces long, ids_sha256 string, decoded_sha256 string")
+    return encode(docs, model, then=digested, schema="doc_id long, n_pieces long, ids_sha256 string, decoded_sha256 string")
