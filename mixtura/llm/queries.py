@@ -13,10 +13,14 @@ from mixtura.llm.html_extract import extract_text
 from mixtura.llm.jaccard_join import jaccard_components
 from mixtura.llm.packing import pack
 from mixtura.llm.pii import pii_digest
+from mixtura.llm.prefix_trie import rebuilt_trie
 from mixtura.llm.quality_pu import quality_classifier
 from mixtura.llm.quality_rules import STEPS, quality_rules
+from mixtura.llm.repair import repair
 from mixtura.llm.secrets import secrets_digest
 from mixtura.llm.sentencepiece_scan import sentencepiece_digest
+from mixtura.llm.sql import REPAIR_SQL, TOP_K_SQL, TRIE_SQL
+from mixtura.llm.topk import top_k
 from mixtura.llm.toxicity import toxicity
 
 
@@ -61,6 +65,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(table(spark, sf_dir, "conversations"), damage=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_html_extraction": op2_html_extraction,
@@ -72,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_top_k": op12_top_k,
+    "op13_structure_repair": op13_structure_repair,
 }
 
 _LADDER = ", ".join(f"('{rule}', {s}, CAST({c} AS DOUBLE))" for s, (rule, c) in enumerate(STEPS, 1))
@@ -114,6 +134,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_prefix_trie": TRIE_SQL,
+    "op12_top_k": TOP_K_SQL,
+    "op13_structure_repair": REPAIR_SQL,
     "op10_quality_rules": _RULES_SQL,
     "op1_jaccard_join": """
 WITH RECURSIVE words AS (
