@@ -60,6 +60,20 @@ def evaluate(df: DataFrame, method: str, p: str = "p", y: str = "y") -> DataFram
     return one.select(F.lit(method).alias("mthd"), "auc", "acc", "pval", "shannon")
 
 
+def evaluate_all(df: DataFrame, method: str = "mthd", p: str = "p", y: str = "y") -> DataFrame:
+    """The metric store's rows (mthd, auc, acc, pval, shannon) of many methods at once: ``df`` has the
+    held-out chances of each. All methods share each job; none is a group of one task."""
+    df = df.select(F.col(method).alias("mthd"), F.col(p).alias("p"), F.col(y).alias("y"))
+    r = running(df, ["mthd"], "p", {"pos": (F.col("y") == 1).cast("long"), "neg": (F.col("y") == 0).cast("long")})
+    auc = r.groupBy("mthd").agg((F.sum(F.col("pos").cast("double") * F.col("neg_before")) / (F.max("pos_all").cast("double") * F.max("neg_all"))).alias("auc"))
+    prior = F.broadcast(df.groupBy("mthd").agg(F.avg(F.col("y").cast("double")).alias("b")))  # a row for each method
+    term = lambda u, v: F.when(u <= 0, dbl(0)).otherwise(u * (F.log2(u) - F.log2(v)))
+    kl = term(F.col("p"), F.col("b")) + term(1 - F.col("p"), 1 - F.col("b"))
+    right, default = (F.col("p") > 0.5).cast("int") == F.col("y"), F.when(F.col("b") < 0.5, F.lit(0)).otherwise(F.lit(1)) == F.col("y")
+    rest = df.join(prior, "mthd").groupBy("mthd").agg((F.avg(right.cast("double")) * 100).alias("acc"), F.sum((right & ~default).cast("double")).alias("won"), F.sum((~right & default).cast("double")).alias("lost"), F.avg(F.when(right, kl).otherwise(-kl)).alias("shannon"))
+    return auc.join(rest, "mthd").select("mthd", "auc", "acc", midp("won", "lost").alias("pval"), "shannon")
+
+
 def roc_table(df: DataFrame, method: str, p: str = "p", y: str = "y") -> DataFrame:
     """(mthd, p, rocx, rocy): a row for each threshold."""
     return roc_points(df, p, y).select(F.lit(method).alias("mthd"), F.col(p).alias("p"), F.col("fpr").alias("rocx"), F.col("tpr").alias("rocy"))
@@ -78,12 +92,13 @@ def loglik(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
 
 def folds(df: DataFrame, key: str, label: str, k: int) -> DataFrame:
     """``fold`` for each row, stratified: the rows of a class are dealt in turn, in the order of a hash
-    of their key, so folds of a class differ by one row at most. Ranks come from running counts."""
-    rows = df.withColumn("_h", F.xxhash64(key, label))
-    r = running(rows.select(label, "_h"), [label], "_h", {"_m": F.lit(1)}).select(label, "_h", "_m_before")
-    tied = Window.partitionBy(label, "_h").orderBy(key)
+    of their key, so folds of a class differ by one row at most. Ranks come from running counts. Rows
+    without label are a class of their own."""
+    rows = df.withColumns({"_h": F.xxhash64(key, label), "_l": F.xxhash64(F.col(label).isNull(), label)})
+    r = running(rows.select("_l", "_h"), ["_l"], "_h", {"_m": F.lit(1)}).select("_l", "_h", "_m_before")
+    tied = Window.partitionBy("_l", "_h").orderBy(key)
     at = F.col("_m_before") + F.row_number().over(tied) - 1
-    return rows.join(r, [label, "_h"]).withColumn("fold", F.pmod(at, F.lit(k)).cast("int")).select(*df.columns, "fold")
+    return rows.join(r, ["_l", "_h"]).withColumn("fold", F.pmod(at, F.lit(k)).cast("int")).select(*df.columns, "fold")
 
 
 def store_legend(store: DataFrame) -> DataFrame:

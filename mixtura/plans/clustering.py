@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from mixtura.functions.vec import dbl, literal, r6, sqdist
-from mixtura.operators import classify, clusters, ensemble, evaluation, linear, mixture, vbgmm
+from mixtura.operators import classify, clusters, ensemble, evaluation, landmark, linear, mixture, vbgmm
 from mixtura.plans.fixtures import centroids, emb, emb_long, qin, table, with_
 from mixtura.plans.registry import Registry
 
@@ -163,16 +163,48 @@ def vbgmm_grid(spark, d):
     return ensemble.score_table(ensemble.fit_grid(x, {"k": [4, 2, 1], "covtyp": ["full", "diag"], "max_iter": [40], "inits": [1]}, 2))
 
 
+def _binary(spark, d, k: int = 8):
+    return _reduced(spark, d, k).select(F.col("vec_id").alias("id"), "x", (F.col("label") < 5).cast("int").alias("y"))
+
+
 @query()
 def krc_out_of_fold(spark, d):
-    e = _reduced(spark, d, 8).select(F.col("vec_id").alias("id"), "x", (F.col("label") < 5).cast("int").alias("y"))
-    return classify.out_of_fold(e, lambda gamma=0.05: classify.KernelRidge(gamma), 5)
+    return landmark.kernel_ridge(_binary(spark, d), [0.01, 0.05, 0.2], [0.3, 1.0, 3.0], 5)
+
+
+@query()
+def svm_out_of_fold(spark, d):
+    """Held-out chances of RBF support vector machines, width and cost chosen inside each fold."""
+    return landmark.Svm(_binary(spark, d), [0.02, 0.1], [0.1, 1.0], 3, rounds=30).out_of_fold()
+
+
+@query()
+def mlp_out_of_fold(spark, d):
+    return classify.perceptrons(_binary(spark, d), [(12,), (10, 10)], [1e-2, 1.0], 3, rounds=25)
+
+
+@query()
+def classifier_store(spark, d):
+    """Several classifiers' held-out chances in one metric store."""
+    wide = _binary(spark, d)
+    ridge = landmark.kernel_ridge(wide, [0.05], [1.0], 5).withColumn("mthd", F.lit("KRC"))
+    flat = wide.select("id", "y", *(F.get("x", F.lit(i)).alias(f"x{i}") for i in range(8)))
+    forest = classify.forests(flat, [f"x{i}" for i in range(8)], [10], ["gini"], [5], 3).withColumn("mthd", F.lit("RFC"))
+    return evaluation.evaluate_all(ridge.unionByName(forest))
 
 
 @query()
 def gp_feature_evidence(spark, d):
-    wide = emb_long(spark, d).filter("feature < 4").groupBy("vec_id", "grp").pivot("feature", [0, 1, 2, 3]).agg(F.max("value"))
-    return classify.feature_evidence(wide.select((F.col("grp") < 5).cast("int").alias("y"), *(F.col(str(i)).alias(f"f{i}") for i in range(4))), [f"f{i}" for i in range(4)])
+    """All 64 components of all vectors."""
+    return landmark.feature_evidence(emb(spark, d).select("x", (F.col("label") < 5).cast("int").alias("y")))
+
+
+@query()
+def kernel_pca(spark, d):
+    """Ten kernel components of the standardised vectors, then two principal ones."""
+    e = _reduced(spark, d, 16).withColumnRenamed("vec_id", "id")
+    k = landmark.KernelPca(e, 1 / 16).transform(e)
+    return linear.Pca(k).transform(k, 2).select("id", r6(F.get("x", F.lit(0))).alias("x0"), r6(F.get("x", F.lit(1))).alias("x1"))
 
 
 @query()

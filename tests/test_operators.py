@@ -135,17 +135,6 @@ def test_grid_order(spark):
     assert [(r.a, r.b) for r in g] == [("x", 1), ("x", 2), ("y", 1), ("y", 2)]
 
 
-def test_out_of_fold_and_evidence(spark):
-    rng = np.random.default_rng(0)
-    rows = [(i, [float(v) for v in rng.normal(size=2) + 2 * (i % 2)], i % 2) for i in range(80)]
-    df = spark.createDataFrame(rows, "id long, x array<double>, y int")
-    o = classify.out_of_fold(df, lambda: classify.KernelRidge(), 4).toPandas()
-    assert len(o) == 80 and ((o.p > 0.5) == o.y).mean() > 0.85
-    wide = df.select("y", F.get("x", F.lit(0)).alias("good"), (F.hash("id") / 2147483648).alias("noise"))
-    e = {r.feature: r.log_odds for r in classify.feature_evidence(wide, ["good", "noise"]).collect()}
-    assert e["good"] > e["noise"]
-
-
 def test_importance(spark):
     long = spark.createDataFrame([("a", "m1", 3.0), ("b", "m1", 1.0), ("a", "m2", 1.0), ("b", "m2", 3.0)], "feature string, metric string, v double")
     assert {r.share for r in importance.shared_rank(long).collect()} == {0.5}
