@@ -5,10 +5,10 @@ inferred by aligning page after page: neighbours of one label become a repeated
 that only some pages have become optional, and texts that differ become slots. Wrappers merge with
 wrappers as pages do, so each task folds its own pages of a host and only small wrappers meet, in
 two steps, however many pages a host has. The wrapper then tells which part is the article, for
-all pages of the host alike; each page's text is read there, without the texts that are the same on
-all pages that have the element (two or more), and without what its labels mark as menus, notices,
-adverts, forms, comments and the like. A page that then has no text keeps the template's; one without
-that part is taken as its own template.
+all pages of the host alike; each page's text is read there, without what nearly all pages of the host
+(three or more) share before the first or after the last text that differs - but in an ``article``
+element - and without what plain tags and names mark as menus, adverts, forms, comments and the like. A page that then has no text keeps the
+template's; one without that part is taken as its own template.
 
 Cases: a null or empty page has the empty text. A page without a usable url belongs to the host "".
 Repeated rows give repeated results, null ids are passed on, other columns are not read, an empty
@@ -81,7 +81,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         wrappers = map(json.loads, batch.column(1).to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([json.dumps([tree.main_path(w), tree.template_texts(w)]) for w in wrappers], pa.string())], names=["host", "path"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([json.dumps([path := tree.main_path(w), tree.template_texts(w, path)]) for w in wrappers], pa.string())], names=["host", "path"])
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:

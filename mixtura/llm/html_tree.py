@@ -9,8 +9,9 @@ A tree is ``DEPTH`` levels deep at most: as in browsers, what is nested deeper b
 these levels. A wrapper node with more than ``WIDE`` children takes those of one label as one repeated
 group, and the rarest labels beyond as one optional slot, so wrappers do not grow with a host's pages.
 
-Texts that several pages share at one place are the template's: they do not count as the main part's
-and are left out of each page's text. Names only tell apart what the texts leave open.
+Texts that several pages share at one place do not count when the main part is chosen. Of the main
+part, only shared texts outside the run of those that differ are left out (``template_texts``). Names
+only tell apart what the texts leave open.
 """
 
 from __future__ import annotations
@@ -27,11 +28,13 @@ DEPTH = 128
 WIDE = 256
 TEXTS = 4096
 
+# No part can match in two ways, and each ends at the end of the page at the latest, so a page is read in
+# one pass whatever it holds. A quote begins a value after = only.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|object|canvas)\b.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9-]*+)(?P<attrs>(?:[^\"'>]++|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?][^>]*>|(?P<text>[^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|object|canvas)\b.*?(?:</(?P=raw)\s*+>|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9-]*+)(?P<attrs>(?:[^\"'>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+|[\"'])*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)|(?P<text>[^<]++|<)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.I)
+_ATTR = re.compile(r"(?<![a-z-])([a-z-]++)\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s\"'>]++))|\b(hidden)\b", re.I)
 # Fixed sets of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
@@ -42,6 +45,12 @@ _SCOPE = frozenset("ul ol dl table div article main section body".split())
 DROPPED_TAGS = frozenset("head nav footer aside form button select textarea menu dialog script style noscript template iframe fieldset".split())
 _NAMES = "ad|ads|adv|advert|advertisement|adsense|banner|promo|promotion|sponsor|sponsored|sidebar|menu|nav|navbar|navigation|footer|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|share|sharing|social|comment|comments|reply|replies|respond|disqus|related|recommended|breadcrumb|breadcrumbs|subscribe|subscription|newsletter|signup|login|search|widget|toolbar|pagination|pager|copyright|legal|disclaimer|skip|hidden"
 _DROPPED_NAMES = re.compile(rf"(?:^|[\s_.#-])(?:{_NAMES})(?=$|[\s_.#\d-])", re.I)
+#: Names that tell within the main part too, as whole words of a block's class, id or role.
+_PLAIN_NAMES = frozenset(
+    "comment comments comment-list commentlist comment-section comments-section comments-area comment-form comment-respond comment-thread respond replies disqus disqus_thread "
+    "ad ads adv advert adverts advertisement adsense ad-slot ad-unit ad-container ad-banner ad-box ad-wrapper sponsored promo banner share sharing share-buttons share-bar share-links social-share social-links social-buttons "
+    "related related-posts related-articles related-links related-stories newsletter newsletter-signup cookie cookies cookie-banner cookie-notice cookie-bar cookie-consent popup breadcrumb breadcrumbs sidebar nav navbar navigation pagination footer hidden".split()
+)
 _MAIN_NAMES = re.compile(r"(?:^|[\s_.#-])(?:article|articlebody|post|entry|story|content|main)(?=$|[\s_.#\d-])", re.I)
 
 
@@ -117,14 +126,18 @@ def parse(page: str) -> dict:
 
 
 def dropped(label: str, inside: bool) -> bool:
-    """Whether a label says that the element is no article text. Within the main part, a header
-    holds the title. The names of html and body tell how the page looks, not what it holds."""
+    """Whether a label says that the element is no article text. Within the main part, a header holds
+    the title, and only the plainest names count, and only of blocks: what a phrase or a part of an
+    article is called says little. The names of html and body tell how the page looks, not what it holds."""
     tag, _, names = label.partition(" ")
     if tag in DROPPED_TAGS or (tag == "header" and not inside):
         return True
     if tag in ("html", "body"):
         return False
-    return bool(names) and _DROPPED_NAMES.search(names) is not None or (not inside and re.search(r"(?:^|\s)(?:site-)?(?:header|masthead)(?:$|\s)", names) is not None)
+    if inside:
+        words = names.lower().split()
+        return "hidden" in words if tag in INLINE else not _PLAIN_NAMES.isdisjoint(words)
+    return bool(names) and (_DROPPED_NAMES.search(names) is not None or re.search(r"(?:^|\s)(?:site-)?(?:header|masthead)(?:$|\s)", names) is not None)
 
 
 def wrapper_of(node: dict) -> dict:
@@ -271,18 +284,38 @@ def _mass(node: dict, inside: bool = False) -> int:
     return node["n"] - node["a"] + sum(_mass(c, inside) for c in node["c"])
 
 
-def template_texts(wrapper: dict) -> list[int]:
-    """Keys of the texts that belong to the template, each with the labels above it."""
-    out: set[int] = set()
+def template_texts(wrapper: dict, path: list[str]) -> list[int]:
+    """Keys of the texts within ``path`` that belong to the template, each with the labels above it.
+
+    They are the same on nearly all of the host's pages, three at least, and stand before the first or
+    after the last place whose text differs: what pages share in between, as a byline, a date or a
+    heading under the title, is the article's. All that an ``article`` element holds is its own.
+    """
+    if path and path[-1].partition(" ")[0] == "article":
+        return []
+    least = max(3.0, 0.9 * wrapper["k"])
+    nodes, root = [wrapper], 0
+    for label in path:
+        root = _below(root, label)
+        nodes = [c for node in nodes for c in node["c"] if c["l"] == label]
+    places: list[tuple[bool, list[int]]] = []  # whether a slot, keys
 
     def walk(node: dict, at: int) -> None:
-        if _constant(node):
-            out.update(at ^ t for t in node["t"])
+        if node["t"] == 0 or (node["t"] and node["k"] < least):
+            places.append((True, []))
+        elif node["t"]:
+            places.append((False, [at ^ t for t in node["t"]]))
         for c in node["c"]:
-            walk(c, _below(at, c["l"]))
+            if not dropped(c["l"], True):
+                walk(c, _below(at, c["l"]))
 
-    walk(wrapper, 0)
-    return sorted(out)
+    for node in nodes:
+        walk(node, root)
+    slots = [i for i, (slot, _) in enumerate(places) if slot]
+    if not slots:
+        return []
+    outer = {k for i, (_, keys) in enumerate(places) if i < slots[0] or i > slots[-1] for k in keys}
+    return sorted(outer)
 
 
 def _below(at: int, label: str) -> int:

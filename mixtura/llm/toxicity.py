@@ -104,7 +104,8 @@ class Model:
     def segments(self, words: list[str]) -> list[tuple[int, int, float]]:
         """All maximal scoring segments (start, end, score), in one pass; long losing stretches
         between hits are one step."""
-        held: list[tuple[int, int, float, float]] = []  # start, end, sum before it, sum up to its end
+        # start, end, sum before it, sum up to its end, place of the nearest earlier one with a smaller sum before
+        held: list[tuple[int, int, float, float, int]] = []
         total, last = 0.0, 0
         for i, s in ((i, s) for i, s in enumerate(map(self.score, words)) if s > 0):
             total -= self.loss * (i - last)
@@ -112,20 +113,22 @@ class Model:
             start, left, right = i, total, total + s
             total = right
             while True:
+                # From the last one on, each step skips all that cannot lie to the left of this one; what a
+                # later segment skips once, it passes over by one link, so walks add up to linear time.
                 j = len(held) - 1
                 while j >= 0 and held[j][2] >= left:
-                    j -= 1
+                    j = held[j][4]
                 if j < 0 or held[j][3] >= right:
-                    held.append((start, i + 1, left, right))
+                    held.append((start, i + 1, left, right, j))
                     break
                 start, left = held[j][0], held[j][2]
                 del held[j:]
-        return [(s, e, right - left) for s, e, left, right in held]
+        return [(s, e, right - left) for s, e, left, right, _ in held]
 
-    def found(self, text: str) -> tuple[int, list[float]]:
-        """The number of tokens and the scores of the segments."""
+    def found(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
+        """The number of tokens, and the segments."""
         words = tokens(text)
-        return len(words), [score for _, _, score in self.segments(words)]
+        return len(words), self.segments(words)
 
     def evidence(self, n: int, scores: list[float]) -> tuple[float, float, float, float]:
         """Constant, best score and -log expectation of the best, both levelling off near 20, and the
@@ -135,18 +138,18 @@ class Model:
         level = -20 * np.expm1(-np.array([max(scores, default=0.0), max(bits, default=0.0)]) / 20)
         return 1.0, float(level[0]), float(level[1]), float(np.log1p(sum(bits)))
 
-    def passages(self, text: str, significant: float) -> list[dict]:
-        """The significant segments: start, end, score, expectation."""
-        words = tokens(text)
-        kept = [(s, e, score, self.scale * len(words) * float(np.exp(-self.decay * score))) for s, e, score in self.segments(words)]
+    def passages(self, text: str, significant: float, found: tuple[int, list[tuple[int, int, float]]] | None = None) -> list[dict]:
+        """The significant ones of a text's segments (``found``, if known): start, end, score, expectation."""
+        n, segments = found or self.found(text)
+        kept = [(s, e, score, self.scale * n * float(np.exp(-self.decay * score))) for s, e, score in segments]
         kept = [x for x in kept if x[3] < significant]
         if not kept:
             return []
         places = [(m.start() + len(m[0]) - len(m[0].lstrip(_STRIP)), m.start() + len(m[0].rstrip(_STRIP))) for m in _WORD.finditer(text) if m[0].strip(_STRIP)]
         return [{"start": places[s][0], "end": places[e - 1][1], "score": score, "expectation": x} for s, e, score, x in kept]
 
-    def probability(self, found: list[tuple[int, list[float]]]) -> np.ndarray:
-        return sigmoid(np.array([self.evidence(*f) for f in found]).reshape(-1, 4) @ np.array(self.weights))
+    def probability(self, found: list[tuple[int, list[tuple[int, int, float]]]]) -> np.ndarray:
+        return sigmoid(np.array([self.evidence(n, [s for *_, s in held]) for n, held in found]).reshape(-1, 4) @ np.array(self.weights))
 
 
 def _decay(p: np.ndarray, s: np.ndarray) -> float:
@@ -168,7 +171,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int, held_fold: int, sample
     share = min(1.0, sample / max(1, known.count()))
     # Bounded by ``sample``, so it may go to every executor.
     known = F.broadcast(known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id").select("text", "toxic")
+    # Of rows that share an id one text counts, so the sample keeps its bound.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
     signed = written(texts.mapInArrow(_signatures, "text string, toxic int, sig long"), "toxic-sample")
     used = signed.join(F.broadcast(signed.groupBy("sig").agg((1 / F.count("*")).alias("weight"))), "sig").select("text", "toxic", "weight")
     counts = written(used.mapInArrow(_term_counts, "term string, other double, toxic double").groupBy("term").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")), "toxic-terms")
@@ -194,17 +198,23 @@ def train(docs: DataFrame, labels: DataFrame, folds: int, held_fold: int, sample
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, scores = zip(*(seen.value.found(t or "") for t in batch.column(0).to_pylist())) if batch.num_rows else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(scores, pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["n", "scores", "toxic", "weight"])
+            held = [seen.value.found(t or "") for t in batch.column(0).to_pylist()]
+            scores = [[s for *_, s in segments] for _, segments in held]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in held], pa.int64()), pa.array([max(s, default=0.0) for s in scores], pa.float64()), pa.array(scores, pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["n", "best", "scores", "toxic", "weight"])
 
-    # A few numbers for each row of the sample.
-    rows = used.mapInArrow(judged, "n long, scores array<double>, toxic int, weight double").toPandas()
-    plain = rows[rows.toxic == 0]
-    best = np.array([max(s, default=0.0) for s in plain.scores])
+    rows = written(used.mapInArrow(judged, "n long, best double, scores array<double>, toxic int, weight double"), "toxic-found")
     # The scale at which the best scores of plain texts are likeliest.
-    model.scale = float(plain.weight.sum() / max((plain.weight * np.maximum(1, plain.n) * np.exp(-model.decay * best)).sum(), 1e-12))
-    x = np.array([model.evidence(n, list(s)) for n, s in zip(rows.n, rows.scores)])
-    model.weights = tuple(_fit(x, rows.toxic.to_numpy(), rows.weight.to_numpy()))
+    mean = rows.filter("toxic = 0").agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * F.greatest("n", F.lit(1)) * F.exp(-model.decay * F.col("best"))).alias("e")).first()
+    model.scale = float((mean.w or 0.0) / max(mean.e or 0.0, 1e-12))
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([model.evidence(n, s) for n, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(4)), batch.column(2), batch.column(3)], names=["x0", "x1", "x2", "x3", "toxic", "weight"])
+
+    # Six numbers for each row of the sample.
+    fit = rows.select("n", "scores", "toxic", "weight").mapInArrow(weighed, "x0 double, x1 double, x2 double, x3 double, toxic int, weight double").toPandas()
+    model.weights = tuple(_fit(fit[["x0", "x1", "x2", "x3"]].to_numpy(), fit.toxic.to_numpy(), fit.weight.to_numpy()))
     return model
 
 
@@ -230,10 +240,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int
         m = model.value
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            score = np.zeros(len(texts)) if m is None else m.probability([m.found(t) for t in texts])
+            found = [m.found(t) if m is not None else (0, []) for t in texts]
+            score = np.zeros(len(texts)) if m is None else m.probability(found)
             # A text with a significant segment has evidence, and so a score above the least.
             least = 0.0 if m is None else m.probability([(1, [])])[0]
-            passages = [m.passages(t, significant) if m is not None and s != least else [] for t, s in zip(texts, score)]
+            passages = [m.passages(t, significant, f) if m is not None and s != least else [] for t, s, f in zip(texts, score, found)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(passages, _PASSAGES_ARROW)], names=["doc_id", "score", "passages"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, f"doc_id long, score double, passages {_PASSAGES}")

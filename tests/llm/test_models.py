@@ -69,6 +69,15 @@ def test_segments_are_the_maximal_ones():
         assert all(x[1] <= y[0] for x, y in zip(found, found[1:])) and sum(b - a for a, b, _ in found) >= words.count("bad")
 
 
+def test_segments_of_a_million_hits_far_apart_in_linear_time():
+    import time
+
+    m = tox.Model({"vile": 1.0}, 0.2)
+    began = time.perf_counter()
+    n = len(m.segments((["vile"] + ["calm"] * 9) * 1_000_000))
+    assert n == 1_000_000 and time.perf_counter() - began < 60
+
+
 def test_decay_solves_its_equation():
     p, s = np.array([0.05, 0.95]), np.array([2.0, -0.3])
     assert p @ np.exp(tox._decay(p, s) * s) == pytest.approx(1)
