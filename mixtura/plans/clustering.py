@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from mixtura.functions.vec import dbl, literal, r6, sqdist
-from mixtura.operators import classify, clusters, ensemble, evaluation, landmark, linear, mixture, vbgmm
+from mixtura.operators import blocks, classify, clusters, ensemble, evaluation, landmark, linear, mixture, vbgmm
 from mixtura.plans.fixtures import centroids, emb, emb_long, qin, table, with_
 from mixtura.plans.registry import Registry
 
@@ -76,10 +76,14 @@ SELECT CAST(step - 1 AS INT) AS step, ma AS a, mb AS b, round(max(h), 9) + 0.0::
 @query(_POOLED)
 def agglomerate_truncated(spark, d):
     """Agglomeration by the mean of the lowest quarter of the pair divergences, pooled anew at each step."""
-    pairs = clusters.pair_metrics(qin(spark, d), "vec_id", "jeffreys", "label").filter("label_a <> label_b").cache()
-    out = clusters.agglomerate([pairs]).withColumn("height", F.round("height", 9) + dbl(0))
-    pairs.unpersist()
-    return out
+    out = blocks.agglomerated([qin(spark, d)], "jeffreys", 0.25, id_col="vec_id", label="label")
+    return out.withColumn("height", F.round("height", 9) + dbl(0))
+
+
+@query("WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings), p AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.x, b.x)) AS s, count(*) AS n FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY ALL), m AS (SELECT vec_id, label, max(CASE WHEN other = label THEN s / n END) AS a, min(CASE WHEN other <> label THEN s / n END) AS b FROM p GROUP BY ALL) SELECT vec_id, CAST(label AS BIGINT) AS label, round(CASE WHEN b IS NULL THEN NULL WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 5) + 0.0::DOUBLE AS silhouette FROM m")
+def silhouette_exact(spark, d):
+    s = blocks.silhouettes(emb(spark, d), "vec_id", "label")
+    return s.select("vec_id", "label", (F.round("silhouette", 5) + dbl(0)).alias("silhouette"))
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mixtura.functions import nist, vec
 from mixtura.functions.vec import r6
-from mixtura.operators import clusters
+from mixtura.operators import blocks, clusters
 from mixtura.plans.fixtures import TAU, emb, qin, scores_to_centroids, table, with_
 from mixtura.plans.registry import Registry
 
@@ -141,8 +141,8 @@ def coloc_pairs(spark, d):
 
 @query(with_("lng", "cent", "d2", "qin", more=_JEFF) + ", r AS (SELECT least(label_a, label_b) AS a, greatest(label_a, label_b) AS b, dist, row_number() OVER (PARTITION BY least(label_a, label_b), greatest(label_a, label_b) ORDER BY dist) AS i, count(*) OVER (PARTITION BY least(label_a, label_b), greatest(label_a, label_b)) AS n FROM pairs) SELECT a, b, max(n) AS n, round(avg(dist), 5) + 0.0::DOUBLE AS dist FROM r WHERE i <= greatest(1, floor(n * 0.25)) GROUP BY a, b")
 def davgquant(spark, d):
-    q = clusters.quantile_mean(clusters.pair_metrics(qin(spark, d), "vec_id", "jeffreys", "label"), 0.25)
-    return q.select("a", "b", "n", (F.round("dist", 5) + vec.dbl(0)).alias("dist"))
+    q = blocks.truncated_means(qin(spark, d), "jeffreys", 0.25, id_col="vec_id", label="label")
+    return q.select(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), "n", (F.round("dist", 5) + vec.dbl(0)).alias("dist"))
 
 
 _MEANS = "pm AS (SELECT label, k, avg(p) AS p FROM qin GROUP BY ALL), tot AS (SELECT k, avg(p) AS u FROM qin GROUP BY ALL)"
