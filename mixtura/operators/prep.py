@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixtura.functions.vec import dbl
+from mixtura.operators import impute
 from mixtura.operators.ranking import bucketed, quantiles, running
 
 
@@ -85,58 +86,29 @@ def relabel_by_prior(df: DataFrame, c: str, priors: list[float], name: str = "la
     return df.withColumn(name, sum(((F.col(c) <= dbl(b)).cast("int") for b in bounds), F.lit(0)))
 
 
-def knn_impute(df: DataFrame, id_col: str, x: str, k: int = 10, shrink: float = 1e10, block: int = 4096) -> DataFrame:
-    """Missing (null) cells of the array column filled from the k nearest complete rows.
+def knn_impute(df: DataFrame, id_col: str, x: str, k: int = 10, shrink: float = 1e10, max_iter: int = 0) -> DataFrame:
+    """Missing (null, NaN) cells of the array column filled from the k nearest complete rows.
 
-    The rows to fill are the stated queries: they are taken in blocks of a fixed size, and each
-    partition of complete rows answers a block with its own k nearest, which are then merged; no
-    table of pairs is made. Weights are 1 / (d + mean(d) / shrink), normalised over the k. Distances
-    use the cells that the query has.
+    Weights are 1 / (d + mean(d) / shrink), normalised over the k. Without ``max_iter``, distances use the
+    cells that the row has; with it, filled cells count too and rows are filled again up to so many
+    times, until they stand still.
     """
-    has_all = F.size(F.filter(x, lambda v: v.isNull() | F.isnan(v))) == 0
-    full, holes = df.filter(has_all).select(id_col, x), df.filter(~has_all).select(id_col, x)
-    slots = max(1, -(-holes.count() // block))
-    id_type = dict(df.dtypes)[id_col]
-    found = None
-    for b in range(slots):
-        # At most about ``block`` queries at a time go to the executors.
-        queries = df.sparkSession.sparkContext.broadcast([(r[0], np.array([np.nan if v is None else v for v in r[1]])) for r in holes.filter(F.pmod(F.xxhash64(id_col), F.lit(slots)) == b).collect()])
-
-        def nearest(batches, queries=queries):
-            kept: dict = {}
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                points, ids = np.stack(pdf[x].to_numpy()), pdf[id_col].to_numpy()
-                for i, (q, v) in enumerate(queries.value):
-                    seen = ~np.isnan(v)
-                    d = np.sqrt(((points[:, seen] - v[seen]) ** 2).sum(axis=1))
-                    best = [(float(d[j]), ids[j], points[j].tolist()) for j in np.lexsort((ids, d))[:k]]
-                    kept[i] = sorted(kept.get(i, []) + best, key=lambda r: r[:2])[:k]
-            rows = [(queries.value[i][0], *r) for i, near in kept.items() for r in near]
-            yield pd.DataFrame(rows, columns=[id_col, "d", "near", "point"])
-
-        part = full.mapInPandas(nearest, f"{id_col} {id_type}, d double, near {id_type}, point array<double>")
-        found = part if found is None else found.unionByName(part)
-    best = found.groupBy(id_col).agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "near", "point"))), 1, k).alias("n"))
-    mean = F.aggregate("n", dbl(0), lambda a, v: a + v["d"]) / F.size("n")
-    best = best.withColumn("_m", mean).withColumn("_w", F.transform("n", lambda v: 1 / (v["d"] + F.greatest(F.col("_m") / shrink, dbl(1e-300)))))
-    best = best.withColumn("_t", F.aggregate("_w", dbl(0), lambda a, v: a + v))
-    filled = F.transform(x, lambda v, i: F.when(v.isNull() | F.isnan(v), F.aggregate(F.zip_with("n", "_w", lambda p, w: w * F.get(p["point"], i)), dbl(0), lambda a, b: a + b) / F.col("_t")).otherwise(v))
-    return df.join(best, id_col, "left").withColumn(x, F.when(F.col("n").isNotNull(), filled).otherwise(F.col(x))).select(*df.columns)
-
-
-def treat_missing(df: DataFrame, id_col: str, columns: list[str], how: str = "impute", k: int = 10) -> DataFrame:
+    return impute.impute_rows(df, id_col, x, k, max_iter, shrink=shrink) if max_iter else impute.fill_once(df, id_col, x, k, shrink)
+
+
+def treat_missing(df: DataFrame, id_col: str, columns: list[str], how: str = "impute", k: int = 10, max_iter: int = 0) -> DataFrame:
     """One entry for the ways to treat missing cells: ``rows`` and ``columns`` drop what holds one,
-    ``impute`` fills from the k nearest complete rows."""
+    ``impute`` fills from the k nearest complete rows, ``impute_columns`` from the k nearest complete
+    columns, both to a fixed point within ``max_iter`` rounds (0: rows once, columns 50)."""
     if how == "rows":
         return drop_missing_rows(df, columns)
     if how == "columns":
         return drop_missing_columns(df, columns)
-    if how != "impute":
+    if how not in ("impute", "impute_columns"):
         raise ValueError(f"unknown treatment {how!r}")
     x = F.array(*(F.when(~missing(c), F.col(c).cast("double")) for c in columns))
-    filled = knn_impute(df.select(id_col, x.alias("_x")), id_col, "_x", k)
+    rows = df.select(id_col, x.alias("_x"))
+    filled = knn_impute(rows, id_col, "_x", k, max_iter=max_iter) if how == "impute" else impute.impute_columns(rows, "_x", k, max_iter or 50)
     kept = [c for c in df.columns if c not in columns]
     return df.select(*kept).join(filled, id_col).select(*kept, *(F.get("_x", F.lit(i)).alias(c) for i, c in enumerate(columns)))
 

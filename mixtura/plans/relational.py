@@ -118,6 +118,23 @@ def knn_impute_k(spark, d):
     return filled.filter(F.col("vec_id") % 7 == 0).select("vec_id", (F.round(F.get("x", (F.col("vec_id") % 64).cast("int")), 5) + F.lit(0.0)).alias("v"))
 
 
+def _impute_round(t: int) -> str:
+    """One round over the state s{t} (vec_id, feature, value) of the rows with a hole."""
+    return f"""dist{t} AS (SELECT s.vec_id AS q, m.vec_id AS n, sqrt(sum((s.value - m.value) * (s.value - m.value))) AS d FROM s{t} s JOIN miss m ON m.feature = s.feature JOIN comp c ON c.vec_id = m.vec_id GROUP BY ALL),
+near{t} AS (SELECT q, n, d FROM dist{t} QUALIFY row_number() OVER (PARTITION BY q ORDER BY d, n) <= 5), w{t} AS (SELECT q, n, 1 / (d + avg(d) OVER (PARTITION BY q) / 1e10) AS w FROM near{t}),
+v{t} AS (SELECT w.q, sum(w.w * m.value) / sum(w.w) AS v FROM w{t} w JOIN hole h ON h.vec_id = w.q JOIN miss m ON m.vec_id = w.n AND m.feature = h.feature GROUP BY w.q),
+s{t + 1} AS (SELECT s.vec_id, s.feature, CASE WHEN h.vec_id IS NULL THEN s.value ELSE v END AS value FROM s{t} s LEFT JOIN hole h ON h.vec_id = s.vec_id AND h.feature = s.feature JOIN v{t} ON q = s.vec_id)"""
+
+
+@query(with_("lng", more=_MISS) + f""", comp AS (SELECT vec_id FROM miss GROUP BY vec_id HAVING count(value) = count(*)), hole AS (SELECT vec_id, feature FROM miss WHERE value IS NULL), mean AS (SELECT feature, avg(value) AS m FROM miss JOIN comp USING (vec_id) GROUP BY feature),
+s0 AS (SELECT miss.vec_id, feature, coalesce(value, m) AS value FROM miss JOIN (SELECT DISTINCT vec_id FROM hole) h ON h.vec_id = miss.vec_id JOIN mean USING (feature)), {_impute_round(0)}, {_impute_round(1)}
+SELECT h.vec_id, round(value, 5) + 0.0::DOUBLE AS v FROM hole h JOIN s2 ON s2.vec_id = h.vec_id AND s2.feature = h.feature""")
+def knn_impute_rounds(spark, d):
+    """Two rounds, in which filled cells take part in the distances."""
+    filled = prep.knn_impute(emb_missing(spark, d).select("vec_id", "x"), "vec_id", "x", k=5, max_iter=2)
+    return filled.filter(F.col("vec_id") % 7 == 0).select("vec_id", (F.round(F.get("x", (F.col("vec_id") % 64).cast("int")), 5) + F.lit(0.0)).alias("v"))
+
+
 @query(with_("lng", more=_MISS) + "SELECT vec_id, count(*) - count(value) AS missing FROM miss GROUP BY vec_id")
 def missing_view(spark, d):
     wide, names = _wide_missing(spark, d)
