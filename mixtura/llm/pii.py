@@ -75,7 +75,9 @@ _LOOKALIKE = dict(zip("АВЕЅІЈКМНОРСТУХҮӀԚԜаеѕіјорсу
 _LOOKALIKE |= dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγικνορυχωϲϳ", "ABEZHIKMNOPTYXayiknopuxwcj"))  # Greek
 _LOOKALIKE |= dict(zip("ՍՕհոսցօզյ", "UOhnugoqj"))  # Armenian
 _LOOKALIKE |= dict(zip("ꓐꓚꓓꓖꓝꓙꓗꓡꓟꓠꓳꓑꓢꓔꓴꓥꓪꓫꓬꓜ", "BCDGFJKLMNOPSTUVWXYZ"))  # Lisu
-_LOOKALIKE |= dict(zip("ıɑɡɩƅʋɪ∗⁺。⁃", "iagibvi*+.-"))  # other signs
+_LOOKALIKE |= dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ"))  # Cherokee
+_LOOKALIKE |= dict(zip("ⲀⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲬⲟⲣⲥ", "ABHIKMNOPCTXopc"))  # Coptic
+_LOOKALIKE |= dict(zip("ıɑɡɩƅʋɪ∗⁺。⁃․", "iagibvi*+.-."))  # other signs
 _DASHES = "‐‑‒–—―−﹣"
 _INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 _BLANKS = "\u00a0\u2002\u2003\u2007\u2009\u202f\u3000"
@@ -129,30 +131,46 @@ _NUMBERS = {
     "zéro": 0, "un": 1, "deux": 2, "trois": 3, "quatre": 4, "cinq": 5, "sept": 7, "huit": 8, "neuf": 9,
     "cero": 0, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9,
 }
+# Numbers of two digits, as they are spelled; tens may be followed by a unit.
+_TEENS = {
+    "ten": "10", "eleven": "11", "twelve": "12", "thirteen": "13", "fourteen": "14", "fifteen": "15", "sixteen": "16", "seventeen": "17", "eighteen": "18", "nineteen": "19",
+    "zehn": "10", "elf": "11", "zwölf": "12", "dreizehn": "13", "vierzehn": "14", "fünfzehn": "15", "sechzehn": "16", "siebzehn": "17", "achtzehn": "18", "neunzehn": "19",
+    "dix": "10", "onze": "11", "douze": "12", "treize": "13", "quatorze": "14", "quinze": "15", "seize": "16",
+    "diez": "10", "doce": "12", "trece": "13", "catorce": "14", "quince": "15", "dieciséis": "16", "diecisiete": "17", "dieciocho": "18", "diecinueve": "19",
+}
+_TENS = {"twenty": "2", "thirty": "3", "forty": "4", "fifty": "5", "sixty": "6", "seventy": "7", "eighty": "8", "ninety": "9"}
+_TIMES = {"double": 2, "triple": 3, "doppel": 2, "doble": 2}
+_UNIT = "one|two|three|four|five|six|seven|eight|nine"
 _NUMBER = "|".join(sorted(_NUMBERS, key=len, reverse=True))
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _DOTS = "dot|punkt|punto|point"
 _AT_SIGN = rf"\x20?{_OPEN}\x20?(?:at|ät|arroba|arobase|@)\x20?{_CLOSE}\x20?"
 _DOT_SIGN = rf"\x20?{_OPEN}\x20?(?:{_DOTS}|\.)\x20?{_CLOSE}\x20?"
 #: Number words and digits in a row; dots between them may be spelled or bracketed.
-_ELEMENT = rf"(?:(?:{_NUMBER})(?!\w)|[0-9]++)"
-_STEP = rf"(?:{_DOT_SIGN}|\x20(?:{_DOTS})\x20|[\x20,-]{{1,3}}+|\.)"
+_LONGER = rf"(?:{'|'.join(_TIMES)})\x20(?:{_NUMBER})(?!\w)|(?:{'|'.join(_TENS)})(?:[\x20-](?:{_UNIT})(?!\w))?+(?!\w)|(?:{'|'.join(_TEENS)})(?!\w)"
+_ELEMENT = rf"(?:{_LONGER}|(?:{_NUMBER})(?!\w)|[0-9]++)"
+_GAP = r"[\x20\t\r\n,;:/-]{1,8}+"
+_STEP = rf"(?:{_DOT_SIGN}|\x20(?:{_DOTS})\x20|{_GAP}|\.)"
 _RUN = re.compile(rf"(?i)(?<!\w){_ELEMENT}(?:{_STEP}{_ELEMENT})++")
-_PART = re.compile(rf"(?i)(?P<word>(?:{_NUMBER})(?!\w))|(?P<digits>[0-9]++)|(?P<dot>{_DOT_SIGN}|\x20(?:{_DOTS})\x20)|(?P<gap>[\x20,-]{{1,3}}+|\.)")
-_PLUS = re.compile(rf"(?i)(?<!\w)plus\x20(?=[0-9]|(?:{_NUMBER})(?!\w))")
+_PART = re.compile(rf"(?i)(?P<long>{_LONGER})|(?P<word>(?:{_NUMBER})(?!\w))|(?P<digits>[0-9]++)|(?P<dot>{_DOT_SIGN}|\x20(?:{_DOTS})\x20)|(?P<gap>{_GAP}|\.)")
+_PLUS = re.compile(rf"(?i)(?<!\w)plus\x20(?=[0-9]|(?:{_NUMBER})(?!\w)|{_LONGER})")
 #: Where what stands for the sign of an address may begin.
-_SIGNS = ("@", "[", "(", "{", "<", " at ", " ät ", " arroba ", " arobase ")
+_SIGNS = ("@", "[", "(", "{", "<", " at ", " ät ", " arroba ", " arobase ", "_at_")
 #: What can stand for the sign of an address; the words say how its dots may be spelled.
-_AT = re.compile(rf"(?i)(?P<sign>{_AT_SIGN})|\x20(?P<word>at|ät|arroba|arobase)\x20|\x20?@\x20?")
+_WHITE = r"[\x20\t\r\n]"
+_AT = re.compile(rf"(?i)(?P<sign>{_AT_SIGN})|{_WHITE}(?P<word>at|ät|arroba|arobase){_WHITE}|(?P<joint>_at_)|\x20?@\x20?")
 _SPOKEN = {"at": "dot", "ät": "punkt|dot", "arroba": "punto|dot", "arobase": "point|dot", None: _DOTS}
+_JOINT = re.compile(r"(?i)[a-z0-9-]++(?:_dot_[a-z0-9-]++)++(?![\w.])")
 _LABEL = r"[a-z0-9-]++"
-_AFTER = {at: re.compile(rf"(?i){_LABEL}(?:(?:{_DOT_SIGN}|\x20(?:{dots})\x20|\x20\.\x20|\.)(?={_LABEL}(?!\w)){_LABEL})++") for at, dots in _SPOKEN.items()}
-_DOT = re.compile(rf"(?i){_DOT_SIGN}|\x20(?:{_DOTS})\x20|\x20\.\x20")
+_AFTER = {at: re.compile(rf"(?i){_LABEL}(?:(?:{_DOT_SIGN}|{_WHITE}(?:{dots}){_WHITE}|\x20\.\x20|\.)(?={_LABEL}(?!\w)){_LABEL})++") for at, dots in _SPOKEN.items()}
+_DOT = re.compile(rf"(?i){_DOT_SIGN}|{_WHITE}(?:{_DOTS}){_WHITE}|_dot_|\x20\.\x20")
 _BEFORE = re.compile(rf"(?i)(?:{_DOT_SIGN}|\x20(?:{_DOTS})\x20|\x20\.\x20)\Z")
 #: A spelled dot with its signs is so long at most.
 _LONGEST = 12
 #: Last labels of domains that are no English words.
-_TOP = frozenset("com org net edu gov mil int info biz name dev app io co uk de fr es pt nl be ch at eu ca au nz jp cn kr ru pl cz se dk fi ie gr tr br mx ar cl za".split())
+_TOP = frozenset(
+    "com org net edu gov mil int info biz name dev app io co uk de fr es pt nl be ch at eu ca au nz jp cn kr ru pl cz se dk fi ie gr tr br mx ar cl za lu li hu ro bg hr si sk lt lv ee ua il sg hk tw th vn ph id my pk ae sa eg ng ke pe ve uy "
+    "berlin hamburg koeln bayern wien tirol paris bzh alsace madrid barcelona cat eus gal london scot wales nyc online shop store tech cloud blog email xyz club site website web agency digital media network solutions systems jobs mobi tel travel asia museum aero coop".split())
 #: Words before "at" that begin no address.
 _PLAIN = frozenset("a an and are arrive arrived at available back be been being both buy call came come developed do everyone find found free get go going good had hard has have he her here him hosted i is it join just later live lives living located look looked looking looks made me meet more not now of off on one only or order out people posted published read see seen she shop sold stand started stay still stop that the them then there they this those time today tomorrow up us visit was we were work worked working works you".split())
 
@@ -200,6 +218,16 @@ def _glyph_edits(text: str) -> list[tuple[int, int, str]]:
     return [] if text.isascii() or _GLYPHS.isdisjoint(set(text)) else [(m.start(), m.end(), _glyph(m[0]) or "") for m in _DISGUISE.finditer(text)]
 
 
+def _long_number(low: str) -> str:
+    """The digits of a doubled digit, of a number from ten to nineteen, or of tens with or without a unit."""
+    if low in _TEENS:
+        return _TEENS[low]
+    first, last = re.split(r"[\x20-]", low)[0], re.split(r"[\x20-]", low)[-1]
+    if first in _TIMES:
+        return str(_NUMBERS[last]) * _TIMES[first]
+    return _TENS[first] + ("0" if last == first else str(_NUMBERS[last]))
+
+
 def _number_edits(text: str) -> list[tuple[int, int, str]]:
     """Spelled digits in runs of numbers become digits that stand together; spelled dots between
     numbers become dots; a spelled plus before a number becomes its sign."""
@@ -207,27 +235,47 @@ def _number_edits(text: str) -> list[tuple[int, int, str]]:
     for run in _RUN.finditer(text):
         parts = list(_PART.finditer(text, run.start(), run.end()))
         for k, m in enumerate(parts):
-            if m["word"]:
+            if m["long"]:
+                edits.append((m.start(), m.end(), _long_number(m[0].lower())))
+            elif m["word"]:
                 edits.append((m.start(), m.end(), str(_NUMBERS[m[0].lower()])))
             elif m["dot"]:
                 edits.append((m.start(), m.end(), "."))
-            elif m["gap"] and m[0] != "." and (parts[k - 1]["word"] or parts[k + 1]["word"]):
+            elif m["gap"] and m[0] != ".":
+                beside = (parts[k - 1], parts[k + 1])
+                # After a number like ten a comma begins another one.
+                if not any(p["word"] or p["long"] for p in beside) or (any(p["long"] for p in beside) and m[0].strip(" -")):
+                    continue
                 edits.append((m.start(), m.end(), ""))
     return sorted(edits)
 
 
+#: Line breaks and tabs stand for a space around a written sign.
+_TO_SPACES = str.maketrans("\t\r\n", "   ")
+#: Character references of ASCII characters.
+_REFERENCE = re.compile(r"(?i)&(?:#0*+([0-9]{2,3})|#x0*+([0-9a-f]{2})|(commat|period|plus|lowbar|hyphen));")
+_NAMED = {"commat": "@", "period": ".", "plus": "+", "lowbar": "_", "hyphen": "-"}
+
+
+def _reference_edits(text: str) -> list[tuple[int, int, str]]:
+    if "&" not in text:
+        return []
+    found = [(m, _NAMED[m[3].lower()] if m[3] else chr(int(m[1]) if m[1] else int(m[2], 16))) for m in _REFERENCE.finditer(text)]
+    return [(m.start(), m.end(), c) for m, c in found if _WRITTEN.fullmatch(c) or c == " "]
+
+
 def _address_edits(text: str) -> list[tuple[int, int, str]]:
     """Disguised signs and dots of addresses. An "at" that is a word needs a dot that is spelled, or
     a name before it and a domain after it that only an address has."""
     edits, free = [], 0
-    for sign in _found(_lower(text), _SIGNS):
+    for sign in _found(_lower(text).translate(_TO_SPACES), _SIGNS):
         # A space before it is part of it.
         m = (_AT.match(text, sign - 1) if text[max(0, sign - 1) : sign] == " " else None) or _AT.match(text, sign)
         if not m or m.end() <= sign:
             continue
         at, end = m.start(), m.end()
         word = m["word"].lower() if m["word"] else None
-        found = _AFTER[word].match(text, end)
+        found = _JOINT.match(text, end) if m["joint"] else _AFTER[word].match(text, end)
         if not found or at < free:
             continue
         start, dots = _local(text, at, free)
@@ -283,16 +331,17 @@ def _local(text: str, at: int, free: int) -> tuple[int, list[tuple[int, int, str
 
 def normalise(text: str) -> Normalised:
     n = Normalised(text)
-    n.replace(_glyph_edits(text))
+    n.replace(_reference_edits(text))
+    n.replace(_glyph_edits(n.text))
     if _has_numbers(n.text):
         n.replace(_number_edits(n.text))
     n.replace(_address_edits(n.text))
     return n
 
 
-_WORDS_OF_NUMBERS = frozenset(_NUMBERS) | frozenset(_DOTS.split("|")) | {"plus"}
+_WORDS_OF_NUMBERS = frozenset(_NUMBERS) | frozenset(_TEENS) | frozenset(_TENS) | frozenset(_TIMES) | frozenset(_DOTS.split("|")) | {"plus"}
 _BRACKETED_DOT = re.compile(r"[\[({<]\x20?\.")
-_APART = ",-.[](){}<>"
+_APART = ",-.;:/[](){}<>"
 
 
 def _has_numbers(text: str) -> bool:
@@ -328,9 +377,14 @@ def spans_of(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int
 
 
 def _meets(spans: list[tuple[int, int]], start: int, end: int) -> bool:
-    """Whether a range meets one of some spans that lie in order."""
+    """Whether a range meets one of some spans that lie in order, other than by covering it and more."""
     i = bisect_left(spans, (end, 0)) - 1
-    return i >= 0 and spans[i][1] > start
+    while i >= 0 and spans[i][1] > start:
+        s, e = spans[i]
+        if not (start <= s and e <= end and (start, end) != (s, e)):
+            return True
+        i -= 1
+    return False
 
 
 def joined(spans: list[tuple[str, int, int]], key=None) -> str:
