@@ -22,6 +22,8 @@ from mixtura.llm.pii import mask_pii
 from mixtura.llm.quality_pu import quality_classifier
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Files whose numbers are broadcast; where there are more, rows get their keys as they are written.
+FILES = 100_000
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -31,7 +33,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
         rows = docs.select(*COLUMNS, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     except AnalysisException:
         return _keyed(written(docs.select(*COLUMNS), "pipeline-rows"))
-    files = rows.select("file").distinct().withColumn("n", F.row_number().over(Window.orderBy("file")).cast("long"))
+    files = rows.select("file").distinct()
+    if files.count() > FILES:
+        return written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_key")), "pipeline-keys")
+    files = files.withColumn("n", F.row_number().over(Window.orderBy("file")).cast("long"))  # FILES rows at most
     return rows.join(F.broadcast(files), "file").select(*COLUMNS, (F.col("n") * (1 << 40) + F.col("row")).alias("row_key"))
 
 
