@@ -68,3 +68,15 @@ def test_stages_bear_empty_tables_and_other_columns(spark, texts, tmp_path):
             assert got.columns == cp.COLUMNS and got.count() <= 5
         if name in ("exact_dedup", "jaccard_join"):
             assert {r.doc_id for r in got.collect()} >= {2, 3}
+
+
+def test_more_files_than_are_broadcast(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(i % 7, f"text {i}", "en", "s", 1) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    df.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    few = cp._keyed(docs)
+    monkeypatch.setattr(cp, "FILES", 2)
+    many = cp._keyed(docs)
+    for rows in (few, many):
+        assert rows.count() == rows.select("row_key").distinct().count() == 20
+        assert sorted(r.text for r in rows.collect()) == sorted(r.text for r in docs.collect())
