@@ -97,3 +97,11 @@ def grid(data: DataFrame, name: str, points: int = 100) -> DataFrame:
     for c in p.regressors:
         bounds = bounds.withColumn(c, even(F.col(f"low_{c}"), F.col(f"high_{c}")))
     return bounds.select(*p.regressors, p.predictor(*(F.col(c) for c in p.regressors)).alias("predicted"))
+
+
+def overlay(data: DataFrame, name: str, points: int = 100) -> DataFrame:
+    """(kind, regressors, y, predicted): the observations with their predictions, and the predictor on an
+    even grid between them (``y`` null), as one table to plot."""
+    p = problem(name)
+    own = data.select(F.lit("data").alias("kind"), *p.regressors, "y", p.predictor(*(F.col(c) for c in p.regressors)).alias("predicted"))
+    return own.unionByName(grid(data, name, points).select(F.lit("grid").alias("kind"), *p.regressors, F.lit(None).cast("double").alias("y"), "predicted"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +11,8 @@ from pyspark.sql import functions as F
 
 from mixtura.functions.vec import dbl
 from mixtura.operators import impute
-from mixtura.operators.ranking import bucketed, quantiles, running
+from mixtura.operators.ranking import quantiles, running
+from mixtura.sources.shared import stored
 
 
 def missing(c: str) -> Column:
@@ -46,12 +49,10 @@ def missing_view(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
 
 
 def dense_codes(df: DataFrame, c: str, name: str) -> DataFrame:
-    """Codes 0.. of the sorted distinct values, joined by value. Values are ranked in buckets, texts by
-    the number that their first bytes make, so no task ranks them all."""
-    kind = dict(df.dtypes)[c]
-    first = F.conv(F.rpad(F.hex(F.substring(F.col(c).cast("binary"), 1, 6)), 12, "0"), 16, 10)
-    number = F.when(F.isnan(c), F.lit(float("inf"))).otherwise(F.col(c)) if kind in ("double", "float") else first if kind in ("string", "binary") else F.col(c)
-    levels = bucketed(df.select(c).distinct().filter(F.col(c).isNotNull()).withColumn("_v", number.cast("double")), [], "_v")
+    """Codes 0.. of the sorted distinct values, joined by value. The distinct values are dealt to ranges
+    of their own order, whatever they begin with, so no task ranks them all."""
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    levels = stored(df.select(c).distinct().filter(F.col(c).isNotNull()).repartitionByRange(n, c).withColumn("_bucket", F.spark_partition_id()), "levels")
     sizes = levels.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
     offsets = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -133,6 +134,59 @@ def recode_table(df: DataFrame, id_col: str, kinds: dict[str, str], declared_mis
     return treat_missing(out, id_col, columns, how, k)
 
 
+def recode_described(df: DataFrame, id_col: str, variables: DataFrame, recoded: bool = True, drop_missing_categories: bool = True, least: float = 0.5, how: str = "impute", k: int = 10, detect: Callable[[str], Column] = missing, treat: Callable[[DataFrame, str, list[str]], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(features, targets) of a mixed table by its own description ``variables`` (name, role, type,
+    missing_values), a row for each variable.
+
+    Variables of role Feature are recoded by type: Continuous and Integer ones are cast, what is no number
+    is missing; Categorical and Binary ones become +-0.5 for two levels, else an indicator for each level
+    in order. A variable whose column is an array gives a column ``name_i`` for each place. Categorical
+    variables that are declared to have missing values ("yes") go, unless ``drop_missing_categories`` is
+    off. Without ``recoded``, categories stay as they are, and their codes only help to fill the numbers.
+    Columns with fewer values than the share ``least`` go; missing cells are treated as ``how`` says.
+    ``detect`` tells a missing number, ``treat`` replaces the treatment. Targets are the columns of role
+    Target, as they are; unknown types raise.
+    """
+    described = variables.select("name", "role", "type", "missing_values").collect()  # a row for each variable
+    kinds = dict(df.dtypes)
+    numbers: dict[str, Column] = {}
+    raw: list[str] = []
+    levelled: list[tuple[str, Column]] = []
+    for r in (r for r in described if r.role == "Feature"):
+        parts = [(r.name, F.col(r.name))]
+        if kinds[r.name].startswith("array"):
+            width = df.agg(F.max(F.size(r.name))).first()[0] or 0
+            parts = [(f"{r.name}_{i}", F.get(r.name, F.lit(i))) for i in range(width)]
+        if r.type in ("Continuous", "Integer"):
+            for name, c in parts:
+                number = c.cast("string").try_cast("double")
+                numbers[name] = number
+        elif r.type in ("Categorical", "Binary"):
+            if not (drop_missing_categories and r.missing_values == "yes"):
+                levelled += parts
+                raw += [name for name, _ in parts]
+        else:
+            raise ValueError(f"unknown type {r.type!r} of {r.name}")
+    out = df.select(id_col, *(c.alias(n) for n, c in numbers.items()), *(c.cast("string").alias(n) for n, c in levelled))
+    for name in numbers:
+        out = out.withColumn(name, F.when(~detect(name), F.col(name)))
+    codes: list[str] = []
+    for name, _ in levelled:
+        before = set(out.columns)
+        levels = sorted(r[0] for r in out.select(name).distinct().collect() if r[0] is not None)  # levels of a category
+        kept = out.withColumn(f"_raw_{name}", F.col(name)) if not recoded else out
+        out = recode(kept, name, levels)
+        codes += [c for c in out.columns if c not in before and not c.startswith("_raw_") or c == name]
+    held = condense(out, [*numbers, *codes], least)
+    columns = [c for c in held.columns if c in {*numbers, *codes}]
+    filled = treat(held, id_col, columns) if treat else treat_missing(held, id_col, columns, how, k)
+    if not recoded:
+        numeric = [c for c in columns if c in numbers]
+        filled = filled.select(id_col, *numeric, *(F.col(f"_raw_{n}").alias(n) for n in raw))
+    targets = df.select(id_col, *(r.name for r in described if r.role == "Target"))
+    return filled, targets
+
+
 def sample_words(words: DataFrame, share: float, repeats: int, seed: int) -> DataFrame:
     """A sample with replacement, ``repeats`` of its words once more, in random order."""
     drawn = words.sample(withReplacement=True, fraction=share, seed=seed)

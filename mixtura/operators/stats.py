@@ -127,11 +127,11 @@ def _scores(before: pd.Series, ties: pd.Series, n: pd.Series) -> pd.DataFrame:
 @F.pandas_udf(StructType([StructField("w", DoubleType()), StructField("p_value", DoubleType())]))
 def _royston(n: pd.Series, mm: pd.Series, mx: pd.Series, x1: pd.Series, x2: pd.Series, y2: pd.Series, y1: pd.Series, ss: pd.Series) -> pd.DataFrame:
     rows = zip(n, mm, mx, x1, x2, y2, y1, ss)
-    return pd.DataFrame([special.shapiro_from_sums(*r) if r[0] >= 12 and r[3] < r[6] else (None, None) for r in rows], columns=["w", "p_value"], dtype=float)
+    return pd.DataFrame([special.shapiro_from_sums(*r) if r[0] >= 3 and r[3] < r[6] else (None, None) for r in rows], columns=["w", "p_value"], dtype=float)
 
 
 def shapiro(long: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
-    """(feature, w, p_value) over all values of each feature, null below 12 of them or where all are
+    """(feature, w, p_value) over all values of each feature, null below 3 of them or where all are
     equal. W comes from running counts over distinct values; beyond 5000 values Royston's
     approximation of the p-value is carried on."""
     r = running(long.select(feature, value), [feature], value, {"m": F.lit(1)})

@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from mixtura.functions.vec import dbl, literal, r6, sqdist
+from mixtura.functions.vec import dbl, literal, r6, softmax, sqdist
 from mixtura.operators import blocks, classify, clusters, ensemble, evaluation, landmark, linear, mixture, vbgmm
+from mixtura.plans import fixtures
 from mixtura.plans.fixtures import centroids, emb, emb_long, qin, table, with_
 from mixtura.plans.registry import Registry
 
@@ -42,6 +43,48 @@ def upgma_linkage(spark, d):
     return clusters.linkage(spark, clusters.divergence_matrix(_labelled(spark, d))).withColumn("dist", F.round("dist", 9))
 
 
+#: The same with the mean of -ln sum pq over the pairs of rows.
+_COLOC = _CLEAN + _UPGMA[len(_CLEAN):].replace(_UPGMA[_UPGMA.index(", term AS") : _UPGMA.index("r AS (SELECT 0 AS step")], """, pq AS (SELECT x.cluster AS a, y.cluster AS b, x.vec_id AS va, y.vec_id AS vb, -ln(greatest(sum(x.p * y.p), 1e-300)) AS j FROM cq x JOIN cq y ON x.col = y.col AND x.cluster < y.cluster GROUP BY ALL),
+m0 AS (SELECT a, b, avg(j) AS d, count(DISTINCT va) AS wa, count(DISTINCT vb) AS wb FROM pq GROUP BY ALL),
+""")
+_STEPS = "SELECT CAST(step - 1 AS INT) AS step, CAST(a AS INT) AS a, CAST(b AS INT) AS b, round(d, 9) AS dist, CAST(la AS INT) AS leaves FROM r WHERE merged"
+
+
+def _tree_sql(upgma: str, name: str, last: str) -> str:
+    """Leaves by place, or pairs by the height at which they meet, from the linkage."""
+    return f"""{upgma.removesuffix(_STEPS)}, st AS ({_STEPS}), kid AS (SELECT step, a AS x, 0 AS skip, dist FROM st UNION ALL SELECT s.step, s.b, coalesce(k.leaves, 1), s.dist FROM st s LEFT JOIN st k ON s.a = (SELECT count(*) FROM won) + k.step),
+up AS (SELECT cluster AS leaf, cluster AS x, 0 AS place, CAST(NULL AS INT) AS step, CAST(NULL AS DOUBLE) AS dist FROM won UNION ALL SELECT leaf, (SELECT count(*) FROM won) + kid.step, place + skip, kid.step, kid.dist FROM up JOIN kid ON kid.x = up.x)
+SELECT '{name}' AS metric, {last}"""
+
+
+_LEAVES = "CAST(leaf AS INT) AS label, CAST(max(place) AS INT) AS position, CAST(5 + 10 * max(place) AS DOUBLE) AS x FROM up GROUP BY leaf"
+_MEET = "CAST(p.leaf AS INT) AS a, CAST(q.leaf AS INT) AS b, round(arg_min(p.dist, p.step), 9) AS dist FROM up p JOIN up q ON p.step = q.step AND p.leaf < q.leaf GROUP BY p.leaf, q.leaf"
+
+
+def _dendrograms(spark, d):
+    """By name: the tables of the dendrogram under the divergence and under co-location."""
+    rows = _labelled(spark, d).cache()
+    sizes = {r.cluster: r["count"] for r in rows.groupBy("cluster").count().collect()}  # K numbers
+    far = blocks.truncated_means(rows, "coloc", 1.0, id_col="vec_id").filter("a <> b")
+    names = F.create_map(*(F.lit(int(x)) for kv in sizes.items() for x in kv))
+    tables = {"jeffreys": clusters.divergence_matrix(rows), "coloc": far.select(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), names[F.col("a").cast("int")].alias("n_a"), names[F.col("b").cast("int")].alias("n_b"), "dist")}
+    out = {name: clusters.dendrogram(spark, clusters.linkage(spark, m), sorted(sizes)) for name, m in tables.items()}
+    rows.unpersist()
+    return out
+
+
+@query(f"SELECT * FROM ({_tree_sql(_UPGMA, 'jeffreys', _LEAVES)}) UNION ALL SELECT * FROM ({_tree_sql(_COLOC, 'coloc', _LEAVES)})")
+def dendrogram_leaves(spark, d):
+    parts = [t[0].select(F.lit(name).alias("metric"), "label", "position", "x") for name, t in _dendrograms(spark, d).items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query(f"SELECT * FROM ({_tree_sql(_UPGMA, 'jeffreys', _MEET)}) UNION ALL SELECT * FROM ({_tree_sql(_COLOC, 'coloc', _MEET)})")
+def cophenetic_distances(spark, d):
+    parts = [t[2].select(F.lit(name).alias("metric"), "a", "b", F.round("dist", 9).alias("dist")) for name, t in _dendrograms(spark, d).items()]
+    return parts[0].unionByName(parts[1])
+
+
 @query()
 def superclusters(spark, d):
     return clusters.superclusters(clusters.merge_small(_labelled(spark, d), 10)).groupBy("cluster", "supercluster").agg(F.count("*").alias("n"))
@@ -155,9 +198,20 @@ def gmm_cv(spark, d):
     return out
 
 
-@query(with_("lng", "cent", "d2", "qin") + "SELECT count(DISTINCT vec_id) AS n, CAST(0 AS BIGINT) AS out_of_range, CAST(0 AS BIGINT) AS not_one FROM qin")
+@query(with_("lng", "cent", "d2", "qin") + ", b AS (SELECT vec_id, CASE WHEN vec_id % 13 = 0 THEN p * 1.1 WHEN vec_id % 17 = 0 AND k = 0 THEN -p WHEN vec_id % 19 = 0 AND k = 1 THEN NULL ELSE p END AS p FROM qin), r AS (SELECT vec_id, bool_or(p IS NULL OR p < 0 OR p > 1) AS bad, abs(sum(p) - 1) > 1e-6 AS off FROM b GROUP BY 1) SELECT count(*) AS n, count(*) FILTER (bad) AS out_of_range, count(*) FILTER (NOT bad AND off) AS not_one FROM r")
 def assignment_check(spark, d):
-    return clusters.check_assignments(qin(spark, d))
+    """Some rows are spoiled: sums that are not one, negative shares, shares that are missing."""
+    q, v = qin(spark, d), F.col("vec_id")
+    spoiled = F.transform("q", lambda p, k: F.when(v % 13 == 0, p * dbl(1.1)).when((v % 17 == 0) & (k == 0), -p).when((v % 19 == 0) & (k == 1), F.lit(None)).otherwise(p))
+    return clusters.check_assignments(q.withColumn("q", spoiled))
+
+
+@query(with_("lng", "cent", "d2", "qin") + ", o AS (SELECT vec_id, k, exp(-d) / sum(exp(-d)) OVER (PARTITION BY vec_id) AS o FROM d2), kl AS (SELECT vec_id, sum(greatest(p, 1e-300) * (log2(greatest(p, 1e-300)) - log2(greatest(o, 1e-300)))) AS kl FROM qin JOIN o USING (vec_id, k) GROUP BY 1) SELECT count(*) AS n, round(avg(kl), 6) AS mean_kl, round(max(kl), 6) AS max_kl FROM kl")
+def posterior_divergence(spark, d):
+    """The assignments against those of a sharper mixture over the same centres."""
+    sharp = fixtures.scores_to_centroids(spark, d).select("vec_id", softmax(F.transform("s", lambda v: v / dbl(fixtures.TAU))).alias("sharp"))
+    k = clusters.posterior_divergence(qin(spark, d).join(sharp, "vec_id"), "q", "sharp")
+    return k.select("n", r6("mean_kl").alias("mean_kl"), r6("max_kl").alias("max_kl"))
 
 
 @query()
