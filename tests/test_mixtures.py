@@ -121,7 +121,7 @@ def test_shapiro_over_all_rows(spark):
     for k in ("normal", "skewed", "tied"):
         w, p = special.shapiro_wilk(values[k])
         assert got[k].w == pytest.approx(w, rel=1e-9) and got[k].p_value == pytest.approx(p, rel=1e-6, abs=1e-12)
-    assert got["normal"].p_value > 0.01 > got["skewed"].p_value and got["few"].w is None is got["flat"].w
+    assert got["normal"].p_value > 0.01 > got["skewed"].p_value and 0 < got["few"].w <= 1 and got["flat"].w is None
 
 
 def test_assumptions(spark):
