@@ -85,11 +85,6 @@ def cophenetic_distances(spark, d):
     return parts[0].unionByName(parts[1])
 
 
-@query()
-def superclusters(spark, d):
-    return clusters.superclusters(clusters.merge_small(_labelled(spark, d), 10)).groupBy("cluster", "supercluster").agg(F.count("*").alias("n"))
-
-
 #: One row of lists: rows of each cluster, sums of assignments (a list for each), where each cluster is now.
 _MERGE = _CLEAN + """, sums AS (SELECT c.cluster, list(coalesce(s, 0) ORDER BY k.cluster) AS s, max(n) AS n FROM won c CROSS JOIN won k LEFT JOIN (SELECT cluster, col, sum(p) AS s, count(*) AS n FROM cq GROUP BY ALL) t ON t.cluster = c.cluster AND t.col = k.cluster GROUP BY 1),
 r AS (SELECT list(n ORDER BY cluster) AS n, list(s ORDER BY cluster) AS s, list(CAST(cluster + 1 AS BIGINT) ORDER BY cluster) AS t FROM sums UNION ALL SELECT
@@ -107,6 +102,26 @@ def merge_small(spark, d):
     return clusters.merge_small(_labelled(spark, d), 40).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
+#: Merged labels, their linkage, its cut into four and the small groups' absorption.
+_SUPER = (
+    _MERGE[: _MERGE.rindex("\nSELECT CAST(row_number()")].replace("n[i] < 40", "n[i] < 10").replace("\nr AS (SELECT list(n", "\nmr AS (SELECT list(n").replace("FROM r WHERE len", "FROM mr WHERE len").replace("FROM r ORDER", "FROM mr ORDER")
+    + """, mm AS (SELECT i - 1 AS cluster, dense_rank() OVER (ORDER BY c) - 1 AS merged FROM (SELECT unnest(t) AS c, unnest(range(1, len(t) + 1)) AS i FROM last)),
+lab2 AS (SELECT vec_id, merged AS cluster FROM lab JOIN mm USING (cluster)), cq2 AS (SELECT cq.vec_id, m.merged AS cluster, col, p FROM cq JOIN mm m ON m.cluster = cq.cluster), size2 AS (SELECT count(DISTINCT cluster) AS k FROM cq2)"""
+    + _UPGMA[len(_CLEAN) :].removesuffix(_STEPS).replace("FROM cq GROUP", "FROM cq2 GROUP").replace("(SELECT count(*) FROM won)", "(SELECT k FROM size2)")
+    + f""", st AS ({_STEPS}), anc AS (SELECT DISTINCT cluster AS leaf, cluster AS x FROM cq2 UNION ALL SELECT leaf, (SELECT k FROM size2) + st.step FROM anc JOIN st ON x IN (st.a, st.b) WHERE st.step < (SELECT k FROM size2) - 4),
+g AS (SELECT leaf, dense_rank() OVER (ORDER BY least_leaf) AS g FROM (SELECT leaf, min(leaf) OVER (PARTITION BY root) AS least_leaf FROM (SELECT leaf, max(x) AS root FROM anc GROUP BY leaf))), sz AS (SELECT g, count(*) AS n FROM lab2 JOIN g ON leaf = cluster GROUP BY g),
+ab AS (SELECT list(n ORDER BY g) AS n, list(CAST(g AS BIGINT) ORDER BY g) AS t FROM sz UNION ALL SELECT list_transform(range(1, len(n) + 1), lambda i: CASE WHEN i = l THEN n[l] + n[s] WHEN i = s THEN 0 ELSE n[i] END), list_transform(t, lambda v: CASE WHEN v = s THEN l ELSE v END)
+  FROM (SELECT n, t, list_sort(list_transform(list_filter(range(1, len(n) + 1), lambda i: n[i] > 0), lambda i: {{'v': n[i], 'i': i}}))[1].i AS s, -list_reverse_sort(list_transform(list_filter(range(1, len(n) + 1), lambda i: n[i] > 0), lambda i: {{'v': n[i], 'i': -i}}))[1].i AS l FROM ab WHERE len(list_filter(n, lambda v: v > 0)) > 1) WHERE n[s] < 10),
+fin AS (SELECT t FROM ab ORDER BY len(list_filter(n, lambda v: v > 0)) LIMIT 1), sup AS (SELECT i AS g, dense_rank() OVER (ORDER BY c) - 1 AS supercluster FROM (SELECT unnest(t) AS c, unnest(range(1, len(t) + 1)) AS i FROM fin))
+SELECT CAST(cluster AS INT) AS cluster, CAST(supercluster AS INT) AS supercluster, count(*) AS n FROM lab2 JOIN g ON leaf = cluster JOIN sup USING (g) GROUP BY ALL"""
+)
+
+
+@query(_SUPER)
+def superclusters(spark, d):
+    return clusters.superclusters(clusters.merge_small(_labelled(spark, d), 10)).groupBy("cluster", "supercluster").agg(F.count("*").alias("n"))
+
+
 _POOLED = with_("lng", "cent", "d2", "qin").replace("WITH ", "WITH RECURSIVE ", 1) + """, t AS (SELECT x.label AS la, y.label AS lb, sum((greatest(x.p, 1e-300) - greatest(y.p, 1e-300)) * (log2(greatest(x.p, 1e-300)) - log2(greatest(y.p, 1e-300)))) AS j FROM qin x JOIN qin y ON x.k = y.k AND x.vec_id < y.vec_id AND x.label <> y.label GROUP BY x.vec_id, y.vec_id, x.label, y.label),
 r AS (SELECT 0 AS step, label, label AS cur, NULL::INT AS ma, NULL::INT AS mb, NULL::DOUBLE AS h FROM (SELECT DISTINCT label FROM qin) UNION ALL SELECT * FROM (
   WITH p AS (SELECT least(x.cur, y.cur) AS a, greatest(x.cur, y.cur) AS b, j FROM t JOIN r x ON x.label = la JOIN r y ON y.label = lb WHERE x.cur <> y.cur),
@@ -168,6 +183,16 @@ def gmm_responsibilities(spark, d):
     return q.select("vec_id", F.posexplode("q").alias("k", "p")).select("vec_id", "k", (F.round("p", 5) + dbl(0)).alias("p"))
 
 
+@query(with_("lng", "cent") + ", s2 AS (SELECT k, l.feature, c, avg((value - c) * (value - c)) AS s2, count(*) AS n FROM lng l JOIN cent ON k = grp AND cent.feature = l.feature GROUP BY ALL), l AS (SELECT vec_id, k, ln(CAST(max(n) AS DOUBLE) / (SELECT count(*) FROM embeddings)) - 0.5::DOUBLE * sum(ln(2 * pi() * s2) + (value - c) * (value - c) / s2) AS l FROM lng JOIN s2 USING (feature) GROUP BY ALL), e AS (SELECT vec_id, k, exp(l - max(l) OVER (PARTITION BY vec_id)) AS e FROM l) SELECT vec_id, CAST(k AS INT) AS k, round(e / sum(e) OVER (PARTITION BY vec_id), 5) + 0.0::DOUBLE AS p FROM e")
+def gmm_responsibilities_diag(spark, d):
+    """A mixture with the labels' means, weights and variances of each component."""
+    per = emb_long(spark, d).groupBy("grp", "feature").agg(F.var_pop("value").alias("v"), F.count("*").alias("n")).orderBy("grp", "feature").collect()  # K x D numbers
+    means = centroids(spark, d)
+    n = np.array([r.n for r in per], float).reshape(means.shape)[:, 0]
+    q = linear.responsibilities(emb(spark, d), n / n.sum(), means, np.array([r.v for r in per]).reshape(means.shape), "diag")
+    return q.select("vec_id", F.posexplode("q").alias("k", "p")).select("vec_id", "k", (F.round("p", 5) + dbl(0)).alias("p"))
+
+
 def _reduced(spark, d, k: int):
     """The first principal components, whitened."""
     e = emb(spark, d)

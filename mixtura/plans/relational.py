@@ -209,6 +209,48 @@ def rank_positions(spark, d):
     return importance.rank_positions(_mapped(spark, d))
 
 
+_POSITIONS = with_("lng", "metrics", more=_MAPPED) + ", r AS (SELECT feature, row_number() OVER (PARTITION BY metric ORDER BY v DESC, feature) AS pos FROM mp)"
+
+
+@query(_POSITIONS + " SELECT CAST(pos AS INT) AS position, feature, count(*) AS n FROM r WHERE pos <= 5 GROUP BY ALL")
+def rank_pies(spark, d):
+    return importance.rank_pies(importance.rank_positions(_mapped(spark, d)))
+
+
+@query(with_("lng", "metrics", more=_MAPPED) + "SELECT feature, round(share, 6) + 0.0::DOUBLE AS share FROM (SELECT feature, avg(s) AS share FROM (SELECT feature, v / sum(v) OVER (PARTITION BY metric) AS s FROM mp) GROUP BY 1) ORDER BY share DESC, feature LIMIT 20")
+def top_features(spark, d):
+    return importance.top(importance.shared_rank(_mapped(spark, d)), 20).select("feature", r6("share").alias("share"))
+
+
+@query(with_("lng", "metrics") + "SELECT feature, round(l - min(l) OVER (), 6) + 0.0::DOUBLE AS v FROM (SELECT feature, ln(v) AS l FROM metrics WHERE metric = 'gini')")
+def tree_importance(spark, d):
+    return importance.tree_importance(metrics(spark, d).filter("metric = 'gini'")).select("feature", r6("v").alias("v"))
+
+
+_HALF = "SELECT 'f' || feature AS feature, round(avg(value), 6) + 0.0::DOUBLE AS effect, avg(value) > 0 AS sig FROM lng WHERE"
+
+
+@query(with_("lng") + f"SELECT feature, a.effect AS low, coalesce(a.sig, false) AS low_sig, b.effect AS high, coalesce(b.sig, false) AS high_sig FROM ({_HALF} grp < 5 AND feature < 40 GROUP BY feature) a FULL JOIN ({_HALF} grp >= 5 AND feature >= 20 GROUP BY feature) b USING (feature)")
+def outer_effects(spark, d):
+    """Two models that have tested different features, side by side."""
+    name = F.concat(F.lit("f"), F.col("feature").cast("string")).alias("feature")
+    part = lambda rows: emb_long(spark, d).filter(rows).groupBy("feature").agg(r6(F.avg("value")).alias("effect"), (F.avg("value") > 0).alias("sig")).select(name, "effect", "sig")
+    return importance.outer_effects({"low": part("grp < 5 AND feature < 40"), "high": part("grp >= 5 AND feature >= 20")})
+
+
+@query("SELECT o_orderkey, contains(lower(o_orderpriority), 'urgent') OR contains(lower(o_orderpriority), 'low') AS found FROM orders")
+def mentions(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", io.mentions("o_orderpriority", ["URGENT", "low"]).alias("found"))
+
+
+@query("SELECT s_suppkey AS key, s_acctbal AS balance FROM supplier UNION ALL SELECT c_custkey, c_acctbal FROM customer")
+def renamed_either(spark, d):
+    """Two tables that name the same things otherwise, as one."""
+    names = {"key": ["c_custkey", "s_suppkey"], "balance": ["c_acctbal", "s_acctbal"]}
+    parts = [io.renamed_either(table(spark, d, t), names).select("key", "balance") for t in ("supplier", "customer")]
+    return parts[0].unionByName(parts[1])
+
+
 @query(with_("lng", "metrics", more=_MAPPED) + ", r AS (SELECT feature, metric, row_number() OVER (PARTITION BY metric ORDER BY v DESC, feature) AS pos FROM mp) SELECT feature, metric, pos FROM r WHERE pos <= 7 QUALIFY row_number() OVER (PARTITION BY feature ORDER BY metric, pos) = 1")
 def top_k_union(spark, d):
     return importance.top_union(_mapped(spark, d), 7)
