@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class ExpressionError(ValueError):
@@ -66,12 +67,14 @@ def load_text(spark: SparkSession, base: str, log: bool = True, sep: str = "\t")
     its name, the names stand one place further left. Values are a feature a line, a sample a column."""
 
     def table(ending: str) -> tuple[list[str], DataFrame]:
-        lines = spark.read.text(base + ending)
-        names = lines.first().value.split(sep)
-        parts = lines.filter(F.col("value") != lines.first().value).select(F.split("value", sep, -1).alias("p"))
-        width = parts.select(F.size("p")).first()
-        names = names[1:] if width and width[0] == len(names) else names
-        return names, parts
+        # The first line of each file is its header; a data line may well read like one.
+        first = [r.value.split(sep) for r in spark.read.text(base + ending).head(2)]
+        names = first[0]
+        width = len(first[1]) if len(first) > 1 else len(names)
+        names = names[1:] if width == len(names) else names
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+        rows = spark.read.csv(base + ending, sep=sep, header=True, schema=schema, quote="", emptyValue="", nullValue="\0")
+        return names, rows.select(F.array(*rows.columns).alias("p"))
 
     names, parts = table(DATA)
     cells = F.explode(F.array(*(F.struct(F.lit(n).alias("sample_id"), F.expr(f"try_cast(p[{i}] AS double)").alias("v")) for i, n in enumerate(names, 1))))

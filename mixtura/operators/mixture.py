@@ -39,13 +39,18 @@ class Mixture:
         return m + np.log(np.exp(j - m[:, None]).sum(axis=1))
 
 
+def _squares(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Weighted sums of x x^T for each column of ``q``, as matrix products."""
+    return np.concatenate([((x * w[:, None]).T @ x).ravel() for w in q.T])
+
+
 def _sums(m: Mixture, x: np.ndarray) -> np.ndarray:
     j = m.log_joint(x)
     top = j.max(axis=1, keepdims=True)
     e = np.exp(j - top)
     q = e / e.sum(axis=1, keepdims=True)
     llh = (top[:, 0] + np.log(e.sum(axis=1))).sum()
-    return np.concatenate([[llh], q.sum(axis=0), (q.T @ x).ravel(), np.einsum("nk,ni,nj->kij", q, x, x).ravel()])
+    return np.concatenate([[llh], q.sum(axis=0), (q.T @ x).ravel(), _squares(q, x)])
 
 
 def _updated(v: np.ndarray, k: int, d: int, kind: str, ridge: float) -> Mixture:
@@ -73,7 +78,7 @@ def _start(sample: np.ndarray, k: int, kind: str, ridge: float, rng: np.random.G
         centers = np.array([sample[at == i].mean(0) if (at == i).any() else centers[i] for i in range(k)])
     d = sample.shape[1]
     q = np.eye(k)[at]
-    v = np.concatenate([[0.0], q.sum(0), (q.T @ sample).ravel(), np.einsum("nk,ni,nj->kij", q, sample, sample).ravel()])
+    v = np.concatenate([[0.0], q.sum(0), (q.T @ sample).ravel(), _squares(q, sample)])
     start = _updated(v, k, d, kind, ridge)
     spread = np.cov(sample.T).reshape(d, d) / k ** (2 / d) + ridge * np.eye(d)
     thin = q.sum(0) <= d  # too few rows for a covariance of its own

@@ -279,10 +279,10 @@ def eset_subset(spark, d):
     return part.exprs.groupBy("feature_id").agg(F.count("*").alias("n"), (F.round(F.sum("v"), 5) + F.lit(0.0)).alias("total"))
 
 
-@query("SELECT vec_id AS sample_id, " + ", ".join(f"round(CAST(embedding[{i + 1}] AS DOUBLE), 6) + 0.0::DOUBLE AS f{i}" for i in range(4)) + ", label FROM embeddings")
+@query("SELECT vec_id AS sample_id, " + ", ".join(f"round(CAST(embedding[{i + 1}] AS DOUBLE), 6) + 0.0::DOUBLE AS f{i}" for i in range(64)) + ", label FROM embeddings")
 def eset_to_labeled(spark, d):
-    wide = _eset(spark, d).labelled([0, 1, 2, 3], ["label"])
-    return wide.select("sample_id", *(r6(f"f{i}").alias(f"f{i}") for i in range(4)), "label")
+    wide = _eset(spark, d).labelled(list(range(64)), ["label"])
+    return wide.select("sample_id", *(r6(f"f{i}").alias(f"f{i}") for i in range(64)), "label")
 
 
 @query("SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS both_1, count(*) FILTER (quality = 1 AND toxic = 0) AS first_only, count(*) FILTER (quality = 0 AND toxic = 1) AS second_only, count(*) FILTER (quality = 0 AND toxic = 0) AS both_0 FROM labels")

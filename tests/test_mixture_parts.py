@@ -133,3 +133,16 @@ def test_codes_of_texts_with_one_beginning(spark):
     df = spark.createDataFrame([(f"https://site/{i * 7919 % 500:05d}",) for i in range(500)] + [(None,)], "s string").repartition(3)
     got = {r.s: r.c for r in prep.dense_codes(df, "s", "c").collect()}
     assert all(got[s] == i for i, s in enumerate(sorted(x for x in got if x))) and got[None] is None
+
+
+def test_text_sets_keep_lines_that_read_like_the_header(spark, tmp_path):
+    from mixtura.operators import expression
+
+    base = str(tmp_path / "set")
+    (tmp_path / "set_AMP_data.csv").write_text("s1\ts2\ns1\t2\t4\nf2\t8\t\nfeature_id\t1\t\"1\n")
+    (tmp_path / "set_features.csv").write_text("feature_id\tnote\ns1\tfirst\nfeature_id\tnote\nf2\tlast\n")
+    (tmp_path / "set_pheno.csv").write_text("sample_id\tlabel\ns1\t0\ns2\t1\n")
+    e = expression.load_text(spark, base)
+    got = {(r.feature_id, r.sample_id): r.v for r in e.exprs.collect()}
+    assert got[("s1", "s1")] == 1.0 and got[("s1", "s2")] == 2.0 and got[("f2", "s1")] == 3.0 and got[("f2", "s2")] is None and got[("feature_id", "s1")] == 0.0
+    assert {r.feature_id: r.note for r in e.fdata.collect()} == {"s1": "first", "feature_id": "note", "f2": "last"}

@@ -16,7 +16,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 
 #: A part of the queries, one of each kind; the driver compares all.
-CHOSEN = ["effects_kw", "effects_anova", "effects_chi2_cramer", "bh_adjust", "brown_forsythe", "roc_points", "auc_strict", "accuracy_majority", "softmax", "nist_gauss1", "thinplate", "hist_density", "relabel_prior", "cumulative_probability", "shared_rank", "ensemble_logdens", "kmeans_fixed_centers", "eset_to_labeled"]
+CHOSEN = ["effects_kw", "effects_anova", "effects_chi2_cramer", "bh_adjust", "brown_forsythe", "roc_points", "auc_strict", "accuracy_majority", "softmax", "nist_gauss1", "thinplate", "hist_density", "relabel_prior", "cumulative_probability", "shared_rank", "ensemble_logdens", "kmeans_fixed_centers", "eset_to_labeled", "assignment_check", "superclusters", "dendrogram_leaves", "silhouette_exact", "davgquant", "knn_impute_rounds", "outer_effects"]
 
 
 @pytest.mark.parametrize("name", CHOSEN)
