@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from itertools import product
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mixtura.operators.vbgmm import Params, Posterior, fit_many, predict
@@ -19,14 +20,21 @@ def expand(spark: SparkSession, grid: dict[str, list]) -> DataFrame:
     return spark.createDataFrame([(i, *row) for i, row in enumerate(product(*values))], ["paramid", *keys])
 
 
-def fit_grid(df: DataFrame, grid: dict[str, list], restarts: int, x: str = "x", seed: int = 0) -> DataFrame:
+def held_out_score(rows: DataFrame, x: str = "x") -> Callable[[Posterior], float]:
+    """A score of models for ``fit_grid``: the mean log density of other rows."""
+    return lambda post: float(predict(rows.select(x), post, x).agg(F.avg("log_density")).first()[0])
+
+
+def fit_grid(df: DataFrame, grid: dict[str, list], restarts: int, x: str = "x", seed: int = 0, scored: Callable[[Posterior], float] | None = None) -> DataFrame:
     """(paramid, restart, score, model) for each point of the grid and restart. All are fitted together
-    by ``fit_many``, which is distributed over the rows; a fit that failed has no model and score NaN."""
+    by ``fit_many``, which is distributed over the rows; a fit that failed has no model and score NaN.
+    ``scored`` gives a model's score, where larger is better; by default its bound."""
+    value = scored or (lambda p: float(p.history[-1]))
     spark = df.sparkSession
     points = expand(spark, grid)
     jobs = [(r.asDict(), i) for r in points.collect() for i in range(restarts)]  # the grid
     params = [Params(**{k: v for k, v in r.items() if k != "paramid"}, seed=seed + 1000 * i) for r, i in jobs]
-    rows = [(r["paramid"], i, float(p.history[-1]) if p else float("nan"), dumped_model(p) if p else None) for (r, i), p in zip(jobs, fit_many(df, params, x))]
+    rows = [(r["paramid"], i, value(p) if p else float("nan"), dumped_model(p) if p else None) for (r, i), p in zip(jobs, fit_many(df, params, x))]
     return spark.createDataFrame(rows, "paramid long, restart long, score double, model string").join(points, "paramid")
 
 
@@ -37,14 +45,15 @@ def best_per_param(scores: DataFrame, key: str = "paramid", score: str = "score"
     return ok.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
 
 
-def weights(best: DataFrame, score: str = "score", top: int | None = None) -> DataFrame:
+def weights(best: DataFrame, score: str = "score", top: int | None = None, weigh: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """``best`` (one row for each parameter set) with ``weight``: softmax of the scores, of the
-    ``top`` highest only where given."""
+    ``top`` highest only where given. ``weigh`` makes another weight of a score and the best score;
+    weights are normalised."""
     everything = Window.partitionBy(F.lit(0))
     if top is not None:
         best = best.withColumn("_r", F.row_number().over(everything.orderBy(F.desc(score), "paramid"))).filter(F.col("_r") <= top).drop("_r")
-    e = F.exp(F.col(score) - F.max(score).over(everything))
-    return best.withColumn("weight", e / F.sum(e).over(everything))
+    e = (weigh or (lambda s, most: F.exp(s - most)))(F.col(score), F.max(score).over(everything))
+    return best.withColumn("_e", e).withColumn("weight", F.col("_e") / F.sum("_e").over(everything)).drop("_e")
 
 
 def log_density(densities: DataFrame, weighted: DataFrame, id_col: str, key: str = "paramid") -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixtura.functions.vec import argmax, dbl, literal, softmax, sqdist
+from mixtura.operators.blocks import silhouettes
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -119,20 +120,27 @@ def calinski_harabasz(df: DataFrame, label: str, x: str = "x") -> DataFrame:
     return j.select(((F.col("between") / (F.col("K") - 1)) / (F.col("within") / (F.col("N") - F.col("K")))).alias("ch"))
 
 
-def kmeans_sweep(df: DataFrame, ks: list[int], repeats: int, x: str = "x", seed: int = 1, max_iter: int = 20) -> DataFrame:
+def kmeans_sweep(df: DataFrame, ks: list[int], repeats: int, x: str = "x", seed: int = 1, max_iter: int = 20, exact: bool = False) -> DataFrame:
     """(k, seed, llh, aic, bic, sumdist, silhouette, ch) for fits of each size; the rows are cached over
-    the sweep. The silhouette is the simplified one, by distances to centres; null for one centre."""
+    the sweep. The silhouette is the simplified one, by distances to centres, in one pass; with ``exact``
+    it is the mean over all pairs of rows, by tiles. Null for one centre."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    data = df.select(array_to_vector(x).alias("features"), x).cache()
+    data = df.select(array_to_vector(x).alias("features"), x, F.monotonically_increasing_id().alias("_id")).cache()
+
+    def measured(data: DataFrame, centers: np.ndarray) -> float | None:
+        if not exact:
+            return silhouette(data, centers, x).first()[0]
+        return silhouettes(data.select("_id", x, nearest_center(x, centers)[1].alias("_at")), "_id", "_at", x).agg(F.avg("silhouette")).first()[0]
+
     rows = []
     for k in ks:
         for r in range(repeats):
-            model = KMeans(k=k, seed=seed + r, maxIter=max_iter).fit(data)
-            centers = np.array(model.clusterCenters())
+            # One centre is the mean, which the built-in fit does not take.
+            centers = moments(data, x)[1][None] if k == 1 else np.array(KMeans(k=k, seed=seed + r, maxIter=max_iter).fit(data).clusterCenters())
             one = kmeans_criteria(data, centers, x).first()
-            rest = (None, None) if len(centers) < 2 else (silhouette(data, centers, x).first()[0], calinski_harabasz(data.withColumn("_at", nearest_center(x, centers)[1]), "_at", x).first()[0])
+            rest = (None, None) if len(centers) < 2 else (measured(data, centers), calinski_harabasz(data.withColumn("_at", nearest_center(x, centers)[1]), "_at", x).first()[0])
             rows.append((k, seed + r, *map(float, one), *rest))
     data.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, seed int, llh double, aic double, bic double, sumdist double, silhouette double, ch double")
