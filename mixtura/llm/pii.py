@@ -250,8 +250,6 @@ def _number_edits(text: str) -> list[tuple[int, int, str]]:
     return sorted(edits)
 
 
-#: Line breaks and tabs stand for a space around a written sign.
-_TO_SPACES = str.maketrans("\t\r\n", "   ")
 #: Character references of ASCII characters.
 _REFERENCE = re.compile(r"(?i)&(?:#0*+([0-9]{2,3})|#x0*+([0-9a-f]{2})|(commat|period|plus|lowbar|hyphen));")
 _NAMED = {"commat": "@", "period": ".", "plus": "+", "lowbar": "_", "hyphen": "-"}
@@ -268,7 +266,9 @@ def _address_edits(text: str) -> list[tuple[int, int, str]]:
     """Disguised signs and dots of addresses. An "at" that is a word needs a dot that is spelled, or
     a name before it and a domain after it that only an address has."""
     edits, free = [], 0
-    for sign in _found(_lower(text).translate(_TO_SPACES), _SIGNS):
+    # Line breaks and tabs stand for a space around a written sign.
+    low = _lower(text).replace("\n", " ").replace("\t", " ").replace("\r", " ")
+    for sign in _found(low, _SIGNS):
         # A space before it is part of it.
         m = (_AT.match(text, sign - 1) if text[max(0, sign - 1) : sign] == " " else None) or _AT.match(text, sign)
         if not m or m.end() <= sign:
