@@ -11,18 +11,28 @@ from mixtura.llm.common import written
 def components(links: DataFrame) -> DataFrame:
     """(v, label) for every id in ``links`` (a, b): the least id that it reaches.
 
-    Each round, a vertex takes the least label of its neighbours, then the label of its label, so
-    stars end in two rounds and a chain in about the logarithm of its length. Both sides of every
-    join are read from written tables, so Spark can split a vertex with very many links.
+    Each round, a vertex points at its least neighbour where that is smaller, then at what that one points
+    at. Links are drawn between the vertices pointed at, once each, and those inside one vertex go, so a
+    round works on what the rounds before left open: stars are done in one or two, a chain in about the
+    logarithm of its length. All sides of the joins are read from written tables, so Spark can split a
+    vertex with very many links.
     """
-    links = links.filter("a <> b").select("a", "b").distinct()
-    both = written(links.union(links.select("b", "a")).toDF("v", "u"), "links")
-    labels = written(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("label")), "labels")
+    edges = written(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    labels = None
     while True:
-        near = labels.join(both.select(F.col("u").alias("v"), F.col("v").alias("w")), "v").groupBy(F.col("w").alias("v")).agg(F.min("label").alias("near"))
-        lower = written(labels.join(near, "v").select("v", F.least("label", "near").alias("label"), F.col("label").alias("was")), "labels")
-        of = lower.select(F.col("v").alias("label"), F.col("label").alias("jump"))
-        new = written(lower.join(of, "label").select("v", F.least("label", "jump").alias("label"), "was"), "labels")
-        if new.filter("label <> was").isEmpty():
-            return new.select("v", "label")
-        labels = new.select("v", "label")
+        # The smaller end of a link has it among its own, the larger end takes the least.
+        least = edges.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("label")).union(edges.select(F.col("a").alias("v"), F.col("a").alias("label")))
+        points = written(least.groupBy("v").agg(F.min("label").alias("label")), "points")
+        jump = points.select(F.col("v").alias("label"), F.col("label").alias("jump"))
+        points = written(points.join(jump, "label").select("v", F.col("jump").alias("label")), "points")
+        if labels is None:
+            labels = points
+        else:
+            of = points.select(F.col("v").alias("label"), F.col("label").alias("to"))
+            labels = written(labels.join(of, "label", "left").select("v", F.coalesce("to", "label").alias("label")), "labels")
+        low = points.select(F.col("v").alias("a"), F.col("label").alias("x"))
+        high = points.select(F.col("v").alias("b"), F.col("label").alias("y"))
+        drawn = edges.join(low, "a").join(high, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        edges = written(drawn, "links")
+        if edges.isEmpty():
+            return labels
