@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mixtura.functions.vec import dbl
 from mixtura.operators import impute
-from mixtura.operators.ranking import quantiles, running
+from mixtura.operators.ranking import bucketed, quantiles, running
 from mixtura.sources.shared import stored
 
 
@@ -221,10 +221,11 @@ def random_subset(df: DataFrame, n: int, seed: int) -> DataFrame:
 
 def is_ordered(df: DataFrame, index: str, value: str) -> DataFrame:
     """ordered: whether no value lies below the one before it, the last pair included."""
-    rows = bucketed(df.select(index, value), [], index)
-    following = F.lead(value).over(Window.partitionBy("_bucket").orderBy(index))
+    place = F.struct("_none", index)  # rows without index come last
+    rows = bucketed(df.select(F.col(index).isNull().alias("_none"), index, value), ["_none"], index)
+    following = F.lead(value).over(Window.partitionBy("_bucket").orderBy("_none", index))
     inside = rows.withColumn("_next", following).groupBy("_bucket").agg(
-        F.min(F.col("_next").isNull() | (F.col("_next") >= F.col(value))).alias("ok"), F.min_by(value, index).alias("first"), F.max_by(value, index).alias("last"))
+        F.min(F.col("_next").isNull() | (F.col("_next") >= F.col(value))).alias("ok"), F.min_by(value, place).alias("first"), F.max_by(value, place).alias("last"))
     # A row for each bucket: the last value of one against the first of the next.
     step = F.lead("first").over(Window.partitionBy(F.lit(0)).orderBy("_bucket"))
     return inside.withColumn("_next", step).agg(F.coalesce(F.min(F.col("ok") & (F.col("_next").isNull() | (F.col("_next") >= F.col("last")))), F.lit(True)).alias("ordered"))

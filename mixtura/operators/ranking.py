@@ -1,8 +1,8 @@
 """Ranks and running sums of a column that stay parallel for a single key.
 
-An unbounded window over one feature would put all its rows into one task. Here each feature's
-values are cut at approximate quantiles, so that a window only spans one bucket of a feature, and a
-small table holds what lies before each bucket. Cuts are values, so equal values share a bucket.
+An unbounded window over one feature would put all its rows into one task. Here the distinct values of
+all features are dealt to ranges of their own order, so that a window only spans one range of a feature,
+and a small table holds what lies before each range.
 """
 
 from __future__ import annotations
@@ -12,22 +12,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mixtura.sources.shared import stored
+
 
 def bucketed(df: DataFrame, keys: Sequence[str], value: str, buckets: int | None = None) -> DataFrame:
-    """``df`` with ``_bucket``, which rises with ``value`` within ``keys``; as many buckets for each
-    key as the session has shuffle partitions, where not given."""
-    buckets = buckets or max(8, min(2000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
-    at = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, at, max(1000, 4 * buckets)).alias("_cuts"))
-    joined = df.join(cuts, list(keys)) if keys else df.crossJoin(F.broadcast(cuts))  # one row of cuts
-    return joined.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    """``df`` with ``_bucket``, which rises with ``keys`` and ``value``; equal ones share a bucket. As many
+    buckets as the session has shuffle partitions, where not given. Their bounds are sampled, so they
+    may fall elsewhere when the result is computed again."""
+    buckets = buckets or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    return df.repartitionByRange(buckets, *keys, value).withColumn("_bucket", F.spark_partition_id())
 
 
 def running(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column], buckets: int | None = None) -> DataFrame:
     """One row for each (keys, value), with the sums over its rows (``name``), over all rows with
-    smaller values (``name_before``), and over all rows of the keys (``name_all``)."""
+    smaller values (``name_before``), and over all rows of the keys (``name_all``). Sums of values and
+    their buckets are written first, since what lies before a bucket must be of the same buckets."""
     keys = list(keys)
-    tied = bucketed(df, keys, value, buckets).groupBy(*keys, "_bucket", value).agg(*(F.sum(c).alias(n) for n, c in sums.items()))
+    tied = stored(bucketed(df.groupBy(*keys, value).agg(*(F.sum(c).alias(n) for n, c in sums.items())), keys, value, buckets), "running")
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     totals = tied.groupBy(*keys, "_bucket").agg(*(F.sum(n).alias(f"_{n}") for n in sums))
     over = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -24,6 +26,21 @@ def test_running_counts_with_ties(spark):
     assert got == {1.0: (1, 0, 5), 2.0: (1, 1, 5), 3.0: (3, 2, 5)}
 
 
+def test_order_of_values_by_index(spark):
+    told = lambda rows: prep.is_ordered(spark.createDataFrame(rows, "i int, v double"), "i", "v").first().ordered
+    rows = [(i, i / 2) for i in range(100)]
+    assert told(rows) and told(rows[::-1]) and told([]) and told([*rows, (None, 99.0)])
+    assert not told([*rows, (100, 1.0)]) and not told([*rows, (None, -1.0)]) and not told([(-1, 9.0), *rows])
+
+
+def test_running_counts_of_values_that_change_when_read_again(spark):
+    """Buckets and what lies before them are of one reading, though the values are not the same twice."""
+    draw = F.udf(lambda i: random.random(), "double").asNondeterministic()  # noqa: S311
+    df = spark.range(20_000, numPartitions=8).select(draw("id").alias("v"))
+    got = [(r.n_before, r.n_all) for r in ranking.running(df, [], "v", {"n": F.lit(1)}, 16).orderBy("v").collect()]
+    assert got == [(i, 20_000) for i in range(20_000)]
+
+
 def test_yates_and_bh(spark):
     df = spark.createDataFrame([("a", "x")] * 10 + [("a", "y")] * 20 + [("b", "x")] * 20 + [("b", "y")] * 10, "r string, c string")
     assert stats.chi2(df, "r", "c").first().chi2 == pytest.approx(5.4)
