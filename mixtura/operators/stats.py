@@ -12,6 +12,9 @@ from mixtura.functions import special
 from mixtura.functions.vec import dbl
 from mixtura.operators.ranking import quantiles, running
 
+#: Normal scores worked out at once.
+SCORES = 1 << 16
+
 
 @F.pandas_udf(DoubleType())
 def chi2_sf(x: pd.Series, dof: pd.Series) -> pd.Series:
@@ -114,13 +117,22 @@ def residuals(long: DataFrame, feature: str = "feature", group: str = "grp", val
 @F.pandas_udf(StructType([StructField("m", DoubleType()), StructField("mm", DoubleType())]))
 def _scores(before: pd.Series, ties: pd.Series, n: pd.Series) -> pd.DataFrame:
     """Sums of the normal scores, and of their squares, of the ranks before + 1 to before + ties."""
-    out = []
-    for b, t, size in zip(before, ties, n):
-        m = mm = 0.0
-        for i in range(int(b), int(b + t), 1 << 16):
-            z = special.norm_ppf_array((np.arange(i + 1, min(i + (1 << 16), int(b + t)) + 1) - 0.375) / (size + 0.25))
-            m, mm = m + z.sum(), mm + (z * z).sum()
-        out.append((m, mm))
+    first, count, size = (v.to_numpy(dtype=float) for v in (before, ties, n))
+    z_of = lambda rank, size: special.norm_ppf_array((rank - 0.375) / (size + 0.25))
+    out, upto, at = np.zeros((len(count), 2)), np.cumsum(count), 0
+    while at < len(count):
+        # As many rows as make up SCORES ranks; a row of more ranks goes through them in pieces.
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] - count[at] + SCORES, "right")))
+        if end == at + 1:
+            for i in range(0, int(count[at]), SCORES):
+                z = z_of(first[at] + np.arange(i + 1, min(i + SCORES, int(count[at])) + 1), size[at])
+                out[at] += z.sum(), (z * z).sum()
+        else:
+            own = count[at:end].astype(int)
+            begin = np.cumsum(own) - own
+            z = z_of(np.arange(1, own.sum() + 1) + np.repeat(first[at:end] - begin, own), np.repeat(size[at:end], own))
+            out[at:end] = np.stack([np.add.reduceat(z, begin), np.add.reduceat(z * z, begin)], axis=1)
+        at = end
     return pd.DataFrame(out, columns=["m", "mm"])
 
 
