@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from mixtura.operators.evaluation import folds
 from mixtura.operators.sums import lbfgs, matrix, summed
 
+#: Rows whose features are held at once.
+ROWS = 1024
+
 
 def rbf(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
     return np.exp(-gamma * np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T))
@@ -40,8 +43,9 @@ def landmarks(df: DataFrame, m: int, gamma: float, id_col: str = "id", x: str =
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                phi = rbf(matrix(b.column(1)), z, gamma) @ whiten
-                left = np.clip(1 - (phi * phi).sum(axis=1), 1e-3, 1.0)
+                xs = matrix(b.column(1))
+                phis = (rbf(xs[at : at + ROWS], z, gamma) @ whiten for at in range(0, len(xs), ROWS))
+                left = np.concatenate([np.clip(1 - (phi * phi).sum(axis=1), 1e-3, 1.0) for phi in phis])
                 u = (b.column(0).to_numpy().astype(np.uint64) >> np.uint64(11)).astype(float) / 2.0**53
                 yield pa.RecordBatch.from_arrays([pa.array(-np.log(u + 2.0**-54) / left), b.column(0), b.column(1)], ["key", "h", "x"])
 
@@ -86,8 +90,10 @@ def chances_of(data: DataFrame, chance, id_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = chance(matrix(b.column(0)), b.column(2).to_numpy()) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(3), pa.array(b.column(1).to_numpy().astype("i4")), b.column(2), pa.array(p)], [id_col, "y", "fold", "p"])
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                p = chance(matrix(part.column(0)), part.column(2).to_numpy())
+                yield pa.RecordBatch.from_arrays([part.column(3), pa.array(part.column(1).to_numpy().astype("i4")), part.column(2), pa.array(p)], [id_col, "y", "fold", "p"])
 
     return data.mapInArrow(run, f"{id_col} {kind}, y int, fold int, p double")
 
@@ -194,18 +200,27 @@ class Svm:
 
         def value(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             per = w.reshape(len(gammas), -1, p)
+            # Weights on the kernel's values, so that rows need not be whitened; gradients are, once summed.
+            spans = [feats.whiten[i] @ per[i, :, : feats.whiten[i].shape[1]].T for i in range(len(gammas))]
+            size = len(z) + 2
 
             def parts(b: pa.RecordBatch) -> np.ndarray:
                 xs, s, fold = matrix(b.column(0)), np.where(b.column(1).to_numpy() == 1, 1.0, -1.0), b.column(2).to_numpy()
-                res = np.zeros((len(gammas), per.shape[1], p + 1))
+                res = np.zeros((len(gammas), per.shape[1], size))
                 for i in range(len(gammas)):
-                    phi = feats(xs, i)
-                    lack = np.maximum(0, 1 - s[:, None] * (phi @ per[i].T)) * shut[:, fold].T
-                    res[i, :, p] = (lack * lack).sum(axis=0)
-                    res[i, :, :p] = -2 * (lack * s[:, None]).T @ phi
+                    near = rbf(xs, z, gammas[i])
+                    lack = np.maximum(0, 1 - s[:, None] * (near @ spans[i] + per[i, :, -1])) * shut[:, fold].T
+                    signed = lack * s[:, None]
+                    res[i, :, :-2] = -2 * signed.T @ near
+                    res[i, :, -2] = -2 * signed.sum(axis=0)
+                    res[i, :, -1] = (lack * lack).sum(axis=0)
                 return res
 
-            v = summed(self.data.select("x", "y", "fold"), parts, (len(gammas), per.shape[1], p + 1))
+            raw = summed(self.data.select("x", "y", "fold"), parts, (len(gammas), per.shape[1], size))
+            v = np.zeros((len(gammas), per.shape[1], p + 1))
+            v[:, :, -2:] = raw[:, :, -2:]
+            for i, white in enumerate(feats.whiten):
+                v[i, :, : white.shape[1]] = raw[i, :, :-2] @ white
             free = per.copy()
             free[:, :, -1] = 0
             f = 0.5 * (free * free).sum(axis=2) + c * v[:, :, p]

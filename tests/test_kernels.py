@@ -120,3 +120,9 @@ def test_folds_keep_rows_without_label(spark):
     df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2) for i in range(100)], "id long, y int")
     dealt = evaluation.folds(df, "id", "y", 5)
     assert dealt.count() == 100 and {r["count"] for r in dealt.filter("y is null").groupBy("fold").count().collect()} == {4}
+
+
+def test_chances_are_of_few_rows_at_once(spark):
+    data = spark.range(3000, numPartitions=1).selectExpr("array(double(id)) as x", "1.0D as y", "0 as fold", "id")
+    got = landmark.chances_of(data, lambda xs, fold: np.full(len(xs), float(len(xs))), "id").toPandas()
+    assert sorted(got.id) == list(range(3000)) and got.p.max() <= 1024
